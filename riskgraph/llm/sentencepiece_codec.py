@@ -343,7 +343,9 @@ def encode_column(
     ``digests`` adds n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit
     integers) and decoded_sha256 (of the decoded UTF-8).
     """
-    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] * bool(ids) + [T.StructField(decoded, T.StringType())] * bool(decoded)
+    added = [T.StructField(ids, T.ArrayType(T.IntegerType(), False))] if ids else []
+    if decoded:
+        added.append(T.StructField(decoded, T.StringType()))
     if digests:
         added += T._parse_datatype_string(SCHEMA).fields
     names = {f.name for f in added}
@@ -365,8 +367,7 @@ def encode_column(
                     flat = np.frombuffer(b"".join(enc), "<u4").astype(np.int32)
                     offsets = np.cumsum([0, *(len(e) // 4 for e in enc)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-                if decoded or digests:
-                    plain = [decode(e) for e in enc]
+                plain = [decode(e) for e in enc] if decoded or digests else []
                 if decoded:
                     columns.append(pa.array([p.decode("utf-8") for p in plain], pa.string()))
                 if digests:
