@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import sentencepiece_codec
+from riskgraph.llm import mixing, sentencepiece_codec, warc
+from riskgraph.llm.durable import Stage
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +22,42 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_column(docs, model, keep=["doc_id"], ids=None, decoded=None, digests=True)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all pages as WARC records, revisits for repeated payloads, and reads the archives back."""
+    warc.register(spark)
+    path = Stage(spark, "warc").base
+    warc.archive_records(_table(spark, sf_dir, "pages"), "page_id", "url", "html").write.format("warc").mode("append").save(path)
+    pages = warc.archived_pages(spark.read.format("warc").load(path))
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS body, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first_id FROM pages
+), d AS (
+  SELECT *, sha1(body) AS h FROM p
+), b AS (
+  SELECT *, list_transform(range(8), lambda i: ('0x' || substr(h, (5 * i + 1)::INT, 5))::INT) AS v FROM d
+)
+SELECT page_id, octet_length(body)::BIGINT AS payload_bytes,
+  list_aggregate(list_transform(v, lambda x:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x >> 15) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 10) & 31) + 1, 1) ||
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((x >> 5) & 31) + 1, 1) || substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (x & 31) + 1, 1)),
+    'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM b
+"""
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix to weights 1, 2, 3 takes of each document, at most three times its size."""
+    return mixing.Mix(_table(spark, sf_dir, "documents")).documents()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece,)}
+    return {f.__name__: f for f in (op1_sentencepiece, op5_warc, op6_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_warc": OP5_SQL}
