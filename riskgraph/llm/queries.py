@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import mixing, sentencepiece_codec, warc
+from riskgraph.llm import mixing, near_dedup, sentencepiece_codec, warc
 from riskgraph.llm.durable import Stage
 
 
@@ -22,6 +22,35 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_column(docs, model, keep=["doc_id"], ids=None, decoded=None, digests=True)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of three-word shingles overlap by 85 of 100 or more."""
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s
+  FROM w
+), x AS (
+  SELECT doc_id, unnest(s) AS g FROM s
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM c JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * n >= 85 * (len(p.s) + len(q.s) - n)
+), r(doc_id, root) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id AND l.b > r.root
+)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.root AS component_id, s.doc_id = m.root AS kept
+FROM s JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY 1) m USING (doc_id)
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as WARC records, revisits for repeated payloads, and reads the archives back."""
     warc.register(spark)
@@ -56,8 +85,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_warc, op6_mixing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op5_warc, op6_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": OP5_SQL}
+    return {"op3_near_dedup": OP3_SQL, "op5_warc": OP5_SQL}
