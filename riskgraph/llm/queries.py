@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import mixing, near_dedup, sentencepiece_codec, warc
+from riskgraph.llm import mixing, near_dedup, sentencepiece_codec, substring_dedup, warc
 from riskgraph.llm.durable import Stage
 
 
@@ -84,9 +84,35 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(_table(spark, sf_dir, "documents")).documents()
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents keep when every passage of 35 words that recurs is removed."""
+    out = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"), width=35)
+    return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP10_SQL = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), p AS (
+  SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w
+), h AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS g FROM p
+), r AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY g) AS n FROM h) WHERE n > 1
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM r
+), k AS (
+  SELECT doc_id, count(*) AS n, list(j) AS j FROM c GROUP BY 1
+)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(k.n, 0)::BIGINT AS n_removed,
+  sha256(array_to_string(list_filter(w.w, lambda x, i: k.j IS NULL OR NOT list_contains(k.j, i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op5_warc, op6_mixing)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op5_warc, op6_mixing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": OP3_SQL, "op5_warc": OP5_SQL}
+    return {"op3_near_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op10_substring_dedup": OP10_SQL}
