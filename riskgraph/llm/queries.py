@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskgraph.llm import mixing, near_dedup, sentencepiece_codec, substring_dedup, warc
+from riskgraph.llm import mixing, near_dedup, sentencepiece_codec, substring_dedup, topk_search, warc
 from riskgraph.llm.durable import Stage
 
 
@@ -51,6 +52,24 @@ FROM s JOIN (SELECT doc_id, min(root) AS root FROM r GROUP BY 1) m USING (doc_id
 """
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every twentieth vector with all others."""
+    return topk_search.exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+OP4_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all pages as WARC records, revisits for repeated payloads, and reads the archives back."""
     warc.register(spark)
@@ -111,8 +130,8 @@ FROM w LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op5_warc, op6_mixing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op4_topk, op5_warc, op6_mixing, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_near_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op10_substring_dedup": OP10_SQL}
+    return {"op3_near_dedup": OP3_SQL, "op4_topk": OP4_SQL, "op5_warc": OP5_SQL, "op10_substring_dedup": OP10_SQL}
