@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import mixing, near_dedup, sentencepiece_codec, substring_dedup, topk_search, warc
+from riskgraph.llm import ann_tree, mixing, near_dedup, sentencepiece_codec, substring_dedup, topk_search, warc
 from riskgraph.llm.durable import Stage
 
 
@@ -103,6 +103,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mix(_table(spark, sf_dir, "documents")).documents()
 
 
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five near neighbours by cosine of every fiftieth vector."""
+    return ann_tree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What documents keep when every passage of 35 words that recurs is removed."""
     out = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"), width=35)
@@ -130,7 +135,7 @@ FROM w LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op4_topk, op5_warc, op6_mixing, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op4_topk, op5_warc, op6_mixing, op7_ann, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
