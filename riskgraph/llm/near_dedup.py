@@ -35,6 +35,8 @@ from riskgraph.llm.words import WordHashes, blocks, mix, text_bytes, windows
 
 SYMBOLS = 4
 SYMBOL_BYTES = 2
+#: Rounds with one pivot for each key, before shingles are counted that no other text has.
+STARS = 2
 
 
 def shingle_sets(texts: list[bytes], hashes: WordHashes, width: int) -> list[np.ndarray]:
@@ -115,7 +117,7 @@ def _index(nodes: DataFrame, chunks: int) -> DataFrame:
     for c in range(chunks):
         part = [F.substring("sig", (c * SYMBOLS + k) * SYMBOL_BYTES + 1, SYMBOL_BYTES) for k in range(SYMBOLS)]
         keys += [F.xxhash64(F.lit(c * SYMBOLS + w), *(p for k, p in enumerate(part) if k != w)) for w in range(SYMBOLS)]
-    return nodes.select("node", F.explode(F.array(*keys)).alias("key"))
+    return nodes.select("node", "n", F.explode(F.array(*keys)).alias("key"))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -147,6 +149,24 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(run, "u long, v long")
 
 
+def _alone(texts: DataFrame, width: int) -> DataFrame:
+    """Rows (node, alone): how many shingles of a text no other of these texts has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            nodes = batch.column(0).to_numpy()
+            rows = [text_bytes(t, lower=True) for t in batch.column(1).to_pylist()]
+            for s in blocks(rows):
+                sets = shingle_sets(rows[s], hashes, width)
+                flat = np.concatenate(sets).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[s], [len(x) for x in sets])), pa.array(flat)], ["node", "h"])
+
+    rows = texts.select("node", "text").mapInArrow(run, "node long, h long")
+    once = rows.groupBy("h").agg(F.count("*").alias("m"), F.first("node").alias("node")).filter("m = 1")
+    return once.groupBy("node").agg(F.count("*").alias("alone"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, chunks: int = 10, pivots: int = 4
 ) -> DataFrame:
@@ -160,14 +180,15 @@ def near_duplicates(
     plain = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
     signed = stage.keep(_sign(plain.withColumn("mark", F.xxhash64("text")), width, count))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "mark")).alias("f")
-    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(first, F.first("sig").alias("sig"))
-    nodes = stage.keep(nodes.select("node", F.col("f.doc_id").alias("id"), F.col("f.mark").alias("mark"), "sig"))
+    nodes = signed.filter("n_shingles > 0").groupBy("node").agg(first, F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    nodes = stage.keep(nodes.select("node", F.col("f.doc_id").alias("id"), F.col("f.mark").alias("mark"), "n", "sig"))
     index = _index(nodes, chunks)
     shared = index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    members = stage.keep(index.join(shared, "key").select("key", "node", F.col("node").alias("comp"), F.lit(False).alias("done")))
+    found = index.join(shared, "key").select("key", "node", F.col("node").alias("comp"), F.lit(False).alias("done"), "n", F.col("n").alias("r"))
+    members = stage.keep(found)
 
     # one text for each node that has candidates: its first row's
-    used = stage.keep(members.select("node").distinct().join(nodes.drop("sig"), "node"))
+    used = stage.keep(members.select("node").distinct().join(nodes.drop("sig", "n"), "node"))
     rows = plain.withColumn("mark", F.xxhash64("text")).alias("p").join(used.alias("u"), F.expr("p.mark = u.mark and p.doc_id <=> u.id"))
     texts = stage.keep(rows.select("node", "p.text"))
     if texts.count() > used.count():
@@ -181,18 +202,24 @@ def near_duplicates(
     tested: DataFrame | None = None
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    per_key = 1
+    turn, per_key = 0, 1
     while True:
-        sizes = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
-        sizes = sizes.agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+        sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
+        sizes = sizes.agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"))
         mixed = stage.keep(members.join(sizes.filter("comps > 1").select("key", "main"), "key"))
+        if turn == STARS:
+            left_over = texts.join(mixed.select("node").distinct(), "node", "left_semi")
+            mixed = stage.keep(mixed.join(_alone(left_over, width), "node", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"))
+            mixed = mixed.filter(F.col("r") * 100 >= F.col("n") * percent)
         slot = F.pmod(F.xxhash64("node"), F.lit(per_key))
-        chosen = mixed.filter("comp <> main and not done").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "comp")).alias("p"))
-        chosen = stage.keep(chosen.select("key", F.col("p.node").alias("pivot"), F.col("p.comp").alias("pivot_comp")))
+        chosen = mixed.filter("comp <> main and not done").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "n", "r")).alias("p"))
+        chosen = stage.keep(chosen.select("key", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "comp", "n", "r"))))
         if chosen.isEmpty():
             break
-        pairs = mixed.join(chosen, "key").filter("comp <> pivot_comp")
-        pairs = pairs.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        # what two sets have in common is at most what either shares with any set
+        most = F.least("r", "p_r")
+        pairs = mixed.join(chosen, "key").filter((F.col("comp") != F.col("p_comp")) & (most * 100 >= (F.col("n") + F.col("p_n") - most) * percent))
+        pairs = pairs.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
@@ -202,13 +229,15 @@ def near_duplicates(
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
         labels = components(links, stage)
-        done = chosen.select("key", F.col("pivot").alias("node"), F.lit(True).alias("was"))
+        done = chosen.select("key", F.col("p_node").alias("node"), F.lit(True).alias("was"))
         next_ = mixed.join(labels, "node", "left").join(done, ["key", "node"], "left")
-        next_ = next_.select("key", "node", F.coalesce("root", "node").alias("comp"), (F.col("done") | F.col("was").isNotNull()).alias("done"))
+        next_ = next_.select("key", "node", F.coalesce("root", "node").alias("comp"), (F.col("done") | F.col("was").isNotNull()).alias("done"), "n", "r")
         stage.drop(members)
         members = stage.keep(next_)
-        stage.drop(mixed, chosen)
-        per_key *= pivots
+        stage.drop(chosen)
+        turn += 1
+        if turn > STARS:
+            per_key *= pivots
     ids = nodes.select("node", "id")
     ids = ids.join(labels, "node", "left") if labels is not None else ids.withColumn("root", F.col("node"))
     ids = ids.withColumn("root", F.coalesce("root", "node"))

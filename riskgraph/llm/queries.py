@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import ann_tree, mixing, near_dedup, sentencepiece_codec, substring_dedup, topk_search, warc
+from riskgraph.llm import ann_tree, lm_mixing, mixing, near_dedup, sentencepiece_codec, substring_dedup, topk_search, warc
 from riskgraph.llm.durable import Stage
 
 
@@ -23,6 +23,16 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_column(docs, model, keep=["doc_id"], ids=None, decoded=None, digests=True)
 
 
+def _remainder(of: int) -> Column:
+    """crc32 of the id as text, modulo; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % of
+
+
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under a unigram and a context-mixing model."""
+    return lm_mixing.score_texts(_table(spark, sf_dir, "documents"), _remainder(5) != 1)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of three-word shingles overlap by 85 of 100 or more."""
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
@@ -135,7 +145,7 @@ FROM w LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op3_near_dedup, op4_topk, op5_warc, op6_mixing, op7_ann, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm, op3_near_dedup, op4_topk, op5_warc, op6_mixing, op7_ann, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
