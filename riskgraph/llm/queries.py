@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import ann_tree, lm_mixing, mixing, near_dedup, sentencepiece_codec, substring_dedup, topk_search, warc
+from riskgraph.llm import ann_tree, lm_mixing, mixing, near_dedup, quality, sentencepiece_codec, substring_dedup, topk_search, warc
 from riskgraph.llm.durable import Stage
 
 
@@ -118,6 +118,11 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores for quality and toxicity of every document, and whether it is kept."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), columns=["doc_id"])
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What documents keep when every passage of 35 words that recurs is removed."""
     out = substring_dedup.repeated_passages(_table(spark, sf_dir, "documents"), width=35)
@@ -145,7 +150,7 @@ FROM w LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_lm, op3_near_dedup, op4_topk, op5_warc, op6_mixing, op7_ann, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm, op3_near_dedup, op4_topk, op5_warc, op6_mixing, op7_ann, op9_quality, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
