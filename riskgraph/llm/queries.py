@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgraph.llm import ann_tree, lm_mixing, mixing, near_dedup, quality, sentencepiece_codec, substring_dedup, topk_search, warc
+from riskgraph.llm import ann_tree, langid_crf, lm_mixing, mixing, near_dedup, quality, sentencepiece_codec, substring_dedup, topk_search, warc
 from riskgraph.llm.durable import Stage
 
 
@@ -118,6 +118,14 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_tree.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from three quarters of them."""
+    docs = _table(spark, sf_dir, "documents")
+    field = langid_crf.train(docs, _remainder(4) != 2)
+    out = langid_crf.predict(docs, field, columns=["doc_id"])
+    return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores for quality and toxicity of every document, and whether it is kept."""
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), columns=["doc_id"])
@@ -150,7 +158,7 @@ FROM w LEFT JOIN k USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_lm, op3_near_dedup, op4_topk, op5_warc, op6_mixing, op7_ann, op9_quality, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_lm, op3_near_dedup, op4_topk, op5_warc, op6_mixing, op7_ann, op8_langid, op9_quality, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
