@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskgraph.llm.durable import Stage
 from riskgraph.llm.vectors import best, finite, matrix, ranked, usual_length
 
 SAMPLE = 40_000
@@ -35,6 +36,8 @@ MAX_LEAVES = 4096
 BRANCH = 8
 #: Sampled vectors whose true neighbours calibrate the visits.
 CALIBRATE = 400
+#: Leaves of a query whose k best bound what the rest of its leaves return.
+FIRST = 8
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -131,7 +134,7 @@ class Tree:
 
 def nearest(
     rows: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding",
-    recall: float = 0.97, leaf_rows: int = 128, cell_rows: int = 16384, cell_queries: int = 2048,
+    recall: float = 0.97, leaf_rows: int = 512, cell_rows: int = 16384, cell_queries: int = 2048,
 ) -> DataFrame:
     """The k nearest found of each row that ``queries`` (a condition on vec_id) picks.
 
@@ -167,7 +170,17 @@ def nearest(
     members = plain.mapInArrow(assign, schema)
     asked = plain.filter(F.col("vec_id").isNotNull()).filter(queries).distinct().withColumn("q", F.xxhash64("vec_id", "v"))
     visits = asked.mapInArrow(walk, T.StructType(asked.schema.fields + [T.StructField("leaves", T.ArrayType(T.LongType()))]))
-    visits = visits.withColumn("leaf", F.explode("leaves")).drop("leaves")
+    # the first leaves give each query a score to beat; the others return only what reaches it
+    early = visits.withColumn("leaf", F.explode(F.slice("leaves", 1, FIRST))).withColumn("bar", F.lit(-2.0)).drop("leaves")
+    begun = Stage(spark, "ann").keep(_scored(members, early, k, cell_rows, cell_queries))
+    bars = ranked(begun, k, "score", keep_query=True).filter(F.col("rank") == k).select("q", F.col("score").alias("bar"))
+    late = visits.withColumn("leaf", F.explode(F.expr(f"slice(leaves, {FIRST + 1}, greatest(size(leaves) - {FIRST}, 0))"))).drop("leaves")
+    late = late.join(bars, "q", "left").fillna(-2.0, ["bar"]).select(*early.columns)
+    return ranked(begun.unionByName(_scored(members, late, k, cell_rows, cell_queries)), k, "score")
+
+
+def _scored(members: DataFrame, visits: DataFrame, k: int, cell_rows: int, cell_queries: int) -> DataFrame:
+    """The k best of each leaf for the queries that visit it, if they reach the query's bar."""
     # cells: neither a leaf of very many rows nor one of very many queries meets in one task
     per_leaf = members.groupBy("leaf").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("rbs"))
     per_ask = visits.groupBy("leaf").agg(F.ceil(F.count("*") / cell_queries).cast("int").alias("qbs"))
@@ -175,7 +188,7 @@ def nearest(
     left = members.join(cells, "leaf").withColumn("rb", F.pmod(F.xxhash64("vec_id", "v", F.lit(6)), F.col("rbs")).cast("int"))
     left = left.withColumn("qb", F.explode(F.expr("sequence(0, qbs - 1)"))).select("leaf", "rb", "qb", "vec_id", "v")
     right = visits.join(cells, "leaf").withColumn("qb", F.pmod(F.xxhash64("q", F.lit(6)), F.col("qbs")).cast("int"))
-    right = right.withColumn("rb", F.explode(F.expr("sequence(0, rbs - 1)"))).select("leaf", "rb", "qb", "q", "vec_id", "v")
+    right = right.withColumn("rb", F.explode(F.expr("sequence(0, rbs - 1)"))).select("leaf", "rb", "qb", "q", "vec_id", "v", "bar")
     last = np.iinfo(np.int64).max
 
     def cell(block: pa.Table, ask: pa.Table) -> pa.Table:
@@ -184,14 +197,14 @@ def nearest(
             ids = np.array([last if i is None else i for i in block["vec_id"].to_pylist()], np.int64)
             x = matrix(block["v"], np.float64)
             length = np.sqrt((x * x).sum(axis=1))
-            for q, own, y in zip(ask["q"].to_pylist(), ask["vec_id"].to_pylist(), matrix(ask["v"], np.float64)):
+            for q, own, bar, y in zip(ask["q"].to_pylist(), ask["vec_id"].to_pylist(), ask["bar"].to_pylist(), matrix(ask["v"], np.float64)):
                 score = (x * y).sum(axis=1) / (length * np.sqrt((y * y).sum()))
-                some = np.flatnonzero(ids != own)
-                top = some[best(score[some], ids[some], k)]
-                for column, values in zip(out, ([q] * len(top), [own] * len(top), ids[top].tolist(), score[top].tolist())):
-                    column += values
+                some = np.flatnonzero((ids != own) & (score >= bar))
+                if len(some):
+                    top = some[best(score[some], ids[some], k)]
+                    for column, values in zip(out, ([q] * len(top), [own] * len(top), ids[top].tolist(), score[top].tolist())):
+                        column += values
         out[2] = [None if i == last else i for i in out[2]]
         return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["q", "query_id", "vec_id", "score"])
 
-    partial = left.groupBy("leaf", "rb", "qb").cogroup(right.groupBy("leaf", "rb", "qb")).applyInArrow(cell, "q long, query_id long, vec_id long, score double")
-    return ranked(partial, k, "score")
+    return left.groupBy("leaf", "rb", "qb").cogroup(right.groupBy("leaf", "rb", "qb")).applyInArrow(cell, "q long, query_id long, vec_id long, score double")

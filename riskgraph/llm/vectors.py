@@ -28,7 +28,7 @@ def matrix(column, dtype) -> np.ndarray:
     return np.asarray(column.combine_chunks().flatten() if hasattr(column, "combine_chunks") else column.flatten(), dtype).reshape(n, -1)
 
 
-def ranked(partial: DataFrame, k: int, score: str) -> DataFrame:
+def ranked(partial: DataFrame, k: int, score: str, keep_query: bool = False) -> DataFrame:
     """The k best of each query out of partial results (q, query_id, vec_id, score), ties to the smaller vec_id.
 
     A query has at most k rows from each block it met, so a window's rows are bounded by
@@ -36,7 +36,7 @@ def ranked(partial: DataFrame, k: int, score: str) -> DataFrame:
     """
     order = W.partitionBy("q").orderBy(F.desc(score), F.col("vec_id").asc_nulls_last())
     out = partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return out.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return out.select(*(["q"] if keep_query else []), "query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
