@@ -7,11 +7,13 @@ has ``chunks`` times ``SYMBOLS`` minima of 16 bits. Two signatures that differ i
 error; so each chunk is indexed under every choice of three of its four symbols, and all
 pairs within that distance meet under some key. Candidates are confirmed on the full sets.
 
-Links are found without emitting all pairs of a key. Each round tests a few pivots of a
-key against its members in other components, then components grow by the confirmed links.
-A key is finished when all its members outside its largest component have been pivots, or
-when it lies in one component. So every pair of documents that share a key and are not in
-one component in the end has been tested; a group of copies needs about one test each.
+Links are found without emitting all pairs of a key. A few rounds test one pivot of each
+key, the same ones in all keys where they can be, against the members in other components,
+and components grow by the confirmed links; a group of copies mostly needs no more. What
+is then still mixed in a key are texts alike but not linked. Those outside their key's
+largest component are settled against all they are connected with by such keys, in cells
+of bounded size that count common shingles exactly and emit links only. So every pair that
+meets under a key and is not in one component in the end has been tested.
 
 Nulls, and texts without words, have an empty set and are linked with nothing. Rows that
 repeat an id share its component if their texts do; a null id never names a component
@@ -35,8 +37,10 @@ from riskgraph.llm.words import WordHashes, blocks, mix, text_bytes, windows
 
 SYMBOLS = 4
 SYMBOL_BYTES = 2
-#: Rounds with one pivot for each key, before shingles are counted that no other text has.
+#: Rounds with one pivot for each key, before what is left is settled in cells.
 STARS = 2
+#: Characters of text in a block of a cell.
+CELL_BYTES = 4 << 20
 
 
 def shingle_sets(texts: list[bytes], hashes: WordHashes, width: int) -> list[np.ndarray]:
@@ -149,31 +153,60 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     return both.mapInArrow(run, "u long, v long")
 
 
-def _alone(texts: DataFrame, width: int) -> DataFrame:
-    """Rows (node, alone): how many shingles of a text no other of these texts has."""
+def _may_reach(n: str, m: str, percent: int):
+    """Whether sets of these sizes can have the similarity."""
+    return F.least(F.col(n), F.col(m)) * 100 >= F.greatest(F.col(n), F.col(m)) * percent
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            rows = [text_bytes(t, lower=True) for t in batch.column(1).to_pylist()]
-            for s in blocks(rows):
-                sets = shingle_sets(rows[s], hashes, width)
-                flat = np.concatenate(sets).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nodes[s], [len(x) for x in sets])), pa.array(flat)], ["node", "h"])
 
-    rows = texts.select("node", "text").mapInArrow(run, "node long, h long")
-    once = rows.groupBy("h").agg(F.count("*").alias("m"), F.first("node").alias("node")).filter("m = 1")
-    return once.groupBy("node").agg(F.count("*").alias("alone"))
+def _settled(mixed: DataFrame, texts: DataFrame, width: int, percent: int, stage: Stage) -> DataFrame:
+    """Links (u, v) between components among nodes that meet under keys still mixed; one per node and component.
+
+    Nodes that are connected by such keys form a cluster. A cell holds two blocks of a
+    cluster, of ``CELL_BYTES`` of text each, and counts what the sets of one block have in
+    common with those of the other over an inverted list; only links leave it.
+    """
+    nodes = stage.keep(mixed.groupBy("node", "comp").agg(F.bool_or((F.col("comp") != F.col("main")) & ~F.col("done")).alias("open")))
+    meet = mixed.join(mixed.groupBy("key").agg(F.min("node").alias("v")), "key").select(F.col("node").alias("u"), "v").filter("u <> v").distinct()
+    clusters = components(meet, stage).withColumnRenamed("root", "cluster")
+    rows = nodes.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    rows = stage.keep(rows.join(texts, "node").select("cluster", "node", "comp", "open", "text"))
+    size = rows.groupBy("cluster").agg(F.ceil(F.sum(F.length("text")) / CELL_BYTES).cast("int").alias("nb"))
+    rows = rows.join(size, "cluster").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("every", F.expr("sequence(0, nb - 1)"))
+    left = rows.filter("open").select("cluster", F.col("b").alias("lb"), F.explode("every").alias("rb"), "node", "comp", "text")
+    right = rows.select(F.col("cluster").alias("cluster2"), F.explode("every").alias("lb2"), F.col("b").alias("rb2"), *(F.col(c).alias(f"{c}2") for c in ("node", "comp", "text")))
+
+    def cell(one: pa.Table, two: pa.Table) -> pa.Table:
+        u, v = [], []
+        if one.num_rows and two.num_rows:
+            hashes = WordHashes()
+            read = lambda column: shingle_sets([text_bytes(x, lower=True) for x in column.to_pylist()], hashes, width)
+            theirs, mine = read(two["text2"]), read(one["text"])
+            sizes = np.fromiter(map(len, theirs), np.int64, len(theirs))
+            flat = np.concatenate(theirs)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(theirs)), sizes)[order]
+            nodes, comps = two["node2"].to_numpy(), two["comp2"].to_numpy()
+            for node, comp, x in zip(one["node"].to_pylist(), one["comp"].to_pylist(), mine):
+                lo, hi = np.searchsorted(flat, x, "left"), np.searchsorted(flat, x, "right")
+                n = hi - lo
+                at = np.repeat(hi - np.cumsum(n), n) + np.arange(n.sum())
+                same = np.bincount(owner[at], minlength=len(theirs))
+                hit = np.flatnonzero((100 * same >= percent * (len(x) + sizes - same)) & (comps != comp))
+                _, first = np.unique(comps[hit], return_index=True)
+                u += [node] * len(first)
+                v += nodes[hit[first]].tolist()
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return left.groupBy("cluster", "lb", "rb").cogroup(right.groupBy("cluster2", "lb2", "rb2")).applyInArrow(cell, "u long, v long")
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, chunks: int = 10, pivots: int = 4
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, chunks: int = 10, marks: bool = False
 ) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (least id of its group), kept (it is that id).
 
-    ``percent``: Jaccard similarity from which two sets are linked. ``pivots``: growth, from
-    round to round, of the number of a key's members that are tested against the others.
+    ``marks`` adds the hash of each row's text. ``percent``: Jaccard similarity from which
+    two sets are linked.
     """
     stage = Stage(docs.sparkSession, "near")
     count = chunks * SYMBOLS
@@ -184,7 +217,7 @@ def near_duplicates(
     nodes = stage.keep(nodes.select("node", F.col("f.doc_id").alias("id"), F.col("f.mark").alias("mark"), "n", "sig"))
     index = _index(nodes, chunks)
     shared = index.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    found = index.join(shared, "key").select("key", "node", F.col("node").alias("comp"), F.lit(False).alias("done"), "n", F.col("n").alias("r"))
+    found = index.join(shared, "key").select("key", "node", F.col("node").alias("comp"), F.lit(False).alias("done"), "n")
     members = stage.keep(found)
 
     # one text for each node that has candidates: its first row's
@@ -194,32 +227,29 @@ def near_duplicates(
     if texts.count() > used.count():
         texts = stage.keep(texts.dropDuplicates(["node"]))
 
-    # more differing symbols than any linked pair has, but for odds of one in billions
-    p = percent / 100
-    limit = count * (1 - p) + 8 * (count * p * (1 - p)) ** 0.5
+    # the distance within which the index finds every pair
+    limit = 2 * chunks - 1
     symbol = lambda side, k: F.substring(side, k * SYMBOL_BYTES + 1, SYMBOL_BYTES)
     apart = sum((F.when(symbol("sa", k) != symbol("sb", k), 1).otherwise(0) for k in range(count)), F.lit(0))
     tested: DataFrame | None = None
     links: DataFrame | None = None
     labels: DataFrame | None = None
-    turn, per_key = 0, 1
-    while True:
+    for turn in range(STARS + 1):
         sizes = members.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key")
         sizes = sizes.agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("m", "comp")).alias("main"))
         mixed = stage.keep(members.join(sizes.filter("comps > 1").select("key", "main"), "key"))
-        if turn == STARS:
-            left_over = texts.join(mixed.select("node").distinct(), "node", "left_semi")
-            mixed = stage.keep(mixed.join(_alone(left_over, width), "node", "left").withColumn("r", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone"))
-            mixed = mixed.filter(F.col("r") * 100 >= F.col("n") * percent)
-        slot = F.pmod(F.xxhash64("node"), F.lit(per_key))
-        chosen = mixed.filter("comp <> main and not done").groupBy("key", slot.alias("slot")).agg(F.min(F.struct("node", "comp", "n", "r")).alias("p"))
-        chosen = stage.keep(chosen.select("key", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "comp", "n", "r"))))
-        if chosen.isEmpty():
+        stage.drop(members)
+        if mixed.isEmpty():
+            break
+        if turn < STARS:
+            chosen = mixed.filter("comp <> main and not done").groupBy("key").agg(F.min(F.struct("node", "comp", "n")).alias("p"))
+            chosen = stage.keep(chosen.select("key", *(F.col(f"p.{c}").alias(f"p_{c}") for c in ("node", "comp", "n"))))
+            pairs = mixed.join(chosen, "key").filter((F.col("comp") != F.col("p_comp")) & _may_reach("n", "p_n", percent))
+            pairs = pairs.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b")).distinct()
+        else:
+            new = stage.keep(_settled(mixed, texts, width, percent, stage))
+            labels = components(new if links is None else links.unionByName(new), stage)
             break
-        # what two sets have in common is at most what either shares with any set
-        most = F.least("r", "p_r")
-        pairs = mixed.join(chosen, "key").filter((F.col("comp") != F.col("p_comp")) & (most * 100 >= (F.col("n") + F.col("p_n") - most) * percent))
-        pairs = pairs.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
@@ -228,16 +258,13 @@ def near_duplicates(
         new = stage.keep(_confirm(pairs, texts, width, percent))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = new if links is None else links.unionByName(new)
+        stage.free()
         labels = components(links, stage)
         done = chosen.select("key", F.col("p_node").alias("node"), F.lit(True).alias("was"))
         next_ = mixed.join(labels, "node", "left").join(done, ["key", "node"], "left")
-        next_ = next_.select("key", "node", F.coalesce("root", "node").alias("comp"), (F.col("done") | F.col("was").isNotNull()).alias("done"), "n", "r")
-        stage.drop(members)
+        next_ = next_.select("key", "node", F.coalesce("root", "node").alias("comp"), (F.col("done") | F.col("was").isNotNull()).alias("done"), "n")
         members = stage.keep(next_)
-        stage.drop(chosen)
-        turn += 1
-        if turn > STARS:
-            per_key *= pivots
+        stage.drop(mixed, chosen)
     ids = nodes.select("node", "id")
     ids = ids.join(labels, "node", "left") if labels is not None else ids.withColumn("root", F.col("node"))
     ids = ids.withColumn("root", F.coalesce("root", "node"))
@@ -245,4 +272,24 @@ def near_duplicates(
     ids = stage.keep(ids.join(least, "root").select("node", "component"))
     out = signed.drop("sig").join(ids, "node", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    kept = F.col("doc_id").eqNullSafe(component).alias("kept")
+    return out.select("doc_id", *(["mark"] if marks else []), "n_shingles", component.alias("component_id"), kept)
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay when each group keeps the document of its least id.
+
+    Rows without words are not linked and all stay. Of rows that repeat an id within a
+    group one stays, that of the least hash of its text.
+    """
+    kept = near_duplicates(docs, doc_id, text, width, percent, marks=True).filter("kept")
+    some = kept.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.min("mark").alias("mark"))
+    stage = Stage(docs.sparkSession, "one")
+    stay = stage.keep(some.select("doc_id", "mark").unionByName(kept.filter("n_shingles = 0").select("doc_id", "mark").distinct()))
+    marked = docs.withColumn("__mark", F.xxhash64(docs[text].cast("string"))).withColumn("__id", docs[doc_id].cast("long")).alias("d")
+    out = marked.join(stay.alias("s"), F.expr("d.__mark = s.mark and d.__id <=> s.doc_id"), "left_semi")
+    again = marked.groupBy("__id", "__mark").agg(F.count("*").alias("n"), F.first("__mark").alias("m")).filter("n > 1")
+    if not again.isEmpty():
+        empty = F.length(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " "))) == 0
+        out = out.filter(empty).unionByName(out.filter(~empty).dropDuplicates(["__id", "__mark"]))
+    return out.select(*docs.columns)
