@@ -210,3 +210,13 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         "doc_id", "mark", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("kept_sha", "sha").alias("kept_sha256"), *(["kept"] if text_out else []),
     )
+
+
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 35) -> DataFrame:
+    """All rows of docs; a text that loses words becomes the rest of them, joined by one space."""
+    stage = Stage(docs.sparkSession, "rest")
+    found = repeated_passages(docs, doc_id, text, width, text_out=True).filter("n_removed > 0")
+    rest = stage.keep(found.groupBy("mark").agg(F.first("kept").alias("__kept")).withColumnRenamed("mark", "__mark"))
+    marked = docs.withColumn("__mark", F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))))
+    out = marked.join(rest, "__mark", "left").withColumn(text, F.coalesce("__kept", F.col(text)))
+    return out.select(*docs.columns)
