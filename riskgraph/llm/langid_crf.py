@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgraph.llm.words import WordHashes, blocks, text_bytes
+from riskgraph.llm.words import WordHashes, blocks, free_name, text_bytes
 
 BUCKETS = 1 << 16
 #: Frequent words of each language in the lexicon.
@@ -328,7 +328,7 @@ def predict(docs: DataFrame, field: Field | None, text: str = "text", columns: l
     new = ["lang_pred", "score"]
     kept = [c for c in (docs.columns if columns is None else columns) if c not in new]
     fields = [docs.schema[c] for c in kept] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    source = docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias("__text"))
+    source = docs.select(*[docs[c] for c in kept], docs[text].cast("string").alias(free_name(docs.columns, "__text")))
     shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from riskgraph.llm.durable import Stage
+from riskgraph.durable import Stage
+from riskgraph.llm.words import free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to which their table is broadcast; above it the join shuffles.
@@ -173,13 +174,15 @@ class Mix:
         nth = self.rows.join(twins, "mark", "left_semi").join(places, ["sid", "at"]).filter("size > 0").select("sid", "at", "nth")
         runs = runs.join(nth, ["sid", "at"], "left").withColumn("nth", F.coalesce("nth", F.lit(1)))
         body = F.coalesce(self.text.cast("string"), F.lit(""))
-        marked = self.docs.withColumn("__mark", self.mark)
-        again = marked.join(twins.withColumnRenamed("mark", "__mark"), "__mark", "left_semi").withColumn("__nth", F.row_number().over(W.partitionBy("__mark").orderBy("__mark")))
-        once = marked.join(twins.withColumnRenamed("mark", "__mark"), "__mark", "left_anti").withColumn("__nth", F.lit(1))
-        taken = runs.select(F.col("mark").alias("__mark"), F.col("nth").alias("__nth"), F.col("runs").alias("__runs"), F.col("got").alias("__got"), F.col("size").alias("__size"))
-        out = once.unionByName(again).join(taken, ["__mark", "__nth"])
+        names = {n: free_name(self.docs.columns, f"__{n}") for n in ("mark", "nth", "runs", "got", "size")}
+        mark, number = names["mark"], names["nth"]
+        marked, twins = self.docs.withColumn(mark, self.mark), twins.withColumnRenamed("mark", mark)
+        again = marked.join(twins, mark, "left_semi").withColumn(number, F.row_number().over(W.partitionBy(mark).orderBy(mark)))
+        once = marked.join(twins, mark, "left_anti").withColumn(number, F.lit(1))
+        taken = runs.select(*(F.col(n).alias(names[n]) for n in names))
+        out = once.unionByName(again).join(taken, [mark, number])
         name = next(c for c in self.docs.columns if c == "text")
         words = F.filter(F.split(F.col(name), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-        cut = F.array_join(F.flatten(F.transform("__runs", lambda r: F.slice(words, r["begin"].cast("int") + 1, r["words"].cast("int")))), " ")
-        text = F.when(F.col("__got") == F.col("__size"), F.col(name)).otherwise(cut)
+        cut = F.array_join(F.flatten(F.transform(names["runs"], lambda r: F.slice(words, r["begin"].cast("int") + 1, r["words"].cast("int")))), " ")
+        text = F.when(F.col(names["got"]) == F.col(names["size"]), F.col(name)).otherwise(cut)
         return out.withColumn(name, text).select(*self.docs.columns)

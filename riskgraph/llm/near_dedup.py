@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.llm.components import components
-from riskgraph.llm.durable import Stage
-from riskgraph.llm.words import WordHashes, blocks, mix, text_bytes, windows
+from riskgraph.durable import Stage
+from riskgraph.llm.words import WordHashes, blocks, free_name, mix, text_bytes, windows
 
 SYMBOLS = 4
 SYMBOL_BYTES = 2
@@ -286,10 +286,11 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     some = kept.filter("n_shingles > 0").groupBy("doc_id", "component_id").agg(F.min("mark").alias("mark"))
     stage = Stage(docs.sparkSession, "one")
     stay = stage.keep(some.select("doc_id", "mark").unionByName(kept.filter("n_shingles = 0").select("doc_id", "mark").distinct()))
-    marked = docs.withColumn("__mark", F.xxhash64(docs[text].cast("string"))).withColumn("__id", docs[doc_id].cast("long")).alias("d")
-    out = marked.join(stay.alias("s"), F.expr("d.__mark = s.mark and d.__id <=> s.doc_id"), "left_semi")
-    again = marked.groupBy("__id", "__mark").agg(F.count("*").alias("n"), F.first("__mark").alias("m")).filter("n > 1")
+    mark, id_ = free_name(docs.columns, "__mark"), free_name(docs.columns, "__id")
+    marked = docs.withColumn(mark, F.xxhash64(docs[text].cast("string"))).withColumn(id_, docs[doc_id].cast("long")).alias("d")
+    out = marked.join(stay.alias("s"), F.expr(f"d.{mark} = s.mark and d.{id_} <=> s.doc_id"), "left_semi")
+    again = marked.groupBy(id_, mark).agg(F.count("*").alias("rows_alike")).filter("rows_alike > 1")
     if not again.isEmpty():
         empty = F.length(F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D]", " "))) == 0
-        out = out.filter(empty).unionByName(out.filter(~empty).dropDuplicates(["__id", "__mark"]))
+        out = out.filter(empty).unionByName(out.filter(~empty).dropDuplicates([id_, mark]))
     return out.select(*docs.columns)

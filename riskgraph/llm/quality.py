@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskgraph.llm.words import WordHashes, text_bytes
+from riskgraph.llm.words import WordHashes, free_name, text_bytes
 
 LABELLED = 20_000
 POOL = 4_000
@@ -150,13 +150,13 @@ def _views(texts: list[bytes], chars: list, langs: list, sources: list, words: d
 def _plain_columns(docs: DataFrame) -> list:
     """Text, length, language and source under names of their own; absent ones are null."""
     kinds = {"text": "string", "n_chars": "long", "lang": "string", "source": "string"}
-    return [(docs[c] if c in docs.columns else F.lit(None)).cast(k).alias(f"__{c}") for c, k in kinds.items()]
+    return [(docs[c] if c in docs.columns else F.lit(None)).cast(k).alias(free_name(docs.columns, f"__{c}")) for c, k in kinds.items()]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Question, Question, dict[int, int]]:
     """The two questions (quality, toxic) and the selected words."""
     spark = docs.sparkSession
-    plain = docs.select(docs["doc_id"].cast("long").alias("__id"), *_plain_columns(docs))
+    plain = docs.select(docs["doc_id"].cast("long"), *_plain_columns(docs)).toDF("__id", "__text", "__n_chars", "__lang", "__source")
     lot = F.xxhash64(F.lit(31), "doc_id")
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["quality"].cast("int").alias("quality"), labels["toxic"].cast("int").alias("toxic")).dropna()
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))

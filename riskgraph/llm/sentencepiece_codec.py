@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from riskgraph.llm.words import free_name
+
 SPACE = "▁"
 #: Cuts whose ids one task remembers; beyond it the memory starts anew.
 REMEMBERED = 200_000
@@ -351,7 +353,7 @@ def encode_column(
     names = {f.name for f in added}
     kept = [c for c in (df.columns if keep is None else keep) if c not in names]
     fields = [df.schema[c] for c in kept] + added
-    source = df.select(*[df[c] for c in kept], df[text].cast("string").alias("__text"))
+    source = df.select(*[df[c] for c in kept], df[text].cast("string").alias(free_name(df.columns, "__text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Encoder(PieceModel(model))
@@ -383,7 +385,7 @@ def decode_column(df: DataFrame, model: bytes, ids: str = "ids", decoded: str =
     """Adds the text that an ids column stands for; a null list counts as empty."""
     kept = [c for c in df.columns if c != decoded]
     fields = [df.schema[c] for c in kept] + [T.StructField(decoded, T.StringType())]
-    source = df.select(*[df[c] for c in kept], df[ids].cast("array<int>").alias("__ids"))
+    source = df.select(*[df[c] for c in kept], df[ids].cast("array<int>").alias(free_name(df.columns, "__ids")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = PieceModel(model).decode

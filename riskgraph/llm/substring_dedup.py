@@ -32,8 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.durable import Stage
-from riskgraph.llm.words import WordHashes, blocks, text_bytes, windows
+from riskgraph.durable import Stage
+from riskgraph.llm.words import WordHashes, blocks, free_name, text_bytes, windows
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -216,7 +216,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """All rows of docs; a text that loses words becomes the rest of them, joined by one space."""
     stage = Stage(docs.sparkSession, "rest")
     found = repeated_passages(docs, doc_id, text, width, text_out=True).filter("n_removed > 0")
-    rest = stage.keep(found.groupBy("mark").agg(F.first("kept").alias("__kept")).withColumnRenamed("mark", "__mark"))
-    marked = docs.withColumn("__mark", F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))))
-    out = marked.join(rest, "__mark", "left").withColumn(text, F.coalesce("__kept", F.col(text)))
+    mark, kept = free_name(docs.columns, "__mark"), free_name(docs.columns, "__kept")
+    rest = stage.keep(found.groupBy(F.col("mark").alias(mark)).agg(F.first("kept").alias(kept)))
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit(""))))
+    out = marked.join(rest, mark, "left").withColumn(text, F.coalesce(kept, F.col(text)))
     return out.select(*docs.columns)

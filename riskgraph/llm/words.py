@@ -80,3 +80,11 @@ def windows(h: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray,
         left = np.repeat(np.cumsum(counts), counts) - np.arange(total)
         fits = left >= width
     return acc, fits
+
+
+def free_name(columns: Iterable[str], name: str) -> str:
+    """The name, with underscores added while a column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
