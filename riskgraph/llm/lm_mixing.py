@@ -31,6 +31,7 @@ an id and text are scored alike, each. Without training texts all counts are zer
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,6 +107,15 @@ class Mixer:
         self.squares = np.full(self.weights.shape, 1e-2, np.float32)  # of the steps so far: they grow smaller
         self.map: np.ndarray | None = None  # (256 nodes, EDGES, 2) counts
 
+    def __getstate__(self) -> dict:
+        # tables of a small corpus are mostly zeros; executors keep their copy on disk
+        packed = [(t.shape, zlib.compress(t.tobytes(), 1)) for t in self.tables]
+        return self.__dict__ | {"tables": packed}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.tables = [np.frombuffer(zlib.decompress(b), np.uint16).reshape(shape) for shape, b in state["tables"]]
+
     def inputs(self, code: np.ndarray, out_one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Stretched predictions (order, window, bit), how well each is known, gates, and bits."""
         bits = _bits(code)
@@ -131,7 +141,8 @@ class Mixer:
     def mixed(self, x: np.ndarray, known: np.ndarray, gate: np.ndarray) -> np.ndarray:
         dot = np.zeros(gate.shape, np.float32)
         for k in range(len(ORDERS)):
-            dot += self.weights[gate, k, known[k]] * x[k]
+            at = (gate * len(ORDERS) + k) * KNOWN + known[k]
+            dot += self.weights.ravel().take(at) * x[k]
         return np.clip(dot, -14, 14)
 
     def learn(self, code: np.ndarray, count: np.ndarray) -> None:
@@ -197,6 +208,31 @@ class Mixer:
         return out
 
 
+class Remembered:
+    """Predictions of the windows that a task has met, up to a bound; beyond it the memory starts anew."""
+
+    MOST = 1 << 21
+
+    def __init__(self, mixer: Mixer):
+        self.mixer = mixer
+        self.codes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def log2(self, codes: np.ndarray) -> np.ndarray:
+        """Of distinct ascending windows."""
+        if len(self.codes) > self.MOST:
+            self.codes, self.values = np.zeros(0, np.uint64), np.zeros(0)
+        at = np.searchsorted(self.codes, codes)
+        old = np.zeros(len(codes), bool)
+        some = at < len(self.codes)
+        old[some] = self.codes[at[some]] == codes[some]
+        out = np.empty(len(codes))
+        out[old] = self.values[at[old]]
+        out[~old] = self.mixer.log2(codes[~old])
+        self.codes = np.insert(self.codes, at[~old], codes[~old])
+        self.values = np.insert(self.values, at[~old], out[~old])
+        return out
+
+
 # -- counting over the corpus -----------------------------------------------------------------
 
 
@@ -346,6 +382,7 @@ def train(windows: DataFrame) -> Mixer:
 
     sums = summed(rows.mapInArrow(tally, "t array<double>"), "t")
     mixer.refined(sums if len(sums) else np.zeros(256 * EDGES * 2))
+    shared.destroy()
     return mixer
 
 
@@ -372,14 +409,14 @@ def score_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, frequent, often = shared.value
         value = np.log10(np.append(often, 0) + 0.5)
-        hashes = WordHashes()
+        hashes, seen = WordHashes(), Remembered(model)
         for batch in batches:
             texts = [text_bytes(t) for t in batch.column(3).to_pylist()]
             for s in blocks(texts):
                 part = texts[s]
                 code, size = byte_windows(part)
                 distinct_codes, inverse = np.unique(code, return_inverse=True)
-                bits = np.add.reduceat(model.log2(distinct_codes)[inverse], np.concatenate([[0], np.cumsum(size)[:-1]]))
+                bits = np.add.reduceat(seen.log2(distinct_codes)[inverse], np.concatenate([[0], np.cumsum(size)[:-1]]))
                 h, n = hashes.flat(t.lower() for t in part)
                 row = np.repeat(np.arange(len(part)), n)
                 h, row = np.concatenate([h, np.full(len(part), END_WORD, np.uint64)]), np.concatenate([row, np.arange(len(part))])
