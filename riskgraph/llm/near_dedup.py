@@ -126,8 +126,9 @@ def _index(nodes: DataFrame, chunks: int) -> DataFrame:
 
 def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose full sets reach the similarity; rows (u, v)."""
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "ta", "b", "tb")
+    # the same plan at every size: a small side would be broadcast and a larger one not
+    both = pairs.hint("merge").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = both.hint("merge").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "ta", "b", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -222,7 +223,7 @@ def near_duplicates(
 
     # one text for each node that has candidates: its first row's
     used = stage.keep(members.select("node").distinct().join(nodes.drop("sig", "n"), "node"))
-    rows = plain.withColumn("mark", F.xxhash64("text")).alias("p").join(used.alias("u"), F.expr("p.mark = u.mark and p.doc_id <=> u.id"))
+    rows = plain.withColumn("mark", F.xxhash64("text")).alias("p").join(used.alias("u").hint("merge"), F.expr("p.mark = u.mark and p.doc_id <=> u.id"))
     texts = stage.keep(rows.select("node", "p.text"))
     if texts.count() > used.count():
         texts = stage.keep(texts.dropDuplicates(["node"]))
