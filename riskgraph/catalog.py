@@ -67,6 +67,8 @@ def with_tables(sql: str) -> str:
     """A query's text with the fixture tables it reads put before it."""
     body = re.sub(r"^\s*WITH\s+(RECURSIVE\s+)?", "", sql, flags=re.I)
     more = re.match(r"\s*WITH\b", sql, flags=re.I)
+    if not needed(sql):
+        return sql
     heads = ",\n".join(f"{t} AS ({FIXTURE_TABLES[t]})" for t in needed(sql))
     word = "WITH RECURSIVE" if re.match(r"\s*WITH\s+RECURSIVE", sql, flags=re.I) else "WITH"
     return f"{word} {heads}{',' if more else ''}\n{body if more else sql}"
