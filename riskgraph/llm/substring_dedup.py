@@ -192,12 +192,13 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     plain = plain.select("doc_id", F.xxhash64("text").alias("mark"), "text")
     rows = stage.keep(_scan(plain, width))
     halves = rows.select("mark", F.explode("halves").alias("x")).select("mark", F.col("x.h").alias("h"), F.col("x.p").alias("p"))
-    recurring = halves.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # written first, so that the join shuffles for itself and a common phrase's rows can be split
+    recurring = stage.keep(halves.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
     found = stage.keep(halves.join(recurring, "h").groupBy("mark").agg(F.collect_set("p").alias("places")))
     stage.free()
     once = plain.groupBy("mark").agg(F.count("*").alias("times"), F.first("text").alias("text"))
     some = stage.keep(once.join(found, "mark").select("mark", "times", "text", "places"))
-    stage.drop(found)
+    stage.drop(found, recurring)
     seen = stage.keep(_candidates(some, width))
     again = stage.keep(seen.groupBy("w").agg(F.sum("times").alias("n")).filter("n > 1").select("w"))
     stage.free()
