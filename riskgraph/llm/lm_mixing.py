@@ -35,6 +35,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -247,8 +248,8 @@ class _Sums:
         self.size = 0
 
     def add(self, keys: np.ndarray) -> None:
-        k, n = np.unique(keys, return_counts=True)
-        self.keys.append(k), self.counts.append(n)
+        at, k = pd.factorize(keys)  # hashing takes half the time of sorting
+        self.keys.append(k), self.counts.append(np.bincount(at, minlength=len(k)))
         self.size += len(k)
         if self.size > self.MOST:
             self._merge()
@@ -415,8 +416,11 @@ def score_texts(
             for s in blocks(texts):
                 part = texts[s]
                 code, size = byte_windows(part)
-                distinct_codes, inverse = np.unique(code, return_inverse=True)
-                bits = np.add.reduceat(seen.log2(distinct_codes)[inverse], np.concatenate([[0], np.cumsum(size)[:-1]]))
+                place, distinct_codes = pd.factorize(code)
+                order = np.argsort(distinct_codes)
+                values = np.empty(len(order))
+                values[order] = seen.log2(distinct_codes[order])
+                bits = np.add.reduceat(values[place], np.concatenate([[0], np.cumsum(size)[:-1]]))
                 h, n = hashes.flat(t.lower() for t in part)
                 row = np.repeat(np.arange(len(part)), n)
                 h, row = np.concatenate([h, np.full(len(part), END_WORD, np.uint64)]), np.concatenate([row, np.arange(len(part))])
