@@ -85,11 +85,11 @@ class Logistic:
     def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 150, ridge: float = 1e-4, scale: bool = False) -> "Logistic":
         if scale and len(x):
             self.shift, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
-        x = (x - self.shift) / self.scale
-        weight = (weight / weight.sum()).astype(np.float32)
+        weight, y = (weight / weight.sum()).astype(np.float32), y.astype(np.float32)
+        x = self._scaled(x)  # rows come as bytes; this is the only wide copy
         m, v = np.zeros(len(self.w) + 1), np.zeros(len(self.w) + 1)
         for t in range(1, steps + 1):
-            error = (1 / (1 + np.exp(-(x @ self.w + self.b))) - y) * weight
+            error = (1 / (1 + np.exp(-(x @ self.w + np.float32(self.b)))) - y) * weight
             g = np.append(error @ x + ridge * self.w, error.sum())
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             step = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -97,8 +97,16 @@ class Logistic:
             self.b -= float(step[-1])
         return self
 
+    @staticmethod
+    def _parts(n: int) -> list[slice]:
+        return [slice(i, i + 2048) for i in range(0, n, 2048)]
+
+    def _scaled(self, x: np.ndarray) -> np.ndarray:
+        return ((x - self.shift) / self.scale).astype(np.float32) if self.shift.any() else x.astype(np.float32)
+
     def odds(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.shift) / self.scale @ self.w + self.b, -30, 30)
+        parts = [self._scaled(x[s]) @ self.w for s in self._parts(len(x))]
+        return np.clip(np.concatenate(parts) + self.b if parts else np.zeros(0), -30, 30)
 
 
 class Question:
@@ -140,7 +148,7 @@ class Question:
 
 
 def _views(texts: list[bytes], chars: list, langs: list, sources: list, words: dict[int, int], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    seen = np.zeros((len(texts), max(1, len(words))), np.float32)
+    seen = np.zeros((len(texts), max(1, len(words))), np.uint8)
     for i, t in enumerate(texts):
         seen[i, [words[h] for h in word_features(t, hashes) if h in words]] = 1
     pages = [page_features(*row) for row in zip(texts, chars, langs, sources)]
@@ -202,7 +210,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Question, Question, dict[
     def gathered(rows: DataFrame) -> tuple[list, tuple[np.ndarray, np.ndarray]]:
         got = rows.select("__id", "__text", "__n_chars", "__lang", "__source").mapInArrow(view_rows, "id long, seen binary, page binary").toArrow()
         width = max(1, len(words))
-        seen = np.stack([np.unpackbits(np.frombuffer(r, np.uint8))[:width] for r in got["seen"].to_pylist()]).astype(np.float32) if got.num_rows else np.zeros((0, width), np.float32)
+        seen = np.stack([np.unpackbits(np.frombuffer(r, np.uint8))[:width] for r in got["seen"].to_pylist()]) if got.num_rows else np.zeros((0, width), np.uint8)
         pages = np.stack([np.frombuffer(r, np.float32) for r in got["page"].to_pylist()]) if got.num_rows else np.zeros((0, 12 + 2 * _BINS), np.float32)
         return got["id"].to_pylist(), (seen, pages)
 
