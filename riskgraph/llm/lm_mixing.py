@@ -1,25 +1,26 @@
 """Scores texts by online logistic context mixing over bits, beside a unigram base score.
 
 The model predicts a text's UTF-8 bytes and an end mark, bit by bit. For each order k in
-``ORDERS`` a table, addressed by a hash of the last k bytes and the bits of the byte so
-far, holds how often either bit followed in training. Its prediction enters a logistic
+``ORDERS`` it knows how often either bit followed the last k bytes and the bits of the byte
+so far in training, exactly and for every context. Its prediction enters a logistic
 mix: the weights are gated by bit position, by the longest context seen, and for each
 input by how well its own context is known. The mix is refined by an adaptive map over
 (bits so far, mixed prediction), and both are averaged.
 
 Training is distributed and covers every training text:
 
-1. Each distinct window of bytes (the longest context and the byte) is counted.
-2. Windows are expanded to bit counts, summed per context and packed into arrays; a slot
-   keeps a check of its context, and the most frequent one of those that fall into it.
+1. Each distinct window of bytes (the longest context and the byte) is counted, in
+   training and over all.
+2. Windows are dealt into packs by their last three context bytes, so a pack has all
+   counts of its windows' contexts of orders 3 to 5. The number of packs follows the
+   number of windows. Counts of order 2, at most 2**24 whatever the corpus, are broadcast.
 3. Mixing weights learn online from the windows, one learner per part of them, and are
    averaged by the mass they saw, for a few rounds; a window's own occurrence is taken out of the counts
    it is predicted from, so contexts seen once are not trusted.
 4. The refining map is counted in the same way under these weights.
-
-The tables have a fixed number of slots whatever the corpus, so what is broadcast is
-bounded (47 MB); what is gathered and shuffled grows with the corpus. A prediction
-depends on a window alone, so a block of text is scored by its distinct windows.
+5. Each distinct window of any text is predicted once. A text's score is the sum over its
+   windows: predictions of the ``FREQUENT_WINDOWS`` most frequent are broadcast, the other
+   windows meet theirs in a join.
 
 The base score is sum of log10((c + 0.5) / (N + 0.5 * (V + 1))) over lower-cased words and
 one end per text. The ``FREQUENT`` most frequent words are broadcast; the rest of the
@@ -31,7 +32,6 @@ an id and text are scored alike, each. Without training texts all counts are zer
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,11 +45,12 @@ from riskgraph.llm.words import WordHashes, blocks, mix, text_bytes
 
 ORDERS = (2, 3, 4, 5)
 WINDOW = ORDERS[-1] + 1
-#: Bits of the slot number of each order's table.
+#: Sizes for made-up tables, as tests use; a trained model's have a row for every context and byte.
 SLOT_BITS = (19, 20, 21, 22)
-#: Slots that one packed row holds.
-PACK = 1 << 16
+#: Windows of a pack on average.
+PACK = 1 << 17
 FREQUENT = 1 << 18
+FREQUENT_WINDOWS = 1 << 21
 #: Bytes that no UTF-8 text has: before the start, and the end mark.
 BEFORE, END = 0xFE, 0xFF
 GATES = 8 * (len(ORDERS) + 1)
@@ -84,15 +85,34 @@ def byte_windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[flat], size
 
 
-def slots(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and check of each window (rows) at each bit (columns) in the table of the k-th order."""
-    base = mix(code >> np.uint64(8) & np.uint64((1 << 8 * ORDERS[k]) - 1), ORDERS[k])
-    byte = code & np.uint64(255)
-    hashed = np.empty((len(code), 8), np.uint64)
-    for b in range(8):
-        node = np.uint64(1 << b) | byte >> np.uint64(8 - b)
-        hashed[:, b] = (base ^ node * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xD6E8FEB86659FD93)
-    return (hashed >> np.uint64(64 - SLOT_BITS[k])).astype(np.int64), (hashed >> np.uint64(16)).astype(np.uint16)
+def suffixes(code: np.ndarray, k: int) -> np.ndarray:
+    """The byte of each window with its context of the k-th order."""
+    return code & np.uint64((1 << 8 * (ORDERS[k] + 1)) - 1)
+
+
+def tables(code: np.ndarray, n: np.ndarray, orders: range) -> list[np.ndarray]:
+    """Per order, ascending rows (suffix, count) of all training windows given."""
+    out = []
+    for k in orders:
+        key, at = np.unique(suffixes(code[n > 0], k), return_inverse=True)
+        sums = np.zeros(len(key), np.int64)
+        np.add.at(sums, at, n[n > 0])
+        out.append(np.stack([key.view(np.int64), sums], axis=1))
+    return out
+
+
+def bit_counts(table: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often 0 and 1 followed the context and the byte's bits before, for each suffix (rows) and bit (columns)."""
+    key, back = np.unique(suffix.astype(np.int64), return_inverse=True)
+    known = np.ascontiguousarray(table[:, 0]).astype(np.int64)
+    upto = np.concatenate([[0], np.cumsum(table[:, 1], dtype=np.int64)])
+    path = np.empty((9, len(key)), np.int64)
+    for b in range(9):
+        first = key >> (8 - b) << (8 - b)
+        path[b] = upto[np.searchsorted(known, first + (1 << (8 - b)))] - upto[np.searchsorted(known, first)]
+    bits = _bits(key.view(np.uint64)) > 0
+    own, other = path[1:].T, (path[:-1] - path[1:]).T
+    return np.where(bits, other, own).astype(np.float32)[back], np.where(bits, own, other).astype(np.float32)[back]
 
 
 def _bits(code: np.ndarray) -> np.ndarray:
@@ -103,20 +123,11 @@ class Mixer:
     """Tables, weights and the refining map; predicts windows."""
 
     def __init__(self, tables: list[np.ndarray]):
-        self.tables = tables  # per order (slots, 3): the check of the slot's context, and its counts
+        self.tables = tables  # per order: ascending suffixes and how often each occurs
         self.weights = np.full((GATES, len(ORDERS), KNOWN), 0.4, np.float32)
         self.squares = np.full(self.weights.shape, 1e-2, np.float32)  # of the steps so far: they grow smaller
         self.map: np.ndarray | None = None  # (256 nodes, EDGES, 2) counts
 
-    def __getstate__(self) -> dict:
-        # tables of a small corpus are mostly zeros; executors keep their copy on disk
-        packed = [(t.shape, zlib.compress(t.tobytes(), 1)) for t in self.tables]
-        return self.__dict__ | {"tables": packed}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
-        self.tables = [np.frombuffer(zlib.decompress(b), np.uint16).reshape(shape) for shape, b in state["tables"]]
-
     def inputs(self, code: np.ndarray, out_one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Stretched predictions (order, window, bit), how well each is known, gates, and bits."""
         bits = _bits(code)
@@ -124,10 +135,7 @@ class Mixer:
         known = np.empty(x.shape, np.int8)
         longest = np.zeros(bits.shape, np.int8)
         for k in range(len(ORDERS)):
-            at, check = slots(code, k)
-            held = self.tables[k][at]
-            mine = held[..., 0] == check
-            n0, n1 = held[..., 1] * mine.astype(np.float32), held[..., 2] * mine.astype(np.float32)
+            n0, n1 = bit_counts(self.tables[k], suffixes(code, k))
             if out_one:
                 n1 -= bits
                 n0 -= 1 - bits
@@ -150,7 +158,11 @@ class Mixer:
         """One online pass, window by window in small batches."""
         mean = count.mean() if len(count) else 1
         for i in range(0, len(code), BATCH):
-            x, known, gate, bits = self.inputs(code[i : i + BATCH], out_one=True)
+            at = i % 65536
+            if at == 0:
+                slab = self.inputs(code[i : i + 65536], out_one=True)
+            x, known = (a[:, at : at + BATCH] for a in slab[:2])
+            gate, bits = (a[at : at + BATCH] for a in slab[2:])
             p = 1 / (1 + np.exp(-self.mixed(x, known, gate)))
             error = (bits - p) * np.minimum(count[i : i + BATCH] / mean, 50)[:, None]
             flat_gate = gate.ravel()
@@ -209,31 +221,6 @@ class Mixer:
         return out
 
 
-class Remembered:
-    """Predictions of the windows that a task has met, up to a bound; beyond it the memory starts anew."""
-
-    MOST = 1 << 21
-
-    def __init__(self, mixer: Mixer):
-        self.mixer = mixer
-        self.codes, self.values = np.zeros(0, np.uint64), np.zeros(0)
-
-    def log2(self, codes: np.ndarray) -> np.ndarray:
-        """Of distinct ascending windows."""
-        if len(self.codes) > self.MOST:
-            self.codes, self.values = np.zeros(0, np.uint64), np.zeros(0)
-        at = np.searchsorted(self.codes, codes)
-        old = np.zeros(len(codes), bool)
-        some = at < len(self.codes)
-        old[some] = self.codes[at[some]] == codes[some]
-        out = np.empty(len(codes))
-        out[old] = self.values[at[old]]
-        out[~old] = self.mixer.log2(codes[~old])
-        self.codes = np.insert(self.codes, at[~old], codes[~old])
-        self.values = np.insert(self.values, at[~old], out[~old])
-        return out
-
-
 # -- counting over the corpus -----------------------------------------------------------------
 
 
@@ -272,79 +259,70 @@ class _Sums:
 
 
 def _count(texts: DataFrame) -> DataFrame:
-    """Rows (kind, key, n): words (0) and windows of bytes (1) of a column of texts."""
+    """Rows (kind, key, n, every) of texts and whether to learn from them: words (0) and windows of bytes (1), counted in training and, windows only, in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, words, windows = WordHashes(), _Sums(), _Sums()
+        hashes, words, windows, others = WordHashes(), _Sums(), _Sums(), _Sums()
         for batch in batches:
-            texts = [text_bytes(t) for t in batch.column(0).to_pylist()]
+            rows = list(zip(map(text_bytes, batch.column(0).to_pylist()), batch.column(1).to_pylist()))
+            texts = [t for t, learnt in rows if learnt]
             for s in blocks(texts):
                 h, _ = hashes.flat(t.lower() for t in texts[s])
                 words.add(np.concatenate([h, np.full(s.stop - s.start, END_WORD, np.uint64)]))
                 windows.add(byte_windows(texts[s])[0])
                 yield from words.out(0, False)
                 yield from windows.out(1, False)
+            texts = [t for t, learnt in rows if not learnt]
+            for s in blocks(texts):
+                others.add(byte_windows(texts[s])[0])
+                yield from others.out(2, False)
         yield from words.out(0, True)
         yield from windows.out(1, True)
+        yield from others.out(2, True)
 
-    return texts.mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    rows = texts.mapInArrow(run, "kind byte, key long, n long")
+    learnt = F.sum(F.when(F.col("kind") < 2, F.col("n")).otherwise(0))
+    return rows.groupBy(F.least("kind", F.lit(1).cast("byte")).alias("kind"), "key").agg(learnt.alias("n"), F.sum("n").alias("every"))
 
 
-def _slot_counts(windows: DataFrame) -> DataFrame:
-    """Rows (slot, check, n0, n1), slots numbered through all orders: of contexts that fall into one slot the most frequent."""
-    first = np.concatenate([[0], np.cumsum([1 << b for b in SLOT_BITS])])
+def packs(windows: DataFrame) -> DataFrame:
+    """Rows (code, n, every): arrays of all windows that share their last three context bytes with one of the pack, well mixed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 50_000):
-                part = batch.slice(i, 50_000)
-                code, n = part.column(0).to_numpy().view(np.uint64), part.column(1).to_numpy()
-                bits = _bits(code).astype(np.int64)
-                for k in range(len(ORDERS)):
-                    at, check = slots(code, k)
-                    key, inverse = np.unique((((at + first[k]) << 16 | check) * 2 + bits).ravel(), return_inverse=True)
-                    sums = np.bincount(inverse, np.repeat(n, 8), minlength=len(key)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key >> 1), pa.array(np.where(key % 2 == 0, sums, 0)), pa.array(np.where(key % 2 == 1, sums, 0))], ["key", "n0", "n1"]
-                    )
-
-    rows = windows.select("key", "n").mapInArrow(run, "key long, n0 long, n1 long")
-    rows = rows.groupBy("key").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    rows = rows.withColumn("slot", F.shiftright("key", 16)).withColumn("check", F.col("key").bitwiseAND(0xFFFF))
-    best = rows.groupBy("slot").agg(F.max(F.struct((F.col("n0") + F.col("n1")).alias("n"), "check", "n0", "n1")).alias("b"))
-    return best.select("slot", "b.check", "b.n0", "b.n1")
-
-
-def _packed(counts: DataFrame) -> list[np.ndarray]:
-    """The tables as arrays; each block of slots is packed into bytes by one task."""
-
-    def pack(rows: pa.Table) -> pa.Table:
-        out = np.zeros((PACK, 3), np.uint16)
-        at = rows["slot"].to_numpy() % PACK
-        n = np.stack([rows["n0"].to_numpy(), rows["n1"].to_numpy()], axis=1).astype(np.float64)
-        n *= np.minimum(1, 65535 / np.maximum(n.max(axis=1, keepdims=True), 1))
-        out[at, 0], out[at, 1:] = rows["check"].to_numpy(), np.ceil(n)
-        return pa.table({"block": rows["block"].slice(0, 1), "data": pa.array([out.tobytes()], pa.binary())})
-
-    total = sum(1 << b for b in SLOT_BITS)
-    flat = np.zeros((total, 3), np.uint16)
-    blocks = counts.withColumn("block", F.shiftright("slot", PACK.bit_length() - 1)).groupBy("block")
-    for row in blocks.applyInArrow(pack, "block long, data binary").toLocalIterator():
-        flat[row["block"] * PACK : (row["block"] + 1) * PACK] = np.frombuffer(row["data"], np.uint16).reshape(-1, 3)
-    return np.split(flat, np.cumsum([1 << b for b in SLOT_BITS])[:-1])
-
-
-def train(windows: DataFrame) -> Mixer:
-    """A model of rows (key, n): windows and how often they occur in training texts."""
-    spark = windows.sparkSession
-    mixer = Mixer(_packed(_slot_counts(windows)))
-    shared = spark.sparkContext.broadcast(mixer)
-
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for b in batches:
-            if b.num_rows:
-                code, n = b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().astype(np.float64)
-                yield code, n
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            columns = [np.concatenate([b.column(i).to_numpy() for b in parts]) for i in range(3)]
+            # neighbours are alike; what learns online must meet them mixed
+            order = np.argsort(mix(columns[0].view(np.uint64), 7))
+            yield pa.RecordBatch.from_arrays([pa.array([c[order].tobytes()], pa.binary()) for c in columns], ["code", "n", "every"])
+
+    count = max(1, -(-windows.count() // PACK))
+    context = F.shiftright("key", 8).bitwiseAND(0xFFFFFF)
+    return windows.select("key", "n", "every").repartition(count, context).mapInArrow(run, "code binary, n binary, every binary")
+
+
+def second_order(windows: DataFrame) -> np.ndarray:
+    """The table of order 2, gathered: two bytes of context and one more, so its size is bounded whatever the corpus."""
+    rows = windows.filter("n > 0").groupBy(F.col("key").bitwiseAND(0xFFFFFF).alias("key")).agg(F.sum("n").alias("n")).toArrow()
+    table = np.stack([rows["key"].to_numpy(), rows["n"].to_numpy()], axis=1).astype(np.int64)
+    return table[np.argsort(table[:, 0])]
+
+
+def opened(batches: Iterator[pa.RecordBatch], second: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]]:
+    """Tables, windows, and their counts in training and over all, of each pack."""
+    for b in batches:
+        for row in range(b.num_rows):
+            code, n, every = (np.frombuffer(b.column(i)[row].as_py(), t) for i, t in enumerate((np.uint64, np.int64, np.int64)))
+            # of order 2 the part with the pack's contexts
+            contexts = np.unique(code >> np.uint64(8) & np.uint64(0xFFFF)).astype(np.int64)
+            yield [second[np.isin(second[:, 0] >> 8, contexts)], *tables(code, n, range(1, len(ORDERS)))], code, n, every
+
+
+def train(rows: DataFrame, second: np.ndarray) -> Mixer:
+    """Weights and refining map, without tables, of packs and the table of order 2."""
+    spark = rows.sparkSession
+    mixer = Mixer([])
+    shared = spark.sparkContext.broadcast(second)
 
     def summed(rows: DataFrame, value: str) -> np.ndarray:
         """Sums arrays place by place on the executors; one row comes back."""
@@ -354,16 +332,14 @@ def train(windows: DataFrame) -> Mixer:
             out[parts["i"].to_numpy()] = parts["x"].to_numpy()
         return out
 
-    # neighbours in the count table are alike; what learns online must meet them mixed
-    rows = windows.select("key", "n").sortWithinPartitions(F.xxhash64("key"))
     for _ in range(ROUNDS):
         start = mixer.weights
 
         def learn(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            mine, mass = Mixer(shared.value.tables), 0.0
+            mine, mass = Mixer([]), 0.0
             mine.weights = start.copy()
-            for code, n in chunks(batches):
-                mine.learn(code, n)
+            for mine.tables, code, n, _ in opened(batches, shared.value):
+                mine.learn(code[n > 0], n[n > 0].astype(np.float64))
                 mass += float(n.sum())
             if mass:
                 yield pa.RecordBatch.from_arrays([pa.array([[mass, *(mine.weights.astype(np.float64).ravel() * mass).tolist()]])], ["w"])
@@ -374,11 +350,11 @@ def train(windows: DataFrame) -> Mixer:
     weights = mixer.weights
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = Mixer(shared.value.tables)
+        mine = Mixer([])
         mine.weights = weights
         total = np.zeros(256 * EDGES * 2)
-        for code, n in chunks(batches):
-            total += mine.tally(code, n)
+        for mine.tables, code, n, _ in opened(batches, shared.value):
+            total += mine.tally(code[n > 0], n[n > 0].astype(np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["t"])
 
     sums = summed(rows.mapInArrow(tally, "t array<double>"), "t")
@@ -387,6 +363,49 @@ def train(windows: DataFrame) -> Mixer:
     return mixer
 
 
+def predictions(rows: DataFrame, second: np.ndarray, mixer: Mixer) -> DataFrame:
+    """Rows (key, every, bits): log2 of the probability of every window of packs, in training or not."""
+    shared = rows.sparkSession.sparkContext.broadcast((second, mixer))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, mine = shared.value
+        for mine.tables, code, _, every in opened(batches, table):
+            yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(every), pa.array(mine.log2(code))], ["key", "every", "bits"])
+
+    return rows.mapInArrow(run, "key long, every long, bits double")
+
+
+def most_frequent(values: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending windows and their predictions: all that occur at least so often that no more than ``most`` do."""
+    sizes = sorted(((r["every"], r["count"]) for r in values.groupBy("every").count().collect()), reverse=True)
+    least, total = None, 0
+    for every, n in sizes:
+        total += n
+        if total > most:
+            break
+        least = every
+    top = values.filter(F.col("every") >= least if least is not None else F.lit(False)).select("key", "bits").toArrow()
+    keys = top["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    return keys[order], top["bits"].to_numpy()[order]
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted keys among ascending ones, and which are there."""
+    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
+    return at, keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool)
+
+
+def _listed(row: np.ndarray, key: np.ndarray, rows: int) -> pa.ListArray:
+    """Per row, its distinct keys and how often it has each."""
+    order = np.lexsort((key, row))
+    row, key = row[order], key[order]
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (key[1:] != key[:-1])]) if len(row) else np.zeros(0, np.int64)
+    times = np.diff(np.r_[new, len(row)])
+    pairs = pa.StructArray.from_arrays([pa.array(key[new].view(np.int64)), pa.array(times.astype(np.int32))], ["w", "n"])
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row[new], np.arange(rows + 1)).astype(np.int32)), pairs)
+
+
 def score_texts(
     docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text",
 ) -> DataFrame:
@@ -398,19 +417,23 @@ def score_texts(
     stage = Stage(spark, "lm")
     plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     plain = plain.withColumn("train", training)
-    counts = stage.keep(_count(plain.filter("train").select("text")))
+    counts = stage.keep(_count(plain.select("text", "train")))
     words = counts.filter("kind = 0").select("key", "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    mixer = train(counts.filter("kind = 1").select("key", "n"))
+    windows = counts.filter("kind = 1")
+    second = second_order(windows)
+    packed = stage.keep(packs(windows))
+    predicted = stage.keep(predictions(packed, second, train(packed, second)))
+    often_met = most_frequent(predicted, FREQUENT_WINDOWS)
     top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
     keys = top["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((mixer, keys[order], top["n"].to_numpy()[order]))
+    shared = spark.sparkContext.broadcast((often_met, keys[order], top["n"].to_numpy()[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, frequent, often = shared.value
-        value = np.log10(np.append(often, 0) + 0.5)
-        hashes, seen = WordHashes(), Remembered(model)
+        (windows, of_window), frequent, often = shared.value
+        value, of_window = np.log10(np.append(often, 0) + 0.5), np.append(of_window, 0.0)
+        hashes = WordHashes()
         for batch in batches:
             texts = [text_bytes(t) for t in batch.column(3).to_pylist()]
             for s in blocks(texts):
@@ -418,37 +441,32 @@ def score_texts(
                 code, size = byte_windows(part)
                 place, distinct_codes = pd.factorize(code)
                 order = np.argsort(distinct_codes)
-                values = np.empty(len(order))
-                values[order] = seen.log2(distinct_codes[order])
+                at, hit = _found(windows, distinct_codes[order])
+                values, met = np.empty(len(order)), np.empty(len(order), bool)
+                values[order], met[order] = np.where(hit, of_window[at], 0.0), hit
                 bits = np.add.reduceat(values[place], np.concatenate([[0], np.cumsum(size)[:-1]]))
+                # other windows and words, once per text
+                far = np.flatnonzero(~met[place])
+                far = _listed(np.searchsorted(np.cumsum(size), far, side="right"), code[far], len(part))
                 h, n = hashes.flat(t.lower() for t in part)
                 row = np.repeat(np.arange(len(part)), n)
                 h, row = np.concatenate([h, np.full(len(part), END_WORD, np.uint64)]), np.concatenate([row, np.arange(len(part))])
                 u, back = np.unique(h, return_inverse=True)
-                at = np.searchsorted(frequent, u)
-                hit = np.zeros(len(u), bool)
-                some = at < len(frequent)
-                hit[some] = frequent[at[some]] == u[some]
+                at, hit = _found(frequent, u)
                 known = hit[back]
                 base = np.bincount(row[known], value[np.where(hit, at, -1)[back[known]]], minlength=len(part))
                 n_known = np.bincount(row[known], minlength=len(part))
-                # other words, once per text
-                pair = np.stack([row[~known].astype(np.uint64), h[~known]], axis=1)
-                pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
-                new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]).any(axis=1)]) if len(pair) else np.zeros(0, np.int64)
-                times = np.diff(np.r_[new, len(pair)])
-                rare = pa.StructArray.from_arrays([pa.array(pair[new, 1].view(np.int64)), pa.array(times.astype(np.int32))], ["w", "n"])
-                offsets = np.searchsorted(pair[new, 0], np.arange(len(part) + 1).astype(np.uint64)).astype(np.int32)
+                rare = _listed(row[~known], h[~known], len(part))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(i).slice(s.start, len(part)) for i in range(3)), pa.array(n + 1), pa.array(n_known), pa.array(base),
-                        pa.array(bits), pa.array(np.fromiter(map(len, part), np.int64, len(part))), pa.ListArray.from_arrays(pa.array(offsets), rare),
+                        pa.array(bits), pa.array(np.fromiter(map(len, part), np.int64, len(part))), rare, far,
                     ],
-                    ["doc_id", "mark", "train", "n_tokens", "n_known", "base", "bits", "n_bytes", "rare"],
+                    ["doc_id", "mark", "train", "n_tokens", "n_known", "base", "bits", "n_bytes", "rare", "far"],
                 )
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {kind}, mark long, train boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, rare array<struct<w:long,n:int>>"
+    schema = f"doc_id {kind}, mark long, train boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, rare array<struct<w:long,n:int>>, far array<struct<w:long,n:int>>"
     mark = F.xxhash64(F.col("doc_id").cast("string"), "text")
     rows = stage.keep(plain.select("doc_id", mark.alias("mark"), "train", "text").mapInArrow(run, schema))
     # words that are not frequent: those that training has are told from the others by a join
@@ -460,7 +478,12 @@ def score_texts(
     )
     twins = rows.groupBy("mark").agg(F.count("*").alias("rows_alike"))
     rare = rare.join(twins, "mark").select("mark", (F.col("rare_known") / F.col("rows_alike")).cast("long").alias("rare_known"), (F.col("rare_base") / F.col("rows_alike")).alias("rare_base"))
-    out = rows.drop("rare").join(rare, "mark", "left")
+    # every window of any text has a prediction
+    far = rows.select("mark", F.explode("far").alias("r")).select("mark", F.col("r.w").alias("key"), F.col("r.n").alias("times"))
+    far = far.join(predicted.select("key", F.col("bits").alias("each")), "key").groupBy("mark").agg(F.sum(F.col("times") * F.col("each")).alias("far_bits"))
+    far = far.join(twins, "mark").select("mark", (F.col("far_bits") / F.col("rows_alike")).alias("far_bits"))
+    out = rows.drop("rare", "far").join(rare, "mark", "left").join(far, "mark", "left")
+    out = out.withColumn("bits", F.col("bits") + F.coalesce("far_bits", F.lit(0.0)))
     base = F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(total + 0.5 * (distinct + 1)))
     score = F.col("bits") * float(np.log10(2))
     return out.select(
