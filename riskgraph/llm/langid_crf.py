@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -243,6 +243,29 @@ def _spans(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "lang string, span binary")
 
 
+def _fit_rows(rows: DataFrame) -> DataFrame:
+    """Rows (text, lang) to fit on: ``FIT_ROWS`` of each language, or all it has where it has fewer.
+
+    Each language is filtered by its own share first, so few of its rows are ranked; where
+    that leaves fewer than ``FIT_ROWS`` of more, all rows of the language are ranked.
+    """
+    span = 1 << 30
+    pick = F.pmod(F.xxhash64(F.lit(8), "text"), F.lit(span))
+    counted = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    limits = {g: span if n <= 2 * FIT_ROWS else int(span * 2 * FIT_ROWS / n) for g, n in counted.items()}
+
+    def below(of: dict[str, int]) -> DataFrame:
+        bounds = rows.sparkSession.createDataFrame(list(of.items()), "lang string, most long")
+        return rows.withColumn("pick", pick).join(F.broadcast(bounds), "lang").filter("pick < most")
+
+    got = {r["lang"]: r["count"] for r in below(limits).groupBy("lang").count().collect()}
+    for g, n in counted.items():
+        if got.get(g, 0) < min(FIT_ROWS, n):  # many copies of one text share a hash
+            limits[g] = span
+    ranked = below(limits).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text")))
+    return ranked.filter(F.col("rank") <= FIT_ROWS).select("text", "lang")
+
+
 def train(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang") -> Field | None:
     """A field learnt from the rows that meet the condition and have a language and a text."""
     rows = docs.filter(training).select(docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang")).dropna()
@@ -261,15 +284,11 @@ def train(docs: DataFrame, training: Column, text: str = "text", lang: str = "la
             shares[number[b["lang"]]] += b["n"]
         logs = np.log(shares / shares.sum())
         lexicon[r["h"] & 0xFFFFFFFFFFFFFFFF] = logs - logs.mean()
-    # about as many rows of every language, picked by a hash of the text
-    each = rows.count() / len(languages)
-    share = F.pmod(F.xxhash64(F.lit(8), "text"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, 8 * FIT_ROWS / max(each, 1)))
-    spans: list[list[list[bytes]]] = []
-    for g in languages:
-        got = _spans(rows.filter((F.col("lang") == g)).filter(share).select("text", "lang").limit(FIT_ROWS)).select("span").collect()
-        if not got:
-            got = _spans(rows.filter(F.col("lang") == g).limit(FIT_ROWS)).select("span").collect()
-        spans.append([w for r in got if (w := bytes(r["span"]).split())])
+    # as many rows of every language, those of the least hashes of their texts
+    spans: list[list[list[bytes]]] = [[] for _ in languages]
+    for r in _spans(_fit_rows(rows)).collect():
+        if w := bytes(r["span"]).split():
+            spans[number[r["lang"]]].append(w)
     return fit(spans, languages, lexicon)
 
 

@@ -48,3 +48,12 @@ def test_lm_scores_do_not_depend_on_what_is_broadcast(spark, monkeypatch):
     part = scores()
     assert [i for i, _ in part] == [i for i, _ in whole]
     assert [v for _, v in part] == pytest.approx([v for _, v in whole])
+
+
+def test_every_language_is_fitted_on_as_many_rows_as_it_has(spark, monkeypatch):
+    got = {}
+    monkeypatch.setattr(langid_crf, "fit", lambda spans, languages, lexicon: got.update(zip(languages, map(len, spans))))
+    rows = [(f"w{i} a b", "hot") for i in range(20_000)] + [(f"v{i} c d", "rare") for i in range(300)] + [(f"u{i} e f", "middle") for i in range(450)]
+    rows += [("same text here", "copies")] * 900  # one span each
+    langid_crf.train(spark.createDataFrame(rows, "text string, lang string"), F.lit(True))
+    assert got == {"copies": 400, "hot": 400, "middle": 400, "rare": 300}
