@@ -34,23 +34,33 @@ def constraints(cves: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(*map(F.col, V.BOUNDS)).isNotNull())
 
 
+def _grams(text: F.Column) -> F.Column:
+    """Distinct runs of five signs."""
+    starts = F.when(F.length(text) >= 5, F.sequence(F.lit(1), F.length(text) - 4))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(5))))
+
+
 def vulnerable_dependencies(dependencies: DataFrame, cves: DataFrame) -> DataFrame:
     """Rows (cve_id, dep_id, confidence, match_type): 1.0 by known product, 0.7 by name.
 
-    Candidates meet on the product's key, not in a cross product: a criteria line is keyed
-    by its vendor:product and by its tokens, a dependency by its product or its artifact's
-    rarest use, the artifact itself. Versions are compared for distinct pairs only.
+    A known product may lie anywhere in a criteria line, - and _ aside, and so may an
+    artifact of five signs and more. Candidates by name meet on five signs in a row, of the
+    artifact those that the fewest criteria have: what contains it has these too. Versions
+    are compared for distinct pairs only.
     """
     deps = dependencies.withColumn("known", F.try_element_at(F.create_map(*(F.lit(x) for p in V.KNOWN_PRODUCTS.items() for x in p)), F.concat_ws(":", "group_id", "artifact_id")))
-    lines = constraints(cves).withColumn("parts", F.split("criteria", ":"))
-    lines = lines.withColumn("product", V.normalised(F.concat_ws(":", F.get("parts", F.lit(3)), F.get("parts", F.lit(4)))))
-    exact = deps.filter("known is not null").withColumn("product", V.normalised(F.col("known"))).join(lines, "product").withColumn("confidence", F.lit(1.0)).withColumn("match_type", F.lit("precise_gav"))
-    # by name: the artifact within vendor or product, which start at a token border
-    artifact = F.lower("artifact_id")
-    named = deps.filter(F.col("known").isNull() & (F.length("artifact_id") > 4) & ~artifact.isin(*V.GENERIC_ARTIFACTS))
-    named = named.withColumn("token", F.get(F.split(artifact, "[^a-z0-9]+"), F.lit(0)))
-    worded = lines.withColumn("token", F.explode(V.tokens(F.col("criteria"))))
-    fuzzy = named.join(worded, "token").filter(F.lower("criteria").contains(artifact))
+    lines = constraints(cves)
+    products = F.array(*(V.normalised(F.lit(p)) for p in sorted(set(V.KNOWN_PRODUCTS.values()))))
+    inside = F.filter(products, lambda p: V.normalised(F.col("criteria")).contains(p))
+    exact = deps.filter("known is not null").withColumn("product", V.normalised(F.col("known"))).join(lines.withColumn("product", F.explode(inside)), "product")
+    exact = exact.withColumn("confidence", F.lit(1.0)).withColumn("match_type", F.lit("precise_gav"))
+    # by name: the artifact anywhere in the criteria
+    named = deps.filter(F.col("known").isNull() & (F.length("artifact_id") > 4) & ~F.lower("artifact_id").isin(*V.GENERIC_ARTIFACTS)).withColumn("artifact", F.lower("artifact_id"))
+    worded = lines.select("criteria").distinct().withColumn("gram", F.explode(_grams(F.lower("criteria"))))
+    grams = named.select("artifact").distinct().withColumn("gram", F.explode(_grams(F.col("artifact")))).join(worded.groupBy("gram").count(), "gram")
+    rarest = grams.groupBy("artifact").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
+    within = rarest.join(worded, "gram").filter(F.lower("criteria").contains(F.col("artifact"))).select("artifact", "criteria")
+    fuzzy = named.join(within, "artifact").join(lines, "criteria")
     group_hit = F.exists(F.filter(F.split(F.lower("group_id"), r"\."), lambda g: F.length(g) > 3), lambda g: F.lower("criteria").contains(g))
     fuzzy = fuzzy.filter(group_hit).withColumn("confidence", F.lit(0.7)).withColumn("match_type", F.lit("fuzzy"))
     cols = ["cve_id", "dep_id", "version", *V.BOUNDS, "confidence", "match_type"]
