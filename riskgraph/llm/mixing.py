@@ -8,12 +8,18 @@ that a pseudorandom permutation of 0..n-1 (one per source and pass) gives for k
 no block is taken more than one time above another. Blocks meet their words by index.
 Slots beyond ``most`` passes over a source, which chance may draw, stay empty.
 
-Only DataFrame functions run here. No window spans a source's documents: places on the
-line come from sums over hashed chunks of a source and sums within a chunk. Only one row
-per source, or per source and chunk, is ever ordered in a single task. The order on the
-line depends on ids and texts alone, so reruns agree. Nulls: a null text has no words, a
-null source is a source, the last one; a null id is an id like others. Documents without
-words take nothing. Repeated rows each have their own place.
+The multinomial is stratified: only the fractions of the shares are left to chance, so the
+variance of a source's count in a shard is that of less than one slot for each source, and
+never that of all slots.
+
+Only DataFrame functions run here. No window spans a source's documents or all shards:
+places on the line come from sums over hashed chunks of a source and sums within a chunk,
+and the slots before a shard from sums over runs of ``run`` shards and sums within a run.
+Only one row per source, or per source and chunk or run, is ever ordered in a single task.
+The order on the line depends on ids, sources and texts alone, so reruns agree. Nulls: a
+null text has no words, a null source is a source, the last one; a null id is an id like
+others. Documents without words take nothing. Repeated rows each have their own place; rows
+alike in id, source and text are told apart by their other columns where these differ.
 """
 
 from __future__ import annotations
@@ -21,13 +27,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskgraph.durable import Stage
 from riskgraph.llm.words import free_name
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources up to which their table is broadcast; above it the join shuffles.
-BROADCAST_SOURCES = 10_000
 ROUNDS = 10
 
 
@@ -76,25 +81,25 @@ class Mix:
 
     def __init__(
         self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: int = 3,
-        block_words: int = 128, shard_slots: int = 4096, chunks: int = 4096, cells: int = 4096, seed: int = 7,
+        block_words: int = 128, shard_slots: int = 4096, chunks: int = 4096, cells: int = 4096, run: int = 4096, task_slots: int = 200_000,
+        seed: int = 7,
     ):
-        self.docs, self.text = docs, docs[text]
+        self.docs, self.text, self.name = docs, docs[text], text
         self.block, self.most, self.seed = block_words, most, F.lit(seed)
         spark = docs.sparkSession
         self.stage = Stage(spark, "mix")
         body = F.coalesce(self.text.cast("string"), F.lit(""))
-        #: Fixes a row's place; rows alike in id and text are interchangeable.
-        self.mark = F.xxhash64(docs[doc_id].cast("string"), body)
+        #: Fixes a row's place; rows alike in id, source and text are interchangeable.
+        key, of = docs[doc_id].cast("string"), docs[source].cast("string")
+        self.mark = F.xxhash64(key.isNull(), key, of.isNull(), of, body)
         rows = docs.select(
-            docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"),
+            docs[doc_id].alias("doc_id"), of.alias("source"),
             F.regexp_count(body, F.lit(WORD)).cast("long").alias("size"), self.mark.alias("mark"),
         )
         rows = self.stage.keep(rows)
         sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
         self.sources = self.stage.keep(targets(sizes, most))
-        small = self.sources.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-        self.hint = F.broadcast if small else (lambda df: df)
-        named = self.hint(self.sources.withColumnRenamed("source", "__source"))
+        named = self.sources.withColumnRenamed("source", "__source")
         rows = rows.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
         rows = rows.withColumn("chunk", F.pmod(F.xxhash64("mark", F.lit(3)), chunks))
         sums = rows.groupBy("sid", "chunk").agg(F.sum("size").alias("chunk_size"))
@@ -104,9 +109,9 @@ class Mix:
         rows = rows.withColumn("place", F.coalesce(F.sum("size").over(within), F.lit(0)))
         rows = rows.join(sums, ["sid", "chunk"]).withColumn("at", F.col("chunk_at") + F.col("place"))
         self.rows = self.stage.keep(rows.select("doc_id", "mark", "sid", "size", "source_size", "target", "at"))
-        self._draw(shard_slots, cells)
+        self._draw(shard_slots, cells, run, task_slots)
 
-    def _draw(self, shard_slots: int, cells: int) -> None:
+    def _draw(self, shard_slots: int, cells: int, run: int, task_slots: int) -> None:
         """Multinomial counts per shard and source, and from them the passes over each block."""
         spark, seed = self.docs.sparkSession, self.seed
         src = self.sources.filter("source_size > 0").select("sid", F.ceil(F.col("source_size") / self.block).alias("n"), "source_size", "target")
@@ -129,11 +134,18 @@ class Mix:
         known = src.select("sid", "n", "whole")
         counts = known.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
         counts = counts.join(drawn, ["sid", "shard"], "left").withColumn("count", F.col("whole") + F.coalesce("extra", F.lit(0)))
-        before = W.partitionBy("sid").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-        counts = counts.withColumn("first", F.coalesce(F.sum("count").over(before), F.lit(0)))
+        # slots of the source before each shard: those before its run of shards, and within the run
+        counts = counts.withColumn("run", F.col("shard").cast("long") - F.col("shard").cast("long") % run)
+        runs = counts.groupBy("sid", "run").agg(F.sum("count").alias("in_run"))
+        runs = runs.withColumn("run_first", F.coalesce(F.sum("in_run").over(W.partitionBy("sid").orderBy("run").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        within = W.partitionBy("sid", "run").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+        counts = counts.withColumn("first", F.coalesce(F.sum("count").over(within), F.lit(0))).join(runs.drop("in_run"), ["sid", "run"])
+        counts = counts.withColumn("first", F.col("first") + F.col("run_first"))
         counts = counts.withColumn("count", F.least("count", F.greatest(F.lit(0), F.col("n") * self.most - F.col("first"))))
         self.counts = self.stage.keep(counts.filter("count > 0").select("sid", "n", "shard", "count", "first"))
-        slots = self.counts.repartition("sid", "shard").withColumn("k", F.explode(F.expr("sequence(first, first + count - 1)")))
+        # a shard's slots come out of one row, so the number of tasks follows the slots and not the rows' bytes
+        tasks = int(total // task_slots) + 1
+        slots = self.counts.repartition(tasks, "sid", "shard").withColumn("k", F.explode(F.expr("sequence(first, first + count - 1)")))
         slots = slots.withColumn("turn", F.floor(F.col("k") / F.col("n")))
         slots = slots.withColumn("block", permuted(F.col("k") % F.col("n"), F.col("n"), F.col("sid"), F.col("turn"), seed))
         self._slots = slots.select("shard", "sid", "k", "turn", "block")
@@ -167,21 +179,19 @@ class Mix:
         """
         runs = self._pieces().withColumn("turn", F.explode(F.expr("sequence(1, times)")))
         runs = runs.groupBy("sid", "at", "mark", "size", "turn").agg(F.sort_array(F.collect_list(F.struct("begin", "words"))).alias("runs"), F.sum("words").alias("got"))
-        n = W.partitionBy("mark").orderBy("sid", "at")
-        # rows alike in id and text are told apart by a running number
-        places = self.rows.withColumn("nth", F.row_number().over(n)).select("sid", "at", "nth")
-        twins = self.rows.groupBy("mark").count().filter("count > 1").select("mark")
-        nth = self.rows.join(twins, "mark", "left_semi").join(places, ["sid", "at"]).filter("size > 0").select("sid", "at", "nth")
-        runs = runs.join(nth, ["sid", "at"], "left").withColumn("nth", F.coalesce("nth", F.lit(1)))
-        body = F.coalesce(self.text.cast("string"), F.lit(""))
+        # rows alike in id, source and text lie side by side on the line, which numbers them
+        twins = self.rows.groupBy("mark").agg(F.count("*").alias("alike"), F.min("at").alias("begin_at")).filter("alike > 1").select("mark", "begin_at")
+        runs = runs.join(twins, "mark", "left")
+        runs = runs.withColumn("nth", F.when(F.col("begin_at").isNotNull(), ((F.col("at") - F.col("begin_at")) / F.col("size") + 1).cast("int")).otherwise(1))
         names = {n: free_name(self.docs.columns, f"__{n}") for n in ("mark", "nth", "runs", "got", "size")}
         mark, number = names["mark"], names["nth"]
         marked, twins = self.docs.withColumn(mark, self.mark), twins.withColumnRenamed("mark", mark)
-        again = marked.join(twins, mark, "left_semi").withColumn(number, F.row_number().over(W.partitionBy(mark).orderBy(mark)))
+        others = [F.col(f.name) for f in self.docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        again = marked.join(twins, mark, "left_semi").withColumn(number, F.row_number().over(W.partitionBy(mark).orderBy(F.xxhash64(*others))))
         once = marked.join(twins, mark, "left_anti").withColumn(number, F.lit(1))
         taken = runs.select(*(F.col(n).alias(names[n]) for n in names))
         out = once.unionByName(again).join(taken, [mark, number])
-        name = next(c for c in self.docs.columns if c == "text")
+        name = self.name
         words = F.filter(F.split(F.col(name), r"[\x20\x09-\x0D]+"), lambda w: w != "")
         cut = F.array_join(F.flatten(F.transform(names["runs"], lambda r: F.slice(words, r["begin"].cast("int") + 1, r["words"].cast("int")))), " ")
         text = F.when(F.col(names["got"]) == F.col(names["size"]), F.col(name)).otherwise(cut)

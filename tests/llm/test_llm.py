@@ -192,6 +192,20 @@ def test_mix(spark, docs):
     assert mixing.Mix(empty(spark)).documents().count() == 0
 
 
+@pytest.mark.parametrize("first", ["a", "b"])
+def test_mix_of_twins_across_sources(spark, first):
+    sides = ["a", "b"] if first == "a" else ["b", "a"]
+    rows = [(i, " ".join(f"t{i}" for _ in range(30)), f"x{k}", s) for i in range(40) for s in sides for k in range(1 + (i % 4 == 0))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1)
+    mix = mixing.Mix(df, block_words=8, shard_slots=32, run=2, task_slots=50)
+    total = mix.documents().agg(F.sum("taken")).first()[0]
+    by = {r["source"]: r["n"] for r in mix.texts().groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()}
+    took = dict(mix.rows.select("sid", "at", "size").join(mix._pieces().groupBy("sid", "at").agg(F.sum(F.col("words") * F.col("times")).alias("n")), ["sid", "at"]).groupBy("sid").agg(F.sum("n")).collect())
+    assert by == {"a": took[0], "b": took[1]} and took[1] > took[0] and total == sum(by.values())
+    again = mixing.Mix(df.repartition(3), block_words=8, shard_slots=32, run=2, task_slots=50).texts()
+    assert sorted(map(tuple, again.collect()), key=str) == sorted(map(tuple, mix.texts().collect()), key=str)
+
+
 def test_targets_fill_up(spark):
     sizes = spark.createDataFrame([("b", 10), ("a", 1000), ("c", 500), (None, 5), ("d", 0)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.targets(sizes).collect()}
