@@ -9,7 +9,12 @@ kept nor decoded. With option ``payload`` "false" no payload is read at all.
 
 Writing puts each partition into files of up to ``fileBytes``, a gzip member per record
 (``compression`` "none": plain). Files get their final name only when the whole job commits,
-so a task that runs again leaves nothing behind.
+so a task that runs again leaves nothing behind. A record without a WARC-Date among its
+headers gets the job's: option ``date``, or the time at which the writer was made.
+
+Names of headers are compared without regard to case, and folded lines are joined. A record
+without a length, one that does not begin with its version, and a file that ends within a
+record stop the job with an error that names the file.
 
 Paths may lie in any store that pyarrow's filesystems reach. Nulls: a record without a
 target, digest or reference has no such header and reads back as null; a null payload is
@@ -21,6 +26,7 @@ from __future__ import annotations
 import zlib
 import uuid
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -92,6 +98,8 @@ class _Bytes:
         while (i := self.buf.find(mark, seen)) < 0:
             seen = max(self.at, len(self.buf) - len(mark) + 1) - self.at
             if not self._more():
+                if self.buf[self.at :].strip():
+                    raise EOFError("archive ends within a record's headers")
                 return None
             seen += self.at
         out = self.buf[self.at : i]
@@ -112,6 +120,8 @@ class _Bytes:
     def skip(self, n: int) -> None:
         have = len(self.buf) - self.at
         if not self.gz and n > have:
+            if self.file.tell() + n - have > self.file.size():
+                raise EOFError("archive ends within a record")
             self.file.seek(n - have, 1)
             self.buf, self.at = b"", 0
             return
@@ -124,15 +134,32 @@ class _Bytes:
 
 
 def parse_headers(block: bytes) -> dict[str, str]:
-    """Named fields of a record's header block; the version line is passed over."""
-    out = {}
-    for line in block.decode("utf-8", "replace").split("\r\n")[1:]:
+    """Named fields of a record's header block, as spelt there; of one name the last counts."""
+    first, *lines = block.decode("utf-8", "replace").lstrip("\r\n").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError(f"no record begins with {first[:40]!r}")
+    out: dict[str, str] = {}
+    last = None
+    for line in lines:
         name, colon, value = line.partition(":")
-        if colon:
-            out[name.strip()] = value.strip()
+        if line[:1] in (" ", "\t") and last is not None:
+            out[last] = f"{out[last]} {line.strip()}".strip()
+        elif colon:
+            last = name.strip()
+            out[last] = value.strip()
     return out
 
 
+def attributes(headers: dict[str, str]) -> dict:
+    """The columns of ``HEADERS`` of a record; the length must be there."""
+    folded = {k.lower(): v for k, v in headers.items()}
+    row: dict = {c: folded.get(h.lower()) for c, h in HEADERS.items()}
+    if row["content_length"] is None or not row["content_length"].isdecimal():
+        raise ValueError(f"record {row['record_id']} has no length but {row['content_length']!r}")
+    row["content_length"] = int(row["content_length"])
+    return row
+
+
 def _passes(f: Filter, row: dict) -> bool:
     v = row[f.attribute[0]]
     if isinstance(f, IsNull):
@@ -183,7 +210,7 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, at = _open(self.path)
-        most = int(self.options.get("partitionBytes", 64 << 20))
+        most = int(self.options.get("partitionbytes", 64 << 20))
         files = fs.get_file_info(pafs.FileSelector(at, recursive=True))
         files = sorted((f for f in files if f.is_file and not f.base_name.startswith((".", "_"))), key=lambda f: f.path)
         groups: list[list[str]] = []
@@ -213,14 +240,24 @@ class WarcReader(DataSourceReader):
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema)
 
+    @staticmethod
+    def _next(data: _Bytes, path: str) -> dict | None:
+        """Attributes and headers of the record that begins here; None at the end of the file."""
+        try:
+            block = data.until(END)
+            if block is None:
+                return None
+            headers = parse_headers(block)
+            return attributes(headers) | {"headers": headers}
+        except (ValueError, EOFError) as e:
+            raise type(e)(f"{path}: {e}") from e
+
     def _records(self, fs: pafs.FileSystem, path: str) -> Iterator[dict]:
         payloads = self.options.get("payload", "true").lower() == "true" and "payload" in self.names
         with fs.open_input_file(path) as file:
             data = _Bytes(file, path.endswith(".gz"))
-            while (block := data.until(END)) is not None:
-                headers = parse_headers(block)
-                row: dict = {c: headers.get(h) for c, h in HEADERS.items()}
-                row["content_length"] = length = int(row["content_length"] or 0)
+            while (row := self._next(data, path)) is not None:
+                length, headers = row["content_length"], row.pop("headers")
                 if all(_passes(f, row) for f in self.filters):
                     row["headers"] = list(headers.items())
                     if payloads:
@@ -240,12 +277,15 @@ def _clean(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def record_bytes(row: dict) -> bytes:
-    """One record, header block first."""
+def record_bytes(row: dict, date: str) -> bytes:
+    """One record, header block first; ``date`` unless its headers have one."""
     payload = row.get("payload") or b""
     lines = ["WARC/1.0"]
+    own = {h.lower() for h in HEADERS.values()}
+    if not any(k.lower() == "warc-date" and v is not None for k, v in row.get("headers") or []):
+        lines.append(f"WARC-Date: {date}")
     lines += [f"{h}: {_clean(row[c])}" for c, h in HEADERS.items() if c != "content_length" and row.get(c) is not None]
-    lines += [f"{_clean(k)}: {_clean(v)}" for k, v in row.get("headers") or [] if v is not None and k not in HEADERS.values()]
+    lines += [f"{_clean(k)}: {_clean(v)}" for k, v in row.get("headers") or [] if v is not None and k.lower() not in own]
     lines.append(f"Content-Length: {len(payload)}")
     return "\r\n".join(lines).encode("utf-8", "replace") + END + payload + END
 
@@ -259,6 +299,7 @@ class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         self.path, self.options, self.overwrite = options["path"], options, overwrite
         self.job = uuid.uuid4().hex[:12]
+        self.date = options.get("date") or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -266,7 +307,7 @@ class WarcWriter(DataSourceArrowWriter):
         fs, at = _open(self.path)
         fs.create_dir(at, recursive=True)
         gz = self.options.get("compression", "gzip") == "gzip"
-        most = int(self.options.get("fileBytes", 256 << 20))
+        most = int(self.options.get("filebytes", 256 << 20))
         task = TaskContext.get().partitionId()
         attempt = uuid.uuid4().hex[:8]
         files: list[tuple[str, str]] = []
@@ -277,7 +318,7 @@ class WarcWriter(DataSourceArrowWriter):
                     name = f"{self.job}-{task:05d}-{len(files):03d}.warc" + (".gz" if gz else "")
                     files.append((f"{at}/_{attempt}-{name}", f"{at}/{name}"))
                     out, size = fs.open_output_stream(files[-1][0], compression=None), 0
-                data = record_bytes(row)
+                data = record_bytes(row, self.date)
                 if gz:
                     squeeze = zlib.compressobj(1, zlib.DEFLATED, 31)
                     data = squeeze.compress(data) + squeeze.flush()
@@ -322,7 +363,7 @@ class WarcDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(dict(self.options), schema)
+        return WarcReader(dict(self.options), schema)  # names in lower case
 
     def writer(self, schema, overwrite: bool):
         return WarcWriter(dict(self.options), overwrite)

@@ -163,7 +163,9 @@ def test_archives(spark, tmp_path):
     for kind in ("gzip", "none"):
         path = str(tmp_path / kind)
         records.write.format("warc").option("compression", kind).option("fileBytes", 1000).mode("append").save(path)
-        read = spark.read.format("warc").load(path)
+        assert max(len(list(tmp_path.glob(f"{kind}/*-{task:05d}-*"))) for task in range(8)) > 1  # cut at fileBytes
+        read = spark.read.format("warc").option("partitionBytes", 1).load(path)
+        assert read.rdd.getNumPartitions() == len(list(tmp_path.glob(f"{kind}/*.warc*")))
         got = {r["page_id"]: r for r in warc.archived_pages(read).collect()}
         assert {k: (r["record_type"], r["refers_to"]) for k, r in got.items()} == {1: ("response", None), 2: ("revisit", 1), 3: ("response", None), 4: ("revisit", 3), None: ("revisit", 1), 5: ("response", None), 6: ("response", None)}
         assert got[6]["payload_bytes"] == 3_000_000 and got[2]["payload_bytes"] == 8 and got[2]["payload_digest"] == got[1]["payload_digest"]
@@ -192,6 +194,42 @@ def test_mix(spark, docs):
     assert mixing.Mix(empty(spark)).documents().count() == 0
 
 
+def test_archives_of_others(spark, tmp_path):
+    warc.register(spark)
+    record = lambda kind, body, n: f"WARC/1.1\r\nwarc-type: {kind}\r\nWARC-RECORD-ID: <urn:x:{n}>\r\nX-Long: a\r\n b\r\ncontent-length: {len(body)}\r\n\r\n{body}\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes((record("response", "hello", 1) + record("revisit", "", 2) + record("response", "WARC/1.0\r\n\r\n", 3)).encode())
+    got = sorted(spark.read.format("warc").load(str(tmp_path)).collect(), key=lambda r: r["record_id"])
+    assert [(r["warc_type"], r["content_length"], bytes(r["payload"])) for r in got] == [("response", 5, b"hello"), ("revisit", 0, b""), ("response", 12, b"WARC/1.0\r\n\r\n")]
+    assert got[0]["headers"]["X-Long"] == "a b"
+    calls = []
+
+    class Counted(warc._Bytes):
+        def read(self, n):
+            calls.append(n)
+            return super().read(n)
+
+    def read(kind):
+        reader = warc.WarcReader({"path": str(tmp_path)}, spark.read.format("warc").load(str(tmp_path)).schema)
+        assert list(reader.pushFilters([warc.EqualTo(("warc_type",), kind)])) == []
+        return [r["record_id"] for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+
+    before, warc._Bytes = warc._Bytes, Counted
+    try:
+        assert read("response") == ["<urn:x:1>", "<urn:x:3>"] and calls == [5, 12]
+        assert read("revisit") == ["<urn:x:2>"] and calls == [5, 12, 0]
+    finally:
+        warc._Bytes = before
+    for bad in (b"WARC/1.0\r\nWARC-Type: response\r\n\r\nhello\r\n\r\n", b"no archive\r\n\r\n", b"WARC/1.0\r\nContent-Length: 5\r\n\r\nhel", b"WARC/1.0\r\nContent-"):
+        (tmp_path / "b.warc").write_bytes(bad)
+        with pytest.raises((ValueError, EOFError)):
+            read("response")
+    (tmp_path / "b.warc").unlink()
+    pages = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    out = warc.archive_records(pages, "page_id", "url", "html").write.format("warc").mode("append")
+    out.option("date", "2024-01-02T03:04:05Z").save(str(tmp_path / "dated"))
+    assert spark.read.format("warc").load(str(tmp_path / "dated")).first()["headers"]["WARC-Date"] == "2024-01-02T03:04:05Z"
+
+
 @pytest.mark.parametrize("first", ["a", "b"])
 def test_mix_of_twins_across_sources(spark, first):
     sides = ["a", "b"] if first == "a" else ["b", "a"]
