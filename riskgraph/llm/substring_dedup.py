@@ -7,12 +7,22 @@ another place of any text. Confirming which do, over all texts:
    (minimizers, about one word in nine) are counted; equal windows have equal ones.
 2. Windows whose minimizer occurs more than once are hashed and counted in full.
 
-Texts with recurring windows are then read again, shard by shard: each shard compiles the
-confirmed passages of its own texts, cut into windows that cover them, into an automaton
-over word numbers and streams its texts through it. A passage is compiled in every shard
-that holds an occurrence of it, so each occurrence is located, by its words and not by a
-hash; the words under a match go. Shards are a few megabytes of text, so an automaton's
-size is bounded; no automaton or passage list reaches the driver.
+Each distinct recurring window has one home among its occurrences, chosen by hash: a piece,
+of up to ``PIECE`` window starts, of some text. What the windows of a piece cover is a
+passage, and passages are what is located:
+
+3. Texts that have a recurring half window, and no others can hold a passage, are dealt into
+   blocks; each block gets the distinct pieces that its texts' windows name, once each.
+4. A block compiles its passages into an Aho-Corasick automaton over word numbers and
+   streams its texts through it. The automaton's keys are a passage's consecutive runs of
+   half a window, so it has a node for each word of a passage and not for each word of each
+   window; any window holds a whole one. Around each match the words beside it are compared
+   with the passage's, and where a window's length agrees these words go. Nothing else
+   marks words, and a hash removes none.
+
+Blocks are a few megabytes of text and their passages about as many, so an automaton's size
+is bounded; no automaton or passage list reaches the driver, and a passage that is common
+goes once to each block.
 
 Counts are pre-aggregated and equal texts are one row with a multiplicity, so neither a
 common passage nor a group of copies meets in one task. Null texts have no words. Texts
@@ -33,7 +43,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.durable import Stage
-from riskgraph.llm.words import WordHashes, blocks, free_name, text_bytes, windows
+from riskgraph.llm.words import WordHashes, blocks, free_name, mix, text_bytes, windows
+
+#: Window starts of a piece, and bytes of text that one automaton serves.
+PIECE = 256
+BLOCK = 2 << 20
+#: Places of matches that are compared with passages together.
+TOGETHER = 1 << 20
 
 
 def _slide(x: np.ndarray, width: int, best) -> np.ndarray:
@@ -112,7 +128,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _candidates(texts: DataFrame, width: int) -> DataFrame:
-    """Rows (w, start, mark, times) of the windows that a recurring half window stands for."""
+    """Rows (w, start, piece, mark, times) of the windows that a recurring half window stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -130,56 +146,117 @@ def _candidates(texts: DataFrame, width: int) -> DataFrame:
                 full, _ = windows(m.words, m.counts, width)
                 text, place = m.places(starts)
                 text += s.start
+                piece = mix(marks[text].view(np.uint64) ^ mix((place // PIECE).astype(np.uint64), 21), 22).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full[starts].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(marks[text]), pa.array(times[text])], ["w", "start", "mark", "times"]
-                )
-
-    return texts.mapInArrow(run, "w long, start int, mark long, times long")
-
-
-def _covering(starts: np.ndarray, width: int) -> np.ndarray:
-    """Fewest of the ascending window starts that cover the same words, run by run."""
-    cut = np.flatnonzero(np.diff(starts) > 1) + 1
-    out = []
-    for run in np.split(starts, cut):
-        out += [np.arange(run[0], run[-1], width), run[-1:]]
-    return np.concatenate(out)
-
-
-def _locate(texts: DataFrame, width: int, text_out: bool) -> DataFrame:
-    """Per text what an automaton of its shard's passages leaves of it."""
-
-    def shard(rows: list[bytes], starts: list[np.ndarray]) -> list[tuple[int, str, str | None]]:
-        numbers: dict[bytes, int] = {}
-        words = [r.split() for r in rows]
-        coded = [tuple([numbers.setdefault(w, len(numbers)) for w in ws]) for ws in words]
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for c, at in zip(coded, starts):
-            for a in _covering(at, width).tolist():
-                automaton.add_word(c[a : a + width], 1)
-        automaton.make_automaton()
-        out = []
-        for c, ws in zip(coded, words):
-            ends = np.fromiter((e for e, _ in automaton.iter(c)), np.int64)
-            step = np.zeros(len(c) + 1, np.int64)
-            np.add.at(step, ends - width + 1, 1)
-            np.add.at(step, ends + 1, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            kept = b" ".join([w for w, g in zip(ws, gone.tolist()) if not g])
-            out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if text_out else None))
-        return out
+                    [pa.array(full[starts].view(np.int64)), pa.array(place.astype(np.int32)), pa.array(piece), pa.array(marks[text]), pa.array(times[text])],
+                    ["w", "start", "piece", "mark", "times"],
+                )
+
+    return texts.mapInArrow(run, "w long, start int, piece long, mark long, times long")
+
+
+def _passages(texts: DataFrame, width: int) -> DataFrame:
+    """Rows (home, passages) of rows (text, pieces): the runs of words that the windows of a piece cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [text_bytes(t) for t in batch.column(1).to_pylist()]
-            starts = [np.unique(np.array(x, np.int64)) for x in batch.column(2).to_pylist()]
-            for s in blocks(texts):
-                removed, sha, kept = zip(*shard(texts[s], starts[s]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(s.start, s.stop - s.start), pa.array(removed, pa.int64()), pa.array(sha), pa.array(kept, pa.string())], ["mark", "n_removed", "kept_sha", "kept"]
-                )
-
-    return texts.mapInArrow(run, "mark long, n_removed long, kept_sha string, kept string")
+            homes, passages = [], []
+            for text, pieces in zip(batch.column(0), batch.column(1)):
+                words = text_bytes(text.as_py()).split()
+                for piece in pieces.as_py():
+                    starts = np.unique(np.array(piece["starts"], np.int64))
+                    runs = np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1)
+                    homes.append(piece["home"]), passages.append([b" ".join(words[r[0] : r[-1] + width]) for r in runs])
+            yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(passages, pa.list_(pa.binary()))], ["home", "passages"])
+
+    return texts.mapInArrow(run, "home long, passages array<binary>")
+
+
+class Passages:
+    """An automaton over the runs of half a window of passages, and the passages behind them."""
+
+    def __init__(self, passages: list[bytes], width: int):
+        self.width, self.half = width, (width + 1) // 2
+        self.beside = width - self.half  # words of a window on either side of its run, at most
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        coded = [self._coded(p.split()) for p in passages]
+        self.flat, begin = self._line(coded, -1)
+        keys: dict[tuple[int, ...], int] = {}
+        key, at = [], []
+        for codes, b in zip(coded, begin):
+            for i in range(0, len(codes) - self.half + 1, self.half):
+                k = codes[i : i + self.half]
+                key.append(keys.setdefault(k, len(keys))), at.append(b + i)
+        for k, number in keys.items():
+            self.automaton.add_word(k, number)
+        self.automaton.make_automaton()
+        # the places of each key in the passages, one key after the other
+        order = np.argsort(np.array(key, np.int64), kind="stable")
+        self.at = np.array(at, np.int64)[order]
+        self.first = np.searchsorted(np.array(key, np.int64)[order], np.arange(len(keys) + 1))
+
+    def _coded(self, words: list[bytes]) -> tuple[int, ...]:
+        return tuple([self.numbers.setdefault(w, len(self.numbers)) for w in words])
+
+    def _line(self, coded: list[tuple[int, ...]], gap: int) -> tuple[np.ndarray, list[int]]:
+        """All words on one line with gaps that nothing agrees with, and where each row begins."""
+        pad = np.full(self.beside + 1, gap, np.int32)
+        parts, begin, at = [pad], [], len(pad)
+        for codes in coded:
+            begin.append(at)
+            parts += [np.array(codes, np.int32), pad]
+            at += len(codes) + len(pad)
+        return np.concatenate(parts), begin
+
+    def covered(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Which words of each text lie in a window of a passage."""
+        coded = [self._coded(t) for t in texts]
+        line, begin = self._line(coded, -2)
+        step = np.zeros(len(line) + 1, np.int64)
+        for codes, b in zip(coded, begin):
+            found = np.array([(end, key) for end, key in self.automaton.iter(codes)] if len(self.first) > 1 else [], np.int64).reshape(-1, 2)
+            at, key = found[:, 0] + (b - self.half + 1), found[:, 1]
+            times = self.first[key + 1] - self.first[key]
+            upto = np.cumsum(times)
+            i = 0
+            while i < len(at):
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + TOGETHER, side="right")))
+                self._mark(line, at[i:j], key[i:j], times[i:j], step)
+                i = j
+        gone = np.cumsum(step[:-1]) > 0
+        return [gone[b : b + len(codes)] for codes, b in zip(coded, begin)]
+
+    def _mark(self, line: np.ndarray, at: np.ndarray, key: np.ndarray, times: np.ndarray, step: np.ndarray) -> None:
+        """Marks what agrees with a passage around each match, where that makes a window."""
+        at = np.repeat(at, times)
+        there = self.at[np.repeat(self.first[key], times) + np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)]
+        left, right = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for side, sign, edge in ((left, -1, 0), (right, 1, self.half - 1)):
+            same = np.arange(len(at))  # matches that agree as far as looked at
+            for i in range(1, self.beside + 1):
+                same = same[line[at[same] + sign * i + edge] == self.flat[there[same] + sign * i + edge]]
+                side[same] += 1
+        hit = left + self.half + right >= self.width
+        np.add.at(step, (at - left)[hit], 1)
+        np.add.at(step, (at + self.half + right)[hit], -1)
+
+
+def _locate(texts: DataFrame, passages: DataFrame, width: int, text_out: bool) -> DataFrame:
+    """Per text of rows (block, mark, text) what the automaton of its block's passages leaves of it."""
+
+    def block(docs: pa.Table, mine: pa.Table) -> pa.Table:
+        found = Passages([p for row in mine["passages"].to_pylist() for p in row], width)
+        rows = [text_bytes(t) for t in docs["text"].to_pylist()]
+        removed, sha, left = [], [], []
+        for s in blocks(rows, BLOCK):
+            words = [r.split() for r in rows[s]]
+            for ws, gone in zip(words, found.covered(words)):
+                kept = b" ".join([w for w, g in zip(ws, gone.tolist()) if not g])
+                removed.append(int(gone.sum())), sha.append(hashlib.sha256(kept).hexdigest()), left.append(kept.decode("utf-8", "replace") if text_out else None)
+        return pa.table({"mark": docs["mark"], "n_removed": pa.array(removed, pa.int64()), "kept_sha": pa.array(sha, pa.string()), "kept": pa.array(left, pa.string())})
+
+    return texts.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(block, "mark long, n_removed long, kept_sha string, kept string")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 35, text_out: bool = False) -> DataFrame:
@@ -200,12 +277,20 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     some = stage.keep(once.join(found, "mark").select("mark", "times", "text", "places"))
     stage.drop(found, recurring)
     seen = stage.keep(_candidates(some, width))
-    again = stage.keep(seen.groupBy("w").agg(F.sum("times").alias("n")).filter("n > 1").select("w"))
+    again = stage.keep(seen.groupBy("w").agg(F.sum("times").alias("n"), F.min("piece").alias("home")).filter("n > 1").select("w", "home"))
     stage.free()
-    starts = stage.keep(seen.join(again, "w").groupBy("mark").agg(F.collect_list("start").alias("starts")))
+    # the pieces that each text names, and the starts of those that it is home to
+    named = seen.join(again, "w").groupBy("mark", "home").agg(F.collect_list(F.when(F.col("piece") == F.col("home"), F.col("start"))).alias("starts"))
+    named = stage.keep(named)
     stage.drop(seen, again)
-    left = stage.keep(_locate(some.join(starts, "mark").select("mark", "text", "starts"), width, text_out))
-    stage.drop(some, starts)
+    pieces = named.filter(F.size("starts") > 0).groupBy("mark").agg(F.collect_list(F.struct("home", "starts")).alias("pieces"))
+    passages = stage.keep(_passages(some.join(pieces, "mark").select("text", "pieces"), width))
+    size = some.agg(F.sum(F.length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("mark"), F.lit(size // BLOCK + 1)).alias("block")
+    wanted = named.select(block, "home").distinct().join(passages, "home").select("block", "passages")
+    texts = some.join(named.select("mark").distinct(), "mark", "left_semi").select(block, "mark", "text")
+    left = stage.keep(_locate(texts, wanted, width, text_out))
+    stage.drop(some, named, passages)
     out = rows.drop("halves").join(left, "mark", "left")
     return out.select(
         "doc_id", "mark", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),

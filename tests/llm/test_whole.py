@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from riskgraph.llm import langid_crf, lm_mixing
+from riskgraph.llm import langid_crf, lm_mixing, substring_dedup
 
 
 def test_lm_has_the_counts_of_every_context(spark, monkeypatch):
@@ -57,3 +57,30 @@ def test_every_language_is_fitted_on_as_many_rows_as_it_has(spark, monkeypatch):
     rows += [("same text here", "copies")] * 900  # one span each
     langid_crf.train(spark.createDataFrame(rows, "text string, lang string"), F.lit(True))
     assert got == {"copies": 400, "hot": 400, "middle": 400, "rare": 300}
+
+
+def test_passages_are_located_by_the_automaton():
+    rng = np.random.default_rng(9)
+    for width in (5, 8):
+        passages = [b" ".join(b"%d" % x for x in rng.integers(0, 4, n)) for n in (width, width + 3, 40)] + [b"7 " * 30]
+        texts = [[b"%d" % x for x in rng.integers(0, 4, n)] for n in (0, 3, 200, 400)] + [passages[2].split()[7:], [b"7"] * 50, [b"7"] * (width - 1)]
+        windows = {tuple(p.split()[i : i + width]) for p in passages for i in range(len(p.split()) - width + 1)}
+        found = substring_dedup.Passages(passages, width)
+        for t, got in zip(texts, found.covered(texts)):
+            want = np.zeros(len(t), bool)
+            for i in range(len(t) - width + 1):
+                if tuple(t[i : i + width]) in windows:
+                    want[i : i + width] = True
+            assert got.tolist() == want.tolist()
+        nothing = substring_dedup.Passages([], width)
+        assert not any(g.any() for g in nothing.covered(texts))
+
+
+def test_repeated_passages_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 4000)  # many blocks; on the driver alone, where they are counted
+    rng = np.random.default_rng(10)
+    make = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    long, passage = make(700_000), make(300)
+    rows = [(1, long), (2, long), (3, passage + " " + make(50)), (4, make(50) + " " + " ".join(passage.split()[100:200]) + " x"), (5, " ".join(long.split()[-40:])), (6, make(80))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 700_000, 2: 700_000, 3: 100, 4: 100, 5: 40, 6: 0}
