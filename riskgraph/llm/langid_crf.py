@@ -7,9 +7,11 @@ put together to code-switched sequences, by gradients from forward-backward. A t
 words are labelled by their posteriors, again by forward-backward over the whole text; its
 language has the greatest sum of posteriors, its score is the share of that sum.
 
-The lexicon counts all training texts. The field is fitted on the driver on at most
-``FIT_ROWS`` training rows per language, of each at most ``SPANS`` spans. Prediction reads
-the text alone.
+The lexicon counts all training texts and has as many words of every language: its most
+frequent ones, ``lexicon`` of them, or an equal share of ``16 * lexicon`` if there are more
+than 16 languages. The field is fitted on the driver: of ``fit_rows`` training rows of each
+language, those of the least hashes, the whole texts are cut into spans, of which the
+``fit_spans`` of the least hashes are taken. Prediction reads the text alone.
 
 Nulls: a null text has no letter; texts without a letter are ``und`` with score 0, as are
 all texts if nothing was learnt. Rows without a language, or whose id is outside of the
@@ -19,7 +21,6 @@ count. Texts of any length are read whole; ties go to the language first by code
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +32,6 @@ from pyspark.sql import types as T
 from riskgraph.llm.words import WordHashes, blocks, free_name, text_bytes
 
 BUCKETS = 1 << 16
-#: Frequent words of each language in the lexicon.
-LEXICON = 4000
-FIT_ROWS = 400
-SPANS = 6
 SPAN_WORDS = 16
 SEQUENCE_SPANS = 6
 STEPS = 60
@@ -227,32 +224,30 @@ def _count(rows: DataFrame) -> DataFrame:
 
 
 def _spans(rows: DataFrame) -> DataFrame:
-    """Rows (lang, span): a few spans of words spread over each text."""
+    """Rows (lang, at, span): whole texts cut into spans of 4 to ``SPAN_WORDS`` words, and the last of what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, spans = [], []
             for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = text_bytes(t, lower=True).split()
-                starts = range(0, len(words), max(SPAN_WORDS, len(words) // SPANS + 1))
-                for a in starts:
-                    size = 4 + zlib.crc32(b"%d %d" % (a, len(words))) % (SPAN_WORDS - 3)
-                    lang.append(g), spans.append(b" ".join(words[a : a + size]))
-            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(spans, pa.binary())], ["lang", "span"])
+                sizes = 4 + np.random.default_rng(len(words)).integers(0, SPAN_WORDS - 3, len(words) // 4 + 1)
+                starts = [0, *np.cumsum(sizes).tolist()]
+                spans = [b" ".join(words[a:b]) for a, b in zip(starts, starts[1:]) if a < len(words)]
+                yield pa.RecordBatch.from_arrays([pa.array([g] * len(spans), pa.string()), pa.array(range(len(spans)), pa.int64()), pa.array(spans, pa.binary())], ["lang", "at", "span"])
 
-    return rows.mapInArrow(run, "lang string, span binary")
+    return rows.mapInArrow(run, "lang string, at long, span binary")
 
 
-def _fit_rows(rows: DataFrame) -> DataFrame:
-    """Rows (text, lang) to fit on: ``FIT_ROWS`` of each language, or all it has where it has fewer.
+def _fit_rows(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (text, lang) to fit on: ``most`` of each language, or all it has where it has fewer.
 
     Each language is filtered by its own share first, so few of its rows are ranked; where
-    that leaves fewer than ``FIT_ROWS`` of more, all rows of the language are ranked.
+    that leaves fewer than ``most`` of more, all rows of the language are ranked.
     """
     span = 1 << 30
     pick = F.pmod(F.xxhash64(F.lit(8), "text"), F.lit(span))
     counted = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    limits = {g: span if n <= 2 * FIT_ROWS else int(span * 2 * FIT_ROWS / n) for g, n in counted.items()}
+    limits = {g: span if n <= 2 * most else int(span * 2 * most / n) for g, n in counted.items()}
 
     def below(of: dict[str, int]) -> DataFrame:
         bounds = rows.sparkSession.createDataFrame(list(of.items()), "lang string, most long")
@@ -260,36 +255,50 @@ def _fit_rows(rows: DataFrame) -> DataFrame:
 
     got = {r["lang"]: r["count"] for r in below(limits).groupBy("lang").count().collect()}
     for g, n in counted.items():
-        if got.get(g, 0) < min(FIT_ROWS, n):  # many copies of one text share a hash
+        if got.get(g, 0) < min(most, n):  # many copies of one text share a hash
             limits[g] = span
     ranked = below(limits).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("pick", "text")))
-    return ranked.filter(F.col("rank") <= FIT_ROWS).select("text", "lang")
+    return ranked.filter(F.col("rank") <= most).select("text", "lang")
 
 
-def train(docs: DataFrame, training: Column, text: str = "text", lang: str = "lang") -> Field | None:
-    """A field learnt from the rows that meet the condition and have a language and a text."""
+def _lexicon(rows: DataFrame, languages: list[str], most: int) -> dict[int, np.ndarray]:
+    """For the most frequent words of each language, how they are shared among all languages."""
+    counts = _count(rows)
+    each = max(1, min(most, 16 * most // len(languages)))
+    first = Window.partitionBy("lang").orderBy(F.desc("n"), "h")
+    chosen = counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("h").distinct()
+    got = counts.join(chosen, "h", "left_semi").toArrow()
+    number = {g: i for i, g in enumerate(languages)}
+    keys, at = np.unique(got["h"].to_numpy(), return_inverse=True)
+    shares = np.full((len(keys), len(languages)), 0.5)
+    np.add.at(shares, (at, np.array([number[g] for g in got["lang"].to_pylist()], int)), got["n"].to_numpy())
+    logs = np.log(shares / shares.sum(axis=1, keepdims=True))
+    return dict(zip(keys.view(np.uint64).tolist(), logs - logs.mean(axis=1, keepdims=True)))
+
+
+def train(
+    docs: DataFrame, training: Column, text: str = "text", lang: str = "lang", lexicon: int = 4000, fit_rows: int = 400, fit_spans: int = 2400, most_languages: int = MOST_LANGUAGES
+) -> Field | None:
+    """A field learnt from the rows that meet the condition and have a language and a text.
+
+    More than ``most_languages`` languages are an error.
+    """
     rows = docs.filter(training).select(docs[text].cast("string").alias("text"), docs[lang].cast("string").alias("lang")).dropna()
-    languages = sorted((r[0] for r in rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()), key=lambda v: v.encode())
+    languages = sorted((r[0] for r in rows.select("lang").distinct().limit(most_languages + 1).collect()), key=lambda v: v.encode())
     if not languages:
         return None
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    counts = _count(rows)
-    totals = counts.groupBy("h").agg(F.sum("n").alias("n"), F.max(F.struct("n", "lang")).alias("top"), F.collect_list(F.struct("lang", "n")).alias("by"))
-    lexicon: dict[int, np.ndarray] = {}
+    if len(languages) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
+    words = _lexicon(rows, languages, lexicon)
     number = {g: i for i, g in enumerate(languages)}
-    for r in totals.orderBy(F.desc("n"), "h").limit(LEXICON * min(len(languages), 16)).select("h", "n", "by").collect():
-        shares = np.full(len(languages), 0.5)
-        for b in r["by"]:
-            shares[number[b["lang"]]] += b["n"]
-        logs = np.log(shares / shares.sum())
-        lexicon[r["h"] & 0xFFFFFFFFFFFFFFFF] = logs - logs.mean()
     # as many rows of every language, those of the least hashes of their texts
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("span", "at"), "span")
+    cut = _spans(_fit_rows(rows, fit_rows)).withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= fit_spans)
     spans: list[list[list[bytes]]] = [[] for _ in languages]
-    for r in _spans(_fit_rows(rows)).collect():
+    for r in cut.orderBy("lang", "rank").select("lang", "span").collect():
         if w := bytes(r["span"]).split():
             spans[number[r["lang"]]].append(w)
-    return fit(spans, languages, lexicon)
+    return fit(spans, languages, words)
 
 
 class Labeller:
