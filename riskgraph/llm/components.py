@@ -16,19 +16,22 @@ def components(links: DataFrame, stage: Stage) -> DataFrame:
     """Rows (node, root) for every node of ``links(u, v)`` other than a root; root is the least node.
 
     Each round hangs a node's greater neighbours, then its lesser ones, below the least of
-    them; minima are pre-aggregated, so a node with very many links stays cheap. It ends
-    when the links are stars. Nothing but two numbers reaches the driver in a round.
+    them; minima are pre-aggregated and written before they are joined, so that the join
+    shuffles for itself and the rows of a node with very many links can be split, or no link
+    is shuffled where the minima are few. It ends when the links are stars. Nothing but two
+    numbers reaches the driver in a round.
     """
     edges = stage.keep(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while (now := _state(edges)) != before:
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        least = stage.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = stage.keep(hung.unionByName(least.withColumnRenamed("m", "v")).distinct())
-        stage.drop(edges)
+        large = stage.keep(large)
+        lower = stage.keep(large.groupBy("u").agg(F.min("v").alias("m")))
+        hung = large.join(lower, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = stage.keep(hung.unionByName(lower.withColumnRenamed("m", "v")).distinct())
+        stage.drop(edges, least, large, lower)
         edges = new
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
