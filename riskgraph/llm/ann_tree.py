@@ -167,12 +167,13 @@ def nearest(
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(leaves, pa.list_(pa.int64()))], ["vec_id", "v", "q", "leaves"])
 
     schema = T.StructType(plain.schema.fields + [T.StructField("leaf", T.LongType())])
-    members = plain.mapInArrow(assign, schema)
+    stage = Stage(spark, "ann")
+    members = stage.keep(plain.mapInArrow(assign, schema))
     asked = plain.filter(F.col("vec_id").isNotNull()).filter(queries).distinct().withColumn("q", F.xxhash64("vec_id", "v"))
-    visits = asked.mapInArrow(walk, T.StructType(asked.schema.fields + [T.StructField("leaves", T.ArrayType(T.LongType()))]))
+    visits = stage.keep(asked.mapInArrow(walk, T.StructType(asked.schema.fields + [T.StructField("leaves", T.ArrayType(T.LongType()))])))
     # the first leaves give each query a score to beat; the others return only what reaches it
     early = visits.withColumn("leaf", F.explode(F.slice("leaves", 1, FIRST))).withColumn("bar", F.lit(-2.0)).drop("leaves")
-    begun = Stage(spark, "ann").keep(_scored(members, early, k, cell_rows, cell_queries))
+    begun = stage.keep(_scored(members, early, k, cell_rows, cell_queries))
     bars = ranked(begun, k, "score", keep_query=True).filter(F.col("rank") == k).select("q", F.col("score").alias("bar"))
     late = visits.withColumn("leaf", F.explode(F.expr(f"slice(leaves, {FIRST + 1}, greatest(size(leaves) - {FIRST}, 0))"))).drop("leaves")
     late = late.join(bars, "q", "left").fillna(-2.0, ["bar"]).select(*early.columns)
