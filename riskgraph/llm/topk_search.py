@@ -1,18 +1,20 @@
 """Exact top-k by integer inner product over an impact-ordered, score-at-a-time index.
 
 Vectors are quantised to integers. An index covers a block of rows. Dense vectors have
-every row in the postings of every dimension, so a posting list is kept by impact level as
-bit planes: the segment (dimension, b) is the set, a bitmap, of the rows whose component
-above the dimension's least has bit b, and its impact is 2**b times the query's weight.
-Segments of all dimensions are processed by descending level into accumulators, many
-queries at a time. Below level b a row can still gain or lose no more than 2**b - 1 times
-the positive or negative weights. A query stops as soon as this proves that only a small
-share of the rows can reach the k-th best exact score known so far (or no level is left);
+every row in the postings of every dimension, so postings are cut by value into bit planes:
+the segment (dimension, b) is the set, a bitmap, of the rows whose component above the
+dimension's least has bit b, and its impact on a query's scores is 2**b times the query's
+weight there. For each query the segments of all dimensions are processed by descending
+impact, quantised to powers of two, into accumulators; many queries are worked on side by
+side, each in its own order. A row can still gain or lose no more than the positive or
+negative impacts that are left. A query stops as soon as this proves that only a small
+share of the rows can reach the k-th best exact score known so far (or no segment is left);
 all rows that can, and no others, are rescored exactly. So the result is exact wherever a
 query stops.
 
-A cell pairs a block of rows with a block of queries; both are bounded, so no task holds
-more than one of each, and a query's partial results are k rows per block.
+Each block of rows meets all queries in one task: its index is built once, and the queries
+stream through it batch by batch, so a task holds one block and one batch. A query's
+partial results are k rows per block.
 
 Vectors null, or with null or non-finite components, take no part; nor do vectors of
 another length than most rows have. A query's own row is any row of its vec_id. Rows that
@@ -22,6 +24,8 @@ absolute value after quantising stop the job with an error.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,21 +61,28 @@ class ImpactIndex:
         # sums of products stay whole numbers that the type holds exactly
         reach = float(np.abs(queries).sum(axis=1).max()) * 2.0**self.levels
         kind = np.float32 if reach < 2**24 else np.float64 if reach < 2**53 else object
-        weights = queries.astype(kind)
-        up, down = queries.clip(min=0).sum(axis=1), queries.clip(max=0).sum(axis=1)
         base = queries @ self.least
         acc = np.zeros((len(queries), n), kind)
+        #: Power of two of each weight, -1 for none; a segment's impact has that of its weight and bit together.
+        power = np.where(queries != 0, np.frexp(np.abs(queries).astype(np.float64))[1] - 1, -1)
+        most = 2**self.levels - 1
+        up, down = queries.clip(min=0).sum(axis=1) * most, queries.clip(max=0).sum(axis=1) * most  # what is left to gain and to lose
         waiting = list(range(len(queries)))
         bar: dict[int, int] = {}
         found: list = [None] * len(queries)
-        for b in range(self.levels - 1, -1, -1):
-            acc[waiting] += (weights[waiting] * 2**b) @ self.bits[b].T.astype(kind)
-            rest = 2**b - 1
+        highest = int(power.max(initial=-1)) + self.levels - 1 if self.levels else -1
+        for impact in range(highest, -1, -1):
+            for b in range(self.levels):
+                now = np.where(power[waiting] == impact - b, queries[waiting], 0)
+                used = np.flatnonzero(now.any(axis=0))
+                if len(used):
+                    acc[waiting] += (now[:, used].astype(kind) * 2**b) @ self.bits[b][:, used].T.astype(kind)
+                    up[waiting] -= now.clip(min=0).sum(axis=1) * 2**b
+                    down[waiting] -= now.clip(max=0).sum(axis=1) * 2**b
             still = []
             for i in waiting:
                 # unless the slack is well below the spread of the scores, no proof is in sight
-                slack = int(up[i] - down[i]) * rest
-                if slack > 4 * float(acc[i, :: max(1, n // 256)].std()) and b:
+                if int(up[i] - down[i]) > 4 * float(acc[i, :: max(1, n // 256)].std()) and impact:
                     still.append(i)
                     continue
                 if i not in bar:
@@ -79,14 +90,14 @@ class ImpactIndex:
                     guess = np.argpartition(acc[i], n - near)[n - near :]
                     guess = guess[self.ids[guess] != own[i]]
                     exact = np.sort(self.rows[guess] @ queries[i])
-                    bar[i] = int(exact[-k] - base[i]) if len(exact) >= k else int(down[i]) * 2**self.levels
-                members = np.flatnonzero(acc[i] >= bar[i] - int(up[i]) * rest)
-                if len(members) <= max(8 * k, RESCORE * n) or not b:
+                    bar[i] = int(exact[-k] - base[i]) if len(exact) >= k else int(queries[i].clip(max=0).sum()) * most
+                members = np.flatnonzero(acc[i] >= bar[i] - int(up[i]))
+                if len(members) <= max(8 * k, RESCORE * n) or not impact:
                     found[i] = self._rescored(members, queries[i], own[i], k)
                 else:
                     still.append(i)
             waiting = still
-        for i in waiting:  # rows that are all alike have no level
+        for i in waiting:  # rows that are all alike have no segment
             found[i] = self._rescored(np.arange(n), queries[i], own[i], k)
         return found
 
@@ -103,7 +114,7 @@ def _quantised(vector: Column, scale: int) -> Column:
 
 def exact_top_k(
     rows: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", scale: int = 64,
-    block_rows: int = 16384, block_queries: int = 1024,
+    block_rows: int = 16384,
 ) -> DataFrame:
     """The k highest scores of each row that ``queries`` (a condition on vec_id) picks.
 
@@ -117,26 +128,41 @@ def exact_top_k(
     far = F.exists("v", lambda x: F.abs(x) >= F.lit(1 << 28))
     plain = plain.withColumn("v", F.when(far, F.raise_error(F.lit("a component is too large for exact scores")).cast("array<bigint>")).otherwise(F.col("v")))
     asked = plain.filter(F.col("vec_id").isNotNull()).filter(queries).distinct().withColumn("q", F.xxhash64("vec_id", "v"))
-    n, m = plain.count(), asked.count()
-    row_blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-m // block_queries))
-    spread = lambda *c: F.xxhash64(F.lit(5), *c)
-    left = plain.withColumn("rb", F.pmod(spread("vec_id", "v"), row_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("qb", F.pmod(spread("q"), query_blocks)).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    left, right = left.withColumn("rb", F.col("rb").cast("int")).withColumn("qb", F.col("qb").cast("int")), right.withColumn("rb", F.col("rb").cast("int")).withColumn("qb", F.col("qb").cast("int"))
-
-    def cell(block: pa.Table, ask: pa.Table) -> pa.Table:
-        q, of, ids, scores = [], [], [], []
-        if block.num_rows and ask.num_rows:
-            known = np.array([x if x is not None else np.iinfo(np.int64).max for x in block["vec_id"].to_pylist()], np.int64)
-            index = ImpactIndex(known, matrix(block["v"], np.int64))
-            mine = ask["vec_id"].to_numpy()
-            for name, own, (found, score) in zip(ask["q"].to_pylist(), mine.tolist(), index.search(matrix(ask["v"], np.int64), mine, k)):
-                q += [name] * len(found)
-                of += [own] * len(found)
-                ids += found.tolist()
-                scores += score.tolist()
-        ids = [None if i == np.iinfo(np.int64).max else i for i in ids]
-        return pa.table({"q": pa.array(q, pa.int64()), "query_id": pa.array(of, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "score": pa.array(scores, pa.int64())})
-
-    partial = left.groupBy("rb", "qb").cogroup(right.groupBy("rb", "qb")).applyInArrow(cell, "q long, query_id long, vec_id long, score long")
+    row_blocks = max(1, -(-plain.count() // block_rows))
+    left = plain.select(F.pmod(F.xxhash64(F.lit(5), "vec_id", "v"), F.lit(row_blocks).cast("long")).alias("rb"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("q"), "vec_id", "v")
+    right = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("rb"), F.lit(1).alias("kind"), "q", "vec_id", "v")
+    # of each block first the rows and then the queries
+    dealt = left.unionByName(right).repartition(row_blocks, "rb").sortWithinPartitions("rb", "kind")
+    last = np.iinfo(np.int64).max
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, rows, index = None, [], [], None
+        for batch in batches:
+            step = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()])
+            cuts = [0, *(np.flatnonzero((step[:, 1:] != step[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if step[0, a] != block:
+                    block, ids, rows, index = step[0, a], [], [], None
+                if step[1, a] == 0:
+                    ids.append(np.array([x if x is not None else last for x in part.column(3).to_pylist()], np.int64))
+                    rows.append(matrix(part.column(4), np.int64))
+                    continue
+                if index is None and rows:
+                    index = ImpactIndex(np.concatenate(ids), np.concatenate(rows))
+                    ids, rows = [], []
+                if index is None:
+                    continue
+                own = part.column(3).to_numpy()
+                found = index.search(matrix(part.column(4), np.int64), own, k)
+                size = np.array([len(f) for f, _ in found])
+                near = np.concatenate([f for f, _ in found])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(part.column(2).to_numpy(), size)), pa.array(np.repeat(own, size)), pa.array(near, mask=near == last), pa.array(np.concatenate([s for _, s in found]), pa.int64())],
+                    ["q", "query_id", "vec_id", "score"],
+                )
+
+    partial = dealt.mapInArrow(search, "q long, query_id long, vec_id long, score long")
     return ranked(partial, k, "score")

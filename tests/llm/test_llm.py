@@ -125,7 +125,7 @@ def test_exact_top_k(spark):
     rows = [(i, [float(x) for x in rng.normal(0, 0.2, 8)]) for i in range(200)] + [(300, None), (301, [1.0, None] * 4), (302, [float("nan")] * 8), (303, [0.0] * 8), (304, [1.0, 2.0]), (None, [0.5] * 8)]
     rows += [(i, rows[0][1]) for i in range(400, 460)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("q", F.lit(1)).withColumn("score", F.lit("s"))
-    got = topk_search.exact_top_k(df, F.col("vec_id") % 20 == 0, k=5, block_rows=64, block_queries=8).collect()
+    got = topk_search.exact_top_k(df, F.col("vec_id") % 20 == 0, k=5, block_rows=64).collect()
     good = [(i, np.floor(64 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if v and len(v) == 8 and None not in v and not np.isnan(v).any()]
     want = []
     for q, x in good:
@@ -153,6 +153,29 @@ def test_nearest(spark):
         hits += len({r["vec_id"] for r in mine} & set(np.argsort(-s)[:5].tolist()))
     assert hits >= 0.9 * 60
     assert ann_tree.nearest(df.limit(0), F.lit(True)).count() == 0
+    # ties and repeated rows: the smaller id first, every row a candidate
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in (50, 7, 3, 3, 9, 8)] + [(None, [1.0, 2.0]), (60, [-1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = ann_tree.nearest(same, F.col("vec_id") == 50, k=5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [3, 3, 7, 8, 9] and len({r["score"] for r in got}) == 1
+
+
+def test_recall_of_a_tree_that_is_not_searched_whole(spark):
+    """Clustered vectors, so that few leaves hold a query's neighbours."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 16))
+    x = (centres[rng.integers(0, 40, 4000)] + 0.25 * rng.normal(size=(4000, 16))).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    tree = ann_tree.Tree(u, 64)
+    most = tree.calibrated(u, 5, 0.97)
+    assert most < tree.leaves / 2
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann_tree.nearest(df, F.col("vec_id") % 50 == 0, k=5, leaf_rows=64).toPandas()
+    hits = 0
+    for q in range(0, 4000, 50):
+        s = u @ u[q]
+        s[q] = -2
+        hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(-s)[:5].tolist()))
+    assert hits >= 0.9 * 5 * 80
 
 
 def test_archives(spark, tmp_path):
