@@ -14,14 +14,18 @@ Training is distributed and covers every training text:
 2. Windows are dealt into packs by their last three context bytes, so a pack has all
    counts of its windows' contexts of orders 3 to 5. The number of packs follows the
    number of windows. Counts of order 2, at most 2**24 whatever the corpus, are broadcast.
-3. Mixing weights learn online from the windows, one learner per part of them, and are
-   averaged by the mass they saw, for a few rounds; a window's own occurrence is taken out of the counts
-   it is predicted from, so contexts seen once are not trusted.
+3. Mixing weights learn online from the windows, one learner per pack, which begins with
+   the common weights, and are averaged by the mass they saw, for a few rounds; a window's
+   own occurrence is taken out of the counts it is predicted from, so contexts seen once are
+   not trusted. Packs do not depend on how rows lie in partitions, so weights do not either.
 4. The refining map is counted in the same way under these weights.
 5. Each distinct window of any text is predicted once. A text's score is the sum over its
    windows: predictions of the ``FREQUENT_WINDOWS`` most frequent are broadcast, the other
    windows meet theirs in a join.
 
+The learning is what is online: texts are scored with the weights and the map as learnt, so
+a text's score depends on neither its neighbours nor the order of rows.
+
 The base score is sum of log10((c + 0.5) / (N + 0.5 * (V + 1))) over lower-cased words and
 one end per text. The ``FREQUENT`` most frequent words are broadcast; the rest of the
 words meets its counts in a join.
@@ -49,6 +53,7 @@ WINDOW = ORDERS[-1] + 1
 SLOT_BITS = (19, 20, 21, 22)
 #: Windows of a pack on average.
 PACK = 1 << 17
+#: Words whose counts, and windows whose predictions, are broadcast.
 FREQUENT = 1 << 18
 FREQUENT_WINDOWS = 1 << 21
 #: Bytes that no UTF-8 text has: before the start, and the end mark.
@@ -124,10 +129,13 @@ class Mixer:
 
     def __init__(self, tables: list[np.ndarray]):
         self.tables = tables  # per order: ascending suffixes and how often each occurs
-        self.weights = np.full((GATES, len(ORDERS), KNOWN), 0.4, np.float32)
-        self.squares = np.full(self.weights.shape, 1e-2, np.float32)  # of the steps so far: they grow smaller
+        self.begin(np.full((GATES, len(ORDERS), KNOWN), 0.4, np.float32))
         self.map: np.ndarray | None = None  # (256 nodes, EDGES, 2) counts
 
+    def begin(self, weights: np.ndarray) -> None:
+        self.weights = weights.copy()
+        self.squares = np.full(weights.shape, 1e-2, np.float32)  # of the steps so far: they grow smaller
+
     def inputs(self, code: np.ndarray, out_one: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Stretched predictions (order, window, bit), how well each is known, gates, and bits."""
         bits = _bits(code)
@@ -164,7 +172,7 @@ class Mixer:
             x, known = (a[:, at : at + BATCH] for a in slab[:2])
             gate, bits = (a[at : at + BATCH] for a in slab[2:])
             p = 1 / (1 + np.exp(-self.mixed(x, known, gate)))
-            error = (bits - p) * np.minimum(count[i : i + BATCH] / mean, 50)[:, None]
+            error = (bits - p) * (count[i : i + BATCH] / mean)[:, None]  # steps are bounded by their squares, however large a count
             flat_gate = gate.ravel()
             for k in range(len(ORDERS)):
                 at = (flat_gate * len(ORDERS) + k) * KNOWN + known[k].ravel()
@@ -336,13 +344,13 @@ def train(rows: DataFrame, second: np.ndarray) -> Mixer:
         start = mixer.weights
 
         def learn(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            mine, mass = Mixer([]), 0.0
-            mine.weights = start.copy()
+            mine, total = Mixer([]), np.zeros(1 + start.size)
             for mine.tables, code, n, _ in opened(batches, shared.value):
+                mine.begin(start)
                 mine.learn(code[n > 0], n[n > 0].astype(np.float64))
-                mass += float(n.sum())
-            if mass:
-                yield pa.RecordBatch.from_arrays([pa.array([[mass, *(mine.weights.astype(np.float64).ravel() * mass).tolist()]])], ["w"])
+                total += float(n.sum()) * np.r_[1.0, mine.weights.astype(np.float64).ravel()]
+            if total[0]:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["w"])
 
         sums = summed(rows.mapInArrow(learn, "w array<double>"), "w")
         if len(sums):
@@ -407,12 +415,16 @@ def _listed(row: np.ndarray, key: np.ndarray, rows: int) -> pa.ListArray:
 
 
 def score_texts(
-    docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text",
+    docs: DataFrame, training: Column, doc_id: str = "doc_id", text: str = "text", frequent: int | None = None, frequent_windows: int | None = None,
 ) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     ``training``: a condition on the column doc_id; texts that meet it are learnt from.
+    ``frequent``, ``frequent_windows``: how many words and windows are broadcast rather than
+    joined (``FREQUENT``, ``FREQUENT_WINDOWS``); they change no score.
     """
+    frequent = FREQUENT if frequent is None else frequent
+    frequent_windows = FREQUENT_WINDOWS if frequent_windows is None else frequent_windows
     spark = docs.sparkSession
     stage = Stage(spark, "lm")
     plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
@@ -424,8 +436,8 @@ def score_texts(
     second = second_order(windows)
     packed = stage.keep(packs(windows))
     predicted = stage.keep(predictions(packed, second, train(packed, second)))
-    often_met = most_frequent(predicted, FREQUENT_WINDOWS)
-    top = words.orderBy(F.desc("n"), "key").limit(FREQUENT).toArrow()
+    often_met = most_frequent(predicted, frequent_windows)
+    top = words.orderBy(F.desc("n"), "key").limit(frequent).toArrow()
     keys = top["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     shared = spark.sparkContext.broadcast((often_met, keys[order], top["n"].to_numpy()[order]))
@@ -467,7 +479,7 @@ def score_texts(
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, mark long, train boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, rare array<struct<w:long,n:int>>, far array<struct<w:long,n:int>>"
-    mark = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    mark = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text").isNull(), "text")
     rows = stage.keep(plain.select("doc_id", mark.alias("mark"), "train", "text").mapInArrow(run, schema))
     # words that are not frequent: those that training has are told from the others by a join
     rare = rows.select("mark", F.explode("rare").alias("r")).select("mark", F.col("r.w").alias("key"), F.col("r.n").alias("times"))

@@ -84,3 +84,40 @@ def test_repeated_passages_of_long_texts(spark, monkeypatch):
     rows = [(1, long), (2, long), (3, passage + " " + make(50)), (4, make(50) + " " + " ".join(passage.split()[100:200]) + " x"), (5, " ".join(long.split()[-40:])), (6, make(80))]
     got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: 700_000, 2: 700_000, 3: 100, 4: 100, 5: 40, 6: 0}
+
+
+def test_lm_counts_of_rare_words(spark):
+    """With next to nothing broadcast, words meet their counts in the join; rows alike, and null ids, too."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"v{x}" for x in rng.integers(0, 50, i % 9))) for i in range(40)]
+    rows += [rows[7], rows[7], (None, "5"), (5, None), (None, None), (1, "never seen elsewhere")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    training = F.coalesce(F.col("doc_id"), F.lit(0)) % 3 != 1
+    few, all_ = (sorted(map(tuple, lm_mixing.score_texts(df, training, **k).collect()), key=str) for k in ({"frequent": 2, "frequent_windows": 5}, {}))
+    counts = Counter(w for i, t in rows if (i or 0) % 3 != 1 for w in [*(t or "").split(), None])
+    total, distinct = sum(counts.values()), len(counts)
+    want = []
+    for i, t in rows:
+        words = [*(t or "").split(), None]
+        want.append((i, (i or 0) % 3 == 1, len(words), sum(w in counts for w in words), total, sum(np.log10((counts[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words)))
+    for got in (few, all_):
+        assert [g[:5] for g in got] == [w[:5] for w in sorted(want, key=str)]
+        assert sorted(g[5] for g in got) == pytest.approx(sorted(w[5] for w in want))
+    assert [g[6] for g in few] == pytest.approx([g[6] for g in all_])
+
+
+def test_lm_weights_do_not_depend_on_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_mixing, "PACK", 2000)
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 300, 40))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    try:
+        got = []
+        for n in ("3", "17"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            spark.conf.set("spark.sql.files.maxPartitionBytes", "128m" if n == "3" else "4k")
+            got.append([r["score"] for r in lm_mixing.score_texts(df.repartition(int(n)), F.col("doc_id") % 4 != 1).orderBy("doc_id").collect()])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got[0] == pytest.approx(got[1], rel=1e-5)
