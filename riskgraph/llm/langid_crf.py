@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskgraph.durable import Stage
 from riskgraph.llm.words import WordHashes, blocks, free_name, text_bytes
 
 BUCKETS = 1 << 16
@@ -38,6 +39,8 @@ STEPS = 60
 #: Languages that a model may have; they are gathered on the driver.
 MOST_LANGUAGES = 1000
 REMEMBERED = 300_000
+#: Bytes of text whose words are labelled together; each word takes a few hundred bytes then.
+LABEL_BYTES = 1 << 20
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -263,7 +266,7 @@ def _fit_rows(rows: DataFrame, most: int) -> DataFrame:
 
 def _lexicon(rows: DataFrame, languages: list[str], most: int) -> dict[int, np.ndarray]:
     """For the most frequent words of each language, how they are shared among all languages."""
-    counts = _count(rows)
+    counts = Stage(rows.sparkSession, "langid").keep(_count(rows))
     each = max(1, min(most, 16 * most // len(languages)))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "h")
     chosen = counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("h").distinct()
@@ -363,7 +366,7 @@ def predict(docs: DataFrame, field: Field | None, text: str = "text", columns: l
         labeller = Labeller(shared.value) if shared.value else None
         for batch in batches:
             texts = [text_bytes(t, lower=True) for t in batch.column(len(kept)).to_pylist()]
-            for s in blocks(texts):
+            for s in blocks(texts, LABEL_BYTES):
                 some = texts[s]
                 langs, scores = labeller.texts(some) if labeller else (["und"] * len(some), np.zeros(len(some)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(s.start, len(some)) for i in range(len(kept))), pa.array(langs), pa.array(scores)], [f.name for f in fields])
