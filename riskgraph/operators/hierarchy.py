@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskgraph.durable import Stage
+
 
 def ancestors(edges: DataFrame, depth: int) -> DataFrame:
     """Rows (node, ancestor, steps) for chains of up to ``depth`` edges (child, parent); least steps count.
@@ -22,13 +24,18 @@ def ancestors(edges: DataFrame, depth: int) -> DataFrame:
     return found
 
 
-def chains(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """Rows (chain, size): every path upwards from the start nodes, as arrays of keys."""
-    up = edges.select(F.col("child").alias("last"), F.col("parent").alias("next"))
+def chains(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """Rows (chain, size): every path upwards from the start nodes, of any length, as arrays of keys.
+
+    A round extends the newest paths by one edge and writes them; it ends when none grows.
+    A node comes once in a path, so cycles end.
+    """
+    stage = Stage(edges.sparkSession, "chains")
+    up = edges.select(F.col("child").alias("last"), F.col("parent").alias("next")).distinct()
     paths = start.select(F.array("child").alias("chain"), F.col("child").alias("last")).distinct()
     out = None
-    for _ in range(depth):
+    while out is None or not paths.isEmpty():
         paths = paths.join(up, "last").filter(~F.array_contains("chain", F.col("next")))
-        paths = paths.select(F.concat("chain", F.array("next")).alias("chain"), F.col("next").alias("last"))
+        paths = stage.keep(paths.select(F.concat("chain", F.array("next")).alias("chain"), F.col("next").alias("last")))
         out = paths if out is None else out.unionByName(paths)
     return out.select("chain", F.size("chain").alias("size"))

@@ -5,8 +5,9 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
+from riskgraph import durable
 from riskgraph.functions import names, versions
-from riskgraph.operators import community, incremental, ladders, matching, rank
+from riskgraph.operators import community, hierarchy, incremental, ladders, matching, rank
 from riskgraph.operators.history import bus_factor, co_changes
 from riskgraph.operators.reach import hops_from, routes_to
 from riskgraph.plans import report
@@ -182,3 +183,21 @@ def test_report(spark):
     with pytest.raises(ValueError):
         report.checked_hops(0)
     assert report.checked_coordinate("g:a:1") == ("g", "a", "1")
+
+
+def test_chains_of_any_length(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(40, 41), (41, 40)], "child long, parent long")
+    got = hierarchy.chains(edges, spark.createDataFrame([(0,), (40,), (99,)], "child long")).collect()
+    assert max(r["size"] for r in got) == 31 and sorted(r["size"] for r in got if r["chain"][0] == 40) == [2]
+    assert hierarchy.chains(edges.limit(0), edges.select("child")).count() == 0
+
+
+def test_tables_need_a_shared_folder():
+    class Far:
+        master = "spark://far:7077"
+
+    class Session:
+        sparkContext, conf = Far(), {}
+
+    with pytest.raises(ValueError):
+        durable.shared_dir(Session())
