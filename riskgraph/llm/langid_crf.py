@@ -268,8 +268,13 @@ def _lexicon(rows: DataFrame, languages: list[str], most: int) -> dict[int, np.n
     """For the most frequent words of each language, how they are shared among all languages."""
     counts = Stage(rows.sparkSession, "langid").keep(_count(rows))
     each = max(1, min(most, 16 * most // len(languages)))
+    # the count from which a language has enough words, of how many words have each count; few rows are ranked then
+    often = counts.groupBy("lang", F.col("n").alias("least")).agg(F.count("*").alias("words"))
+    upto = Window.partitionBy("lang").orderBy(F.desc("least")).rowsBetween(Window.unboundedPreceding, -1)
+    often = often.withColumn("above", F.coalesce(F.sum("words").over(upto), F.lit(0))).filter(F.col("above") < each).groupBy("lang").agg(F.min("least").alias("least"))
     first = Window.partitionBy("lang").orderBy(F.desc("n"), "h")
-    chosen = counts.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("h").distinct()
+    frequent = counts.join(F.broadcast(often), "lang").filter("n >= least")  # a row for each language
+    chosen = frequent.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= each).select("h").distinct()
     got = counts.join(chosen, "h", "left_semi").toArrow()
     number = {g: i for i, g in enumerate(languages)}
     keys, at = np.unique(got["h"].to_numpy(), return_inverse=True)
