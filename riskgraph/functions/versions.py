@@ -36,10 +36,15 @@ def cleaned(version: Column) -> Column:
 
 
 def representatives(version: Column) -> Column:
-    """What stands for a requirement: a pin itself, of a range its bounds that are given."""
+    """What stands for a requirement: a pin itself, of a range the given bounds of its first interval.
+
+    A range that names no bound, or is none, stands for what its brackets hold.
+    """
     v = F.trim(version)
-    inside = F.split(F.regexp_replace(v, r"^[\[(]|[\])]$", ""), ",")
-    return F.when(v.rlike(r"^[\[(].*[\])]$"), F.filter(F.transform(inside, lambda x: F.trim(x)), lambda x: x != "")).otherwise(F.array(v))
+    interval = r"[\[(]\s*([^,\])]*)\s*,\s*([^,\])]*)\s*[\])]"
+    bounds = F.filter(F.array(*(F.trim(F.regexp_extract(v, interval, i)) for i in (1, 2))), lambda x: x != "")
+    bare = F.array(F.regexp_replace(v, r"^[\[\]()]+|[\[\]()]+$", ""))
+    return F.when(v == "", F.array().cast("array<string>")).when(~v.rlike(r"^[\[(]"), F.array(v)).when(F.size(bounds) > 0, bounds).otherwise(bare)
 
 
 def _key(text: str | None):
@@ -78,6 +83,19 @@ def within(*columns) -> Column:
     return pandas_udf(_within, T.BooleanType())(*columns)
 
 
+def _between(version: pd.Series, one: pd.Series, other: pd.Series) -> pd.Series:
+    out = []
+    for v, a, b in zip(version, one, other):
+        x, (lo, hi) = _key(v), (_key(a), _key(b))
+        out.append(None not in (x, lo, hi) and min(lo, hi) <= x < max(lo, hi))
+    return pd.Series(out, dtype=bool)
+
+
+def between(version: Column, one: Column, other: Column) -> Column:
+    """Whether a version is at least the lesser and below the greater of two; false if one of them is no version."""
+    return pandas_udf(_between, T.BooleanType())(version, one, other)
+
+
 def advisory_range(text: Column) -> Column:
     """Struct of the four bounds of a range like ``>= 1.2, < 2.0`` or ``= 1.2``."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x))
@@ -109,7 +127,21 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
 
 
+# Products of a vendor that are no libraries, and words that tell its libraries.
+VENDOR, VENDOR_LIBRARY = "jetbrains", "annotation"
+VENDOR_PRODUCTS = ("teamcity", "intellij", "idea", "youtrack", "space", "hub", "kotlin", "resharper", "rider", "webstorm", "phpstorm", "pycharm", "rubymine", "clion", "goland")
+VENDOR_SIGNS = ("annotation", "library", "maven", "gradle", "jar")
+
+
 def relevant(text: Column, term: Column) -> Column:
-    """Whether two tokens of a term, or the only one, are among a text's tokens."""
-    t = tokens(term)
-    return (F.size(t) > 0) & (F.size(F.array_intersect(t, tokens(text))) >= F.least(F.size(t), F.lit(2)))
+    """Whether two tokens of a term, or the only one, are among a text's tokens.
+
+    Dotted terms of one vendor count where the text tells its library, and not where it
+    tells another product of the vendor or the vendor alone.
+    """
+    low, t = F.lower(text), tokens(term)
+    any_of = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(low, w))
+    hit = (F.size(t) > 0) & (F.size(F.array_intersect(t, tokens(text))) >= F.least(F.size(t), F.lit(2)))
+    of_vendor = F.contains(F.lower(term), F.lit(VENDOR)) & F.contains(term, F.lit("."))
+    other = any_of(VENDOR_PRODUCTS) | (F.contains(low, F.lit(VENDOR)) & ~any_of(VENDOR_SIGNS))
+    return F.when(of_vendor & F.contains(low, F.lit(VENDOR_LIBRARY)), F.lit(True)).when(of_vendor & other, F.lit(False)).otherwise(hit)

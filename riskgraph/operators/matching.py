@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.functions import versions as V
+from riskgraph.operators.contain import containing
 
 
 def import_dependencies(imports: DataFrame, dependencies: DataFrame) -> DataFrame:
@@ -34,19 +35,11 @@ def constraints(cves: DataFrame) -> DataFrame:
     return rows.filter(F.coalesce(*map(F.col, V.BOUNDS)).isNotNull())
 
 
-def _grams(text: F.Column) -> F.Column:
-    """Distinct runs of five signs."""
-    starts = F.when(F.length(text) >= 5, F.sequence(F.lit(1), F.length(text) - 4))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(5))))
-
-
 def vulnerable_dependencies(dependencies: DataFrame, cves: DataFrame) -> DataFrame:
     """Rows (cve_id, dep_id, confidence, match_type): 1.0 by known product, 0.7 by name.
 
     A known product may lie anywhere in a criteria line, - and _ aside, and so may an
-    artifact of five signs and more. Candidates by name meet on five signs in a row, of the
-    artifact those that the fewest criteria have: what contains it has these too. Versions
-    are compared for distinct pairs only.
+    artifact of five signs and more. Versions are compared for distinct pairs only.
     """
     deps = dependencies.withColumn("known", F.try_element_at(F.create_map(*(F.lit(x) for p in V.KNOWN_PRODUCTS.items() for x in p)), F.concat_ws(":", "group_id", "artifact_id")))
     lines = constraints(cves)
@@ -56,10 +49,8 @@ def vulnerable_dependencies(dependencies: DataFrame, cves: DataFrame) -> DataFra
     exact = exact.withColumn("confidence", F.lit(1.0)).withColumn("match_type", F.lit("precise_gav"))
     # by name: the artifact anywhere in the criteria
     named = deps.filter(F.col("known").isNull() & (F.length("artifact_id") > 4) & ~F.lower("artifact_id").isin(*V.GENERIC_ARTIFACTS)).withColumn("artifact", F.lower("artifact_id"))
-    worded = lines.select("criteria").distinct().withColumn("gram", F.explode(_grams(F.lower("criteria"))))
-    grams = named.select("artifact").distinct().withColumn("gram", F.explode(_grams(F.col("artifact")))).join(worded.groupBy("gram").count(), "gram")
-    rarest = grams.groupBy("artifact").agg(F.min_by("gram", F.struct("count", "gram")).alias("gram"))
-    within = rarest.join(worded, "gram").filter(F.lower("criteria").contains(F.col("artifact"))).select("artifact", "criteria")
+    worded = lines.select("criteria", F.lower("criteria").alias("text")).distinct()
+    within = containing(worded, named.select(F.col("artifact").alias("needle"))).withColumnRenamed("needle", "artifact").join(worded, "text").select("artifact", "criteria")
     fuzzy = named.join(within, "artifact").join(lines, "criteria")
     group_hit = F.exists(F.filter(F.split(F.lower("group_id"), r"\."), lambda g: F.length(g) > 3), lambda g: F.lower("criteria").contains(g))
     fuzzy = fuzzy.filter(group_hit).withColumn("confidence", F.lit(0.7)).withColumn("match_type", F.lit("fuzzy"))
