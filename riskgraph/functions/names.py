@@ -76,5 +76,27 @@ def call_kind(qualifier: Column) -> Column:
     return F.when(q == "", "same_class").when(q == "this", "this").when(q == "super", "super").when(q.rlike("^[A-Z]"), "static").otherwise("instance")
 
 
+# Words before a bracket that call nothing.
+NO_CALLS = ("i", "while", "for", "switch", "catch", "synchronized", "return", "throw", "new", "assert", "super", "this")
+
+
+def calls_in(code: Column) -> Column:
+    """Array of (qualifier, name, kind) of what looks like a call in a piece of code; names with a capital are constructors and none."""
+    pattern = r"(?:(\w+)\.)?(\w+)\s*\("
+    part = lambda i: F.regexp_extract_all(code, F.lit(pattern), F.lit(i))
+    pairs = F.zip_with(part(1), part(2), lambda q, n: F.struct(F.nullif(q, F.lit("")).alias("qualifier"), n.alias("name"), call_kind(q).alias("kind")))
+    return F.filter(F.coalesce(pairs, F.array().cast("array<struct<qualifier:string,name:string,kind:string>>")), lambda c: ~F.lower(c["name"]).isin(*NO_CALLS) & ~c["name"].rlike(r"^\p{Lu}"))
+
+
+def lenient_package(type_name: Column, own_package: Column, explicit: Column) -> Column:
+    """Package of a type: by its own dots, an explicit import, else that of its file."""
+    plain = F.trim(F.substring_index(type_name, "<", 1))
+    return F.when(plain.contains("."), F.regexp_extract(plain, r"^(.*)\.[^.]*$", 1)).otherwise(F.coalesce(F.try_element_at(explicit, plain), own_package))
+
+
+def simple_name(type_name: Column) -> Column:
+    return F.substring_index(F.trim(F.substring_index(type_name, "<", 1)), ".", -1)
+
+
 def document_id(file: Column, kind: Column, start: Column, end: Column, text: Column) -> Column:
     return F.sha2(F.concat_ws("|", file, kind, start.cast("string"), end.cast("string"), F.substring(text, 1, 64)), 256)

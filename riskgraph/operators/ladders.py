@@ -44,30 +44,57 @@ def arity_fits(given: Column, wanted: Column) -> Column:
     return given.isNull() | wanted.isNull() | (given == wanted)
 
 
-def call_edges(calls: DataFrame, methods: DataFrame) -> DataFrame:
+def call_edges(calls: DataFrame, methods: DataFrame, creates: DataFrame | None = None) -> DataFrame:
     """Edges (src, dst, kind) of calls to methods of the code itself.
 
     ``calls``: id, src, kind, name, target (type name), argc, with the caller's owner and
-    file. ``methods``: sig, name, owner, file, arity, is_static. Calls of the own class go to
-    methods of the same file, of the target type first, then of the caller's; static calls
-    to static methods of the named type; others to the target's methods, then the caller's
-    class, then the only method of that name in the file. Arity counts but for static calls.
+    file, and package, that of the target, if known. ``methods``: sig, name, owner, file,
+    arity, is_static and perhaps package. ``creates``: src, type, file of classes that a
+    method makes objects of.
+
+    Calls of the own class go to methods of the same file, of the target type first, then
+    of the caller's. Static calls go to static methods of the target by name and package,
+    then by name. Others go to the target's methods, then the caller's class, then classes
+    that the caller creates, then the only method of that name in the file. Arity counts but
+    for static calls. Each rung is an equi-join on the owner or file as well as the name, so
+    calls never meet all namesakes.
     """
-    m = methods.select(F.col("sig").alias("dst"), "name", F.col("owner").alias("m_owner"), F.col("file").alias("m_file"), "arity", "is_static")
+    m = methods.select(F.col("sig").alias("dst"), "name", F.col("owner").alias("m_owner"), F.col("file").alias("m_file"), "arity", "is_static", *(["package"] if "package" in methods.columns else []))
     fits = arity_fits(F.col("argc"), F.col("arity"))
-    own = calls.filter(F.col("kind").isin("same_class", "this"))
-    near = own.join(m, "name").filter(fits & (F.col("file") == F.col("m_file")))
-    near = near.withColumn("rung", F.when(F.col("m_owner") == F.col("target"), 1).when(F.col("m_owner") == F.col("owner"), 2)).filter("rung is not null")
-    static = calls.filter("kind = 'static'").join(m, "name").filter((F.col("m_owner") == F.col("target")) & F.col("is_static")).withColumn("rung", F.lit(1))
-    other = calls.filter(~F.col("kind").isin("same_class", "this", "static"))
-    far = other.join(m, "name").filter(fits)
-    by_file = far.filter(F.col("file") == F.col("m_file"))
+    some = ["id", "src", "kind", "name", "target", "argc", "owner", "file", *(["package"] if "package" in calls.columns else [])]
+    calls = calls.select(*some)
+    own = F.col("kind").isin("same_class", "this")
+    plain = m.drop("package")
+
+    def meets(rows: DataFrame, **on: str) -> DataFrame:
+        """Calls with the methods of their name, on further columns of both."""
+        return rows.drop("package").join(plain.withColumnsRenamed({theirs: mine for mine, theirs in on.items()}), ["name", *on])
+
+    def rungs(rows: DataFrame, steps: list[DataFrame], arity: bool = True) -> DataFrame:
+        """The first step (id, src, kind, dst, argc, arity) that finds something for a call."""
+        left, out = rows.select("id"), None
+        for step in steps:
+            hit = step.join(left, "id", "left_semi")
+            hit = (hit.filter(fits) if arity else hit).select("id", "src", "dst", "kind")
+            out = hit if out is None else out.unionByName(hit)
+            left = left.join(hit.select("id"), "id", "left_anti")
+        return out
+
+    near, static = calls.filter(own), calls.filter("kind = 'static'")
+    near = rungs(near, [meets(near, file="m_file", target="m_owner"), meets(near, file="m_file", owner="m_owner")])
+    named = [meets(static, target="m_owner")]
+    if "package" in m.columns and "package" in calls.columns:
+        named.insert(0, static.join(m.withColumnRenamed("m_owner", "target"), ["name", "target", "package"]))
+    static = rungs(static, [step.filter("is_static") for step in named], arity=False)
+    other = calls.filter(~own & (F.col("kind") != "static"))
+    steps = [meets(other, target="m_owner"), meets(other, owner="m_owner", file="m_file")]
+    if creates is not None:
+        made = other.drop("package").join(creates.select("src", F.col("type").alias("m_owner"), F.col("file").alias("m_file")).distinct(), "src")
+        steps.append(made.join(plain, ["name", "m_owner", "m_file"]))
+    by_file = meets(other, file="m_file").filter(fits)
     lone = by_file.groupBy("id").agg(F.count_distinct("dst").alias("n")).filter("n = 1").select("id")
-    far = far.withColumn("rung", F.when(F.col("m_owner") == F.col("target"), 1).when(F.col("m_owner") == F.col("owner"), 2)).filter("rung is not null")
-    far = far.unionByName(by_file.join(lone, "id", "left_semi").withColumn("rung", F.lit(3)))
-    every = near.unionByName(static).unionByName(far)
-    best = every.groupBy("id").agg(F.min("rung").alias("rung"))
-    return every.join(best, ["id", "rung"]).select("src", "dst", "kind").distinct()
+    far = rungs(other, [*steps, by_file.join(lone, "id", "left_semi")])
+    return near.unionByName(static).unionByName(far).select("src", "dst", "kind").distinct()
 
 
 def external_frontier(calls: DataFrame, imports: DataFrame) -> DataFrame:

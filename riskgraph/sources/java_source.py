@@ -1,8 +1,8 @@
 """Structure of Java files: packages, imports, types, methods, fields, calls, comments.
 
 A tokenizer and one pass over the tokens, without a grammar: declarations are told by their
-shape, bodies by their braces. A file that cannot be read gives a row with an error and no
-parts. Files are read with ``binaryFile`` and parsed in batches, a row per file.
+shape, bodies by their braces. Of a file that cannot be read so a row says why, with what a
+scan line by line can tell. Files are read with ``binaryFile`` and parsed in batches, a row per file.
 """
 
 from __future__ import annotations
@@ -283,9 +283,52 @@ def parse(code: str, path: str) -> dict:
     row = {"path": path, "package": None, "total_lines": len(lines), "code_lines": sum(bool(x.strip()) and not x.strip().startswith("//") for x in lines), "error": None}
     try:
         p = _Parser(code).run()
-    except (IndexError, RecursionError) as e:
-        return row | {"error": type(e).__name__, "imports": [], "types": [], "methods": [], "fields": [], "calls": [], "docs": []}
-    return row | {"package": p.package, "imports": p.imports, "types": p.types, "methods": p.methods, "fields": p.fields, "calls": p.calls, "docs": p.docs}
+        return row | {"package": p.package, "imports": p.imports, "types": p.types, "methods": p.methods, "fields": p.fields, "calls": p.calls, "docs": p.docs}
+    except Exception as e:  # whatever a file holds, the others are read; the row says what went wrong
+        row["error"] = type(e).__name__
+    try:
+        return row | scanned(lines)
+    except Exception:
+        return row | {"imports": [], "types": [], "methods": [], "fields": [], "calls": [], "docs": []}
+
+
+_DECLARED = re.compile(r"\b(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)")
+_IMPORTED = re.compile(r"\s*import\s+(static\s+)?([\w.$]+?)(\.\*)?\s*;")
+_HEADED = re.compile(r"^\s*((?:(?:public|protected|private|static|final|abstract|synchronized|native|default)\s+)*)([\w$.]+(?:<[^<>()]*>)?(?:\[\])*)\s+([a-zA-Z_$][\w$]*)\s*\(([^()]*)\)?")
+_COMMENTED = re.compile(r"\s*(/\*|\*|//)")
+
+
+def scanned(lines: list[str]) -> dict:
+    """What can be told line by line of a file that has no readable structure: package, imports, types, heads of methods and comments.
+
+    Methods belong to the last type declared above them; lengths, calls and fields are not told.
+    """
+    out: dict = {"package": "", "imports": [], "types": [], "methods": [], "fields": [], "calls": [], "docs": []}
+    comment = None
+    for at, line in enumerate(lines, 1):
+        if _COMMENTED.match(line):
+            comment = comment or at
+            continue
+        if comment is not None:
+            text = "\n".join(lines[comment - 1 : at - 1]).strip()
+            kind = "javadoc" if text.startswith("/**") else "block" if text.startswith("/*") else "line"
+            out["docs"].append({"kind": kind, "start_line": comment, "end_line": at - 1, "text": text[:1000]})
+            comment = None
+        if not out["package"] and (found := re.match(r"\s*package\s+([\w.$]+)\s*;", line)):
+            out["package"] = found[1]
+        elif found := _IMPORTED.match(line):
+            out["imports"].append({"import_path": found[2], "is_static": bool(found[1]), "is_wildcard": bool(found[3])})
+        elif found := _DECLARED.search(line):
+            above = {"modifiers": [], "extends": [], "implements": [], "enclosing": None, "annotations": []}
+            out["types"].append({"name": found[2], "kind": found[1], "line": at, "last_line": len(lines), **above})
+        elif (found := _HEADED.match(line)) and found[2] not in NOT_CALLS and found[3] not in NOT_CALLS:
+            owner = out["types"][-1]["name"] if out["types"] else None
+            params = [p.split() for p in found[4].split(",") if len(p.split()) > 1]
+            out["methods"].append({
+                "name": found[3], "owner": owner, "line": at, "last_line": at, "modifiers": found[1].split(), "returns": found[2],
+                "params": [{"type": p[-2], "name": p[-1]} for p in params], "throws": [], "annotations": [], "complexity": 1, "deprecated": False,
+            })
+    return out
 
 
 def java_files(spark: SparkSession, root: str, subset: DataFrame | None = None) -> DataFrame:
