@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 
 from riskgraph.durable import Stage
 from riskgraph.llm.vectors import best, finite, matrix, ranked, usual_length
+from riskgraph.llm.words import trimmed
 
 SAMPLE = 40_000
 MAX_LEAVES = 4096
@@ -168,9 +169,9 @@ def nearest(
 
     schema = T.StructType(plain.schema.fields + [T.StructField("leaf", T.LongType())])
     stage = Stage(spark, "ann")
-    members = stage.keep(plain.mapInArrow(assign, schema))
+    members = stage.keep(plain.mapInArrow(trimmed(assign), schema))
     asked = plain.filter(F.col("vec_id").isNotNull()).filter(queries).distinct().withColumn("q", F.xxhash64("vec_id", "v"))
-    visits = stage.keep(asked.mapInArrow(walk, T.StructType(asked.schema.fields + [T.StructField("leaves", T.ArrayType(T.LongType()))])))
+    visits = stage.keep(asked.mapInArrow(trimmed(walk), T.StructType(asked.schema.fields + [T.StructField("leaves", T.ArrayType(T.LongType()))])))
     # the first leaves give each query a score to beat; the others return only what reaches it
     early = visits.withColumn("leaf", F.explode(F.slice("leaves", 1, FIRST))).withColumn("bar", F.lit(-2.0)).drop("leaves")
     begun = stage.keep(_scored(members, early, k, cell_rows, cell_queries))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph.durable import Stage
-from riskgraph.llm.words import WordHashes, blocks, free_name, text_bytes
+from riskgraph.llm.words import WordHashes, blocks, free_name, text_bytes, trimmed
 
 BUCKETS = 1 << 16
 SPAN_WORDS = 16
@@ -223,7 +223,7 @@ def _count(rows: DataFrame) -> DataFrame:
                     size = 0
         yield from out()
 
-    return rows.mapInArrow(run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(trimmed(run), "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
 
 
 def _spans(rows: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def _spans(rows: DataFrame) -> DataFrame:
                 spans = [b" ".join(words[a:b]) for a, b in zip(starts, starts[1:]) if a < len(words)]
                 yield pa.RecordBatch.from_arrays([pa.array([g] * len(spans), pa.string()), pa.array(range(len(spans)), pa.int64()), pa.array(spans, pa.binary())], ["lang", "at", "span"])
 
-    return rows.mapInArrow(run, "lang string, at long, span binary")
+    return rows.mapInArrow(trimmed(run), "lang string, at long, span binary")
 
 
 def _fit_rows(rows: DataFrame, most: int) -> DataFrame:
@@ -379,4 +379,4 @@ def predict(docs: DataFrame, field: Field | None, text: str = "text", columns: l
                 langs[order[s]], scores[order[s]] = labeller.texts(texts[s])
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(langs, pa.string()), pa.array(scores)], [f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(trimmed(run), T.StructType(fields))

@@ -45,7 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.durable import Stage
-from riskgraph.llm.words import WordHashes, blocks, mix, text_bytes
+from riskgraph.llm.words import WordHashes, blocks, mix, text_bytes, trimmed
 
 ORDERS = (2, 3, 4, 5)
 WINDOW = ORDERS[-1] + 1
@@ -288,7 +288,7 @@ def _count(texts: DataFrame) -> DataFrame:
         yield from windows.out(1, True)
         yield from others.out(2, True)
 
-    rows = texts.mapInArrow(run, "kind byte, key long, n long")
+    rows = texts.mapInArrow(trimmed(run), "kind byte, key long, n long")
     learnt = F.sum(F.when(F.col("kind") < 2, F.col("n")).otherwise(0))
     return rows.groupBy(F.least("kind", F.lit(1).cast("byte")).alias("kind"), "key").agg(learnt.alias("n"), F.sum("n").alias("every"))
 
@@ -306,7 +306,7 @@ def packs(windows: DataFrame) -> DataFrame:
 
     count = max(1, -(-windows.count() // PACK))
     context = F.shiftright("key", 8).bitwiseAND(0xFFFFFF)
-    return windows.select("key", "n", "every").repartition(count, context).mapInArrow(run, "code binary, n binary, every binary")
+    return windows.select("key", "n", "every").repartition(count, context).mapInArrow(trimmed(run), "code binary, n binary, every binary")
 
 
 def second_order(windows: DataFrame) -> np.ndarray:
@@ -352,7 +352,7 @@ def train(rows: DataFrame, second: np.ndarray) -> Mixer:
             if total[0]:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["w"])
 
-        sums = summed(rows.mapInArrow(learn, "w array<double>"), "w")
+        sums = summed(rows.mapInArrow(trimmed(learn), "w array<double>"), "w")
         if len(sums):
             mixer.weights = (sums[1:] / sums[0]).reshape(mixer.weights.shape).astype(np.float32)
     weights = mixer.weights
@@ -365,7 +365,7 @@ def train(rows: DataFrame, second: np.ndarray) -> Mixer:
             total += mine.tally(code[n > 0], n[n > 0].astype(np.float64))
         yield pa.RecordBatch.from_arrays([pa.array([total.tolist()])], ["t"])
 
-    sums = summed(rows.mapInArrow(tally, "t array<double>"), "t")
+    sums = summed(rows.mapInArrow(trimmed(tally), "t array<double>"), "t")
     mixer.refined(sums if len(sums) else np.zeros(256 * EDGES * 2))
     shared.destroy()
     return mixer
@@ -380,7 +380,7 @@ def predictions(rows: DataFrame, second: np.ndarray, mixer: Mixer) -> DataFrame:
         for mine.tables, code, _, every in opened(batches, table):
             yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(every), pa.array(mine.log2(code))], ["key", "every", "bits"])
 
-    return rows.mapInArrow(run, "key long, every long, bits double")
+    return rows.mapInArrow(trimmed(run), "key long, every long, bits double")
 
 
 def most_frequent(values: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -480,7 +480,7 @@ def score_texts(
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, mark long, train boolean, n_tokens long, n_known long, base double, bits double, n_bytes long, rare array<struct<w:long,n:int>>, far array<struct<w:long,n:int>>"
     mark = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("string"), F.col("text").isNull(), "text")
-    rows = stage.keep(plain.select("doc_id", mark.alias("mark"), "train", "text").mapInArrow(run, schema))
+    rows = stage.keep(plain.select("doc_id", mark.alias("mark"), "train", "text").mapInArrow(trimmed(run), schema))
     # words that are not frequent: those that training has are told from the others by a join
     rare = rows.select("mark", F.explode("rare").alias("r")).select("mark", F.col("r.w").alias("key"), F.col("r.n").alias("times"))
     rare = rare.join(words, "key", "left")

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from riskgraph.llm.components import components
 from riskgraph.durable import Stage
-from riskgraph.llm.words import WordHashes, blocks, free_name, mix, text_bytes, windows
+from riskgraph.llm.words import WordHashes, blocks, free_name, mix, release, text_bytes, trimmed, windows
 
 SYMBOLS = 4
 SYMBOL_BYTES = 2
@@ -115,7 +115,7 @@ def _sign(docs: DataFrame, width: int, count: int) -> DataFrame:
                     ["doc_id", "mark", "n_shingles", "node", "sig"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n_shingles long, node long, sig binary")
+    return docs.mapInArrow(trimmed(run), "doc_id long, mark long, n_shingles long, node long, sig binary")
 
 
 def _index(nodes: DataFrame, chunks: int) -> DataFrame:
@@ -154,7 +154,7 @@ def _confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                     u.append(a.as_py()), v.append(b.as_py())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(trimmed(run), "u long, v long")
 
 
 def _may_reach(n: str, m: str, percent: int):
@@ -199,6 +199,8 @@ def _settled(mixed: DataFrame, texts: DataFrame, width: int, percent: int, stage
                 _, first = np.unique(comps[hit], return_index=True)
                 u += [node] * len(first)
                 v += nodes[hit[first]].tolist()
+            if len(theirs) + len(mine) > CELL_ROWS // 4:
+                release()
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return left.groupBy("cluster", "lb", "rb").cogroup(right.groupBy("cluster2", "lb2", "rb2")).applyInArrow(cell, "u long, v long")

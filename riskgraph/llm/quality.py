@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from riskgraph.durable import Stage
-from riskgraph.llm.words import WordHashes, blocks, free_name, text_bytes
+from riskgraph.llm.words import WordHashes, blocks, free_name, text_bytes, trimmed
 
 SIGNS = b".,;:!?*#$%&|()[]{}<>\"'`~^_=+-/\\@"
 _BINS = 16
@@ -230,7 +230,7 @@ class Table:
                     h = np.fromiter(word_features(text_bytes(text), hashes), np.uint64).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), q, np.int32)), pa.array(np.full(len(h), t, np.int32))], ["h", "q", "t"])
 
-        counts = rows.mapInArrow(distinct_words, "h long, q int, t int").groupBy("h").agg(F.count("*").alias("n"), F.sum("q").alias("q"), F.sum("t").alias("t"))
+        counts = rows.mapInArrow(trimmed(distinct_words), "h long, q int, t int").groupBy("h").agg(F.count("*").alias("n"), F.sum("q").alias("q"), F.sum("t").alias("t"))
         counts = self.stage.keep(counts.filter(F.col("n") >= 5))
         total = len(self.answers)
         quality, toxic = (sum(a[i] for a in self.answers.values()) for i in (0, 1))
@@ -261,7 +261,7 @@ class Table:
                         views = Views.of(texts[part], *others, words, hashes)
                         yield pa.RecordBatch.from_arrays([*(b.column(c).slice(i, part.stop - i) for c in range(len(kept))), *views.packed()], [f.name for f in fields])
 
-        return rows.select(*kept, *(self.names[c] for c in ("text", "n_chars", "lang", "source"))).mapInArrow(run, T.StructType(fields))
+        return rows.select(*kept, *(self.names[c] for c in ("text", "n_chars", "lang", "source"))).mapInArrow(trimmed(run), T.StructType(fields))
 
     def _columns(self, rows: DataFrame, *names: str) -> DataFrame:
         return rows.select(*(F.col(self.names[n]).alias(n) for n in names))
@@ -297,7 +297,7 @@ class Table:
                     total[k] += np.bincount(_step(o), minlength=_STEPS)
             yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()])], ["n"])
 
-        sums = rows.mapInArrow(counted, "n array<long>").select(F.posexplode("n").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+        sums = rows.mapInArrow(trimmed(counted), "n array<long>").select(F.posexplode("n").alias("i", "n")).groupBy("i").agg(F.sum("n").alias("n")).toArrow()
         count = np.zeros(len(asked) * _STEPS, np.int64)
         count[sums["i"].to_numpy()] = sums["n"].to_numpy()
         # per view and answer: how far from even odds, and which share of those beyond
@@ -320,7 +320,7 @@ class Table:
                         if len(at):
                             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), 2 * k + up, np.int32)), *(part.column(c).take(pa.array(at)) for c in range(3))], ["of", "lot", "seen", "numbers"])
 
-        found = rows.mapInArrow(chosen, "of int, lot long, seen binary, numbers binary")
+        found = rows.mapInArrow(trimmed(chosen), "of int, lot long, seen binary, numbers binary")
         first = W.partitionBy("of").orderBy(F.xxhash64("lot"), "seen", "numbers")
         found = found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= most).drop("rank").toArrow()
         shared.destroy()
@@ -378,4 +378,4 @@ def classify(
                 q, t = (question.probability(views) for question in shared.value)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(len(kept))), pa.array(q.astype(float)), pa.array(t.astype(float)), pa.array((q >= 0.5) & (t < 0.5))], [f.name for f in fields])
 
-    return table.rows.select(*kept, table.names["seen"], table.names["numbers"]).mapInArrow(run, T.StructType(fields))
+    return table.rows.select(*kept, table.names["seen"], table.names["numbers"]).mapInArrow(trimmed(run), T.StructType(fields))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from riskgraph.llm.words import free_name
+from riskgraph.llm.words import free_name, trimmed
 
 SPACE = "▁"
 #: Cuts whose ids one task remembers; beyond it the memory starts anew.
@@ -378,7 +378,7 @@ def encode_column(
                     columns.append(pa.array([hashlib.sha256(p).hexdigest() for p in plain]))
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(trimmed(run), T.StructType(fields))
 
 
 def decode_column(df: DataFrame, model: bytes, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -393,7 +393,7 @@ def decode_column(df: DataFrame, model: bytes, ids: str = "ids", decoded: str =
             out = [decode(np.array(i or [], "<u4").tobytes()).decode("utf-8") for i in batch.column(len(kept)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), pa.array(out, pa.string())], [f.name for f in fields])
 
-    return source.mapInArrow(run, T.StructType(fields))
+    return source.mapInArrow(trimmed(run), T.StructType(fields))
 
 
 def read_model(path: str) -> bytes:

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.durable import Stage
-from riskgraph.llm.words import WordHashes, blocks, free_name, mix, text_bytes, windows
+from riskgraph.llm.words import WordHashes, blocks, free_name, mix, release, text_bytes, trimmed, windows
 
 #: Window starts of a piece, and bytes of text that one automaton serves.
 PIECE = 256
@@ -124,7 +124,7 @@ def _scan(docs: DataFrame, width: int) -> DataFrame:
                     ["doc_id", "mark", "n_words", "sha", "halves"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, mark long, n_words long, sha string, halves array<struct<h:long,p:int>>")
+    return docs.mapInArrow(trimmed(run), "doc_id long, mark long, n_words long, sha string, halves array<struct<h:long,p:int>>")
 
 
 def _candidates(texts: DataFrame, width: int) -> DataFrame:
@@ -152,7 +152,7 @@ def _candidates(texts: DataFrame, width: int) -> DataFrame:
                     ["w", "start", "piece", "mark", "times"],
                 )
 
-    return texts.mapInArrow(run, "w long, start int, piece long, mark long, times long")
+    return texts.mapInArrow(trimmed(run), "w long, start int, piece long, mark long, times long")
 
 
 def _passages(texts: DataFrame, width: int) -> DataFrame:
@@ -169,7 +169,7 @@ def _passages(texts: DataFrame, width: int) -> DataFrame:
                     homes.append(piece["home"]), passages.append([b" ".join(words[r[0] : r[-1] + width]) for r in runs])
             yield pa.RecordBatch.from_arrays([pa.array(homes, pa.int64()), pa.array(passages, pa.list_(pa.binary()))], ["home", "passages"])
 
-    return texts.mapInArrow(run, "home long, passages array<binary>")
+    return texts.mapInArrow(trimmed(run), "home long, passages array<binary>")
 
 
 class Passages:
@@ -238,8 +238,10 @@ class Passages:
                 same = same[line[at[same] + sign * i + edge] == self.flat[there[same] + sign * i + edge]]
                 side[same] += 1
         hit = left + self.half + right >= self.width
-        np.add.at(step, (at - left)[hit], 1)
-        np.add.at(step, (at + self.half + right)[hit], -1)
+        # counted per place, since many matches may begin or end at one
+        for edge, sign in (((at - left)[hit], 1), ((at + self.half + right)[hit], -1)):
+            place, times = np.unique(edge, return_counts=True)
+            step[place] += sign * times
 
 
 def _locate(texts: DataFrame, passages: DataFrame, width: int, text_out: bool) -> DataFrame:
@@ -247,6 +249,7 @@ def _locate(texts: DataFrame, passages: DataFrame, width: int, text_out: bool) -
 
     def block(docs: pa.Table, mine: pa.Table) -> pa.Table:
         found = Passages([p for row in mine["passages"].to_pylist() for p in row], width)
+        mine = mine.slice(0, 0)
         rows = [text_bytes(t) for t in docs["text"].to_pylist()]
         removed, sha, left = [], [], []
         for s in blocks(rows, BLOCK):
@@ -254,6 +257,7 @@ def _locate(texts: DataFrame, passages: DataFrame, width: int, text_out: bool) -
             for ws, gone in zip(words, found.covered(words)):
                 kept = b" ".join([w for w, g in zip(ws, gone.tolist()) if not g])
                 removed.append(int(gone.sum())), sha.append(hashlib.sha256(kept).hexdigest()), left.append(kept.decode("utf-8", "replace") if text_out else None)
+        release()
         return pa.table({"mark": docs["mark"], "n_removed": pa.array(removed, pa.int64()), "kept_sha": pa.array(sha, pa.string()), "kept": pa.array(left, pa.string())})
 
     return texts.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(block, "mark long, n_removed long, kept_sha string, kept string")

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.llm.vectors import best, finite, matrix, ranked, usual_length
+from riskgraph.llm.words import trimmed
 
 #: Share of a block's rows that may be left to exact rescoring.
 RESCORE = 0.05
@@ -164,5 +165,5 @@ def exact_top_k(
                     ["q", "query_id", "vec_id", "score"],
                 )
 
-    partial = dealt.mapInArrow(search, "q long, query_id long, vec_id long, score long")
+    partial = dealt.mapInArrow(trimmed(search), "q long, query_id long, vec_id long, score long")
     return ranked(partial, k, "score")
