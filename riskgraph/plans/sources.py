@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from riskgraph.catalog import AS_OF, Graph
 from riskgraph.functions import names, versions
+from riskgraph.functions.risk import risk_score
 from riskgraph.operators import advisories, history, incremental, ladders, matching, reach, writers
 from riskgraph.plans import flow
 from riskgraph.plans.registry import query
-from riskgraph.plans.security import HOPS, TRIAGE
+from riskgraph.plans.security import TRIAGE
 from riskgraph.plans.team import PAIRS
-from riskgraph.functions.risk import risk_score
 
 _N = F.col("dep_id").cast("long")
 N = "cast(dep_id AS bigint)"
@@ -211,3 +211,201 @@ def told(g: Graph) -> DataFrame:
 # parts of org.vendorN.module-alpha: vendorN and module-alpha at dots, org.vendorN.module and alpha at the hyphen
 query("U19_text_confidence", f"""WITH r AS (SELECT dep_id, {N} % 4 AS k, {N} % 3 AS m FROM g_dependency), h AS (SELECT *, CASE k WHEN 0 THEN 4 WHEN 1 THEN 2 + CASE WHEN m = 1 THEN 1 ELSE 0 END WHEN 2 THEN CASE WHEN m = 0 THEN 1 ELSE 0 END ELSE 0 END AS hits FROM r)
 SELECT dep_id, k = 0 OR hits >= 2 AS affected, CASE WHEN k = 0 THEN 0.95::DOUBLE WHEN hits / 4 >= 0.8 THEN 0.8::DOUBLE WHEN hits / 4 >= 0.6 THEN 0.6::DOUBLE ELSE 0.0::DOUBLE END AS confidence FROM h""")(told)
+
+# -- tables of parsed files -------------------------------------------------------------------
+
+_CLASS = "struct<name:string,kind:string,line:int,last_line:int,modifiers:array<string>,extends:array<string>,implements:array<string>,enclosing:string,annotations:array<string>>"
+
+
+def parsed(g: Graph) -> DataFrame:
+    """The graph's files as the source reader would give them: types with what they extend, methods with parameters."""
+    texts = lambda *c: F.array(*c).cast("array<string>")
+    up = g.extends.groupBy(F.col("child").alias("name"), F.col("child_file").alias("file")).agg(F.collect_set("parent").alias("extends"))
+    over = g.implements.groupBy(F.col("class_name").alias("name"), F.col("class_file").alias("file")).agg(F.collect_set("interface").alias("implements"))
+    under = g.nested.groupBy(F.col("child").alias("name"), F.col("child_file").alias("file")).agg(F.max("parent").alias("enclosing"))
+    marks = g.type_annotated.groupBy("name", "file").agg(F.collect_set("annotation").alias("marks"))
+    types = g.type.join(up, ["name", "file"], "left").join(over, ["name", "file"], "left").join(under, ["name", "file"], "left").join(marks, ["name", "file"], "left")
+    line = (F.col("cid") % 90).cast("int")
+    one = F.struct(F.col("name"), F.lit("class").alias("kind"), line.alias("line"), (line + 7).alias("last_line"), texts(F.lit("public")).alias("modifiers"), F.coalesce("extends", texts()).alias("extends"), F.coalesce("implements", texts()).alias("implements"), F.col("enclosing"), F.coalesce("marks", texts()).alias("annotations"))
+    faces = F.struct(F.col("name"), F.lit("interface").alias("kind"), F.col("iid").cast("int").alias("line"), (F.col("iid") + 1).cast("int").alias("last_line"), texts().alias("modifiers"), texts().alias("extends"), texts().alias("implements"), F.lit(None).cast("string").alias("enclosing"), texts().alias("annotations"))
+    kinds = types.select("file", one.cast(_CLASS).alias("x")).unionByName(g.interface.select("file", faces.cast(_CLASS).alias("x"))).groupBy("file").agg(F.collect_list("x").alias("types"))
+    thrown = g.throws.groupBy("method_signature").agg(F.collect_set("exception").alias("throws"))
+    marked = g.annotated.groupBy("method_signature").agg(F.collect_set("name").alias("marks"))
+    given = g.parameter.groupBy("method_signature").agg(F.collect_list(F.struct(F.col("type"), F.lit("p").alias("name"))).alias("params"))
+    methods = g.method.join(thrown, "method_signature", "left").join(marked, "method_signature", "left").join(given, "method_signature", "left")
+    start = (F.col("id") % 1000).cast("int")
+    head = F.struct(
+        F.concat("name", F.lit("_"), "method_signature").alias("name"), F.col("class_name").alias("owner"), start.alias("line"), (start + F.col("estimated_lines") - 1).cast("int").alias("last_line"),
+        F.filter(texts(F.when(F.col("is_public"), "public"), F.when(F.col("is_static"), "static")), lambda m: m.isNotNull()).alias("modifiers"), F.lit("void").alias("returns"),
+        F.coalesce("params", F.array().cast("array<struct<type:string,name:string>>")).alias("params"), F.coalesce("throws", texts()).alias("throws"), F.coalesce("marks", texts()).alias("annotations"),
+        F.col("cyclomatic_complexity").cast("int").alias("complexity"), "deprecated",
+    )
+    field = F.struct("name", F.col("owner_name").alias("owner"), "type", F.lit(1).alias("line"), F.filter(texts(F.when(F.col("is_public"), "public"), F.when(F.col("is_final"), "final")), lambda m: m.isNotNull()).alias("modifiers"), F.when(F.col("autowired"), texts(F.lit("Autowired"))).otherwise(texts()).alias("annotations"))
+    bodies = methods.select("file", head.alias("x")).groupBy("file").agg(F.collect_list("x").alias("methods"))
+    fields = g.field.select("file", field.alias("x")).groupBy("file").agg(F.collect_list("x").alias("fields"))
+    rows = g.file.select(F.col("path").alias("file"), F.concat(F.lit("com.app."), F.substring("path", 5, 2)).alias("package")).join(kinds, "file", "left").join(bodies, "file", "left").join(fields, "file", "left")
+    empty = lambda name, of: F.coalesce(name, F.array().cast(of.schema[name].dataType))
+    imports = F.array().cast("array<struct<import_path:string,is_static:boolean,is_wildcard:boolean>>")
+    return writers.scoped(rows.select(F.col("file").alias("path"), "package", empty("types", kinds).alias("types"), empty("methods", bodies).alias("methods"), empty("fields", fields).alias("fields"), imports.alias("imports")))
+
+
+query("W3_types", "SELECT name, file, package, 8 AS estimated_lines FROM g_type")(lambda g: writers.type_tables(parsed(g))["type"].select("name", "file", "package", "estimated_lines"))
+query("W3_packages", "SELECT 'com.app.' || substr(file, 5, 2) AS package FROM (SELECT file FROM g_type UNION SELECT file FROM g_interface) GROUP BY 1")(lambda g: writers.type_tables(parsed(g))["package"])
+query("W11_type_annotations", "SELECT name, file, annotation FROM g_type_annotated")(lambda g: writers.type_tables(parsed(g))["type_annotated"].select("name", "file", "annotation"))
+query("W13_nested", "SELECT child, child_file, max(parent) AS parent FROM g_nested n WHERE EXISTS (SELECT 1 FROM g_type t WHERE t.file = child_file AND t.name = (SELECT max(parent) FROM g_nested o WHERE o.child = n.child AND o.child_file = n.child_file)) GROUP BY 1, 2")(
+    lambda g: writers.type_tables(parsed(g))["nested"].select("child", "child_file", "parent")
+)
+
+
+def ladder_sql(refs: str, targets: str) -> str:
+    """Text of the three rungs over refs(ref, name, package, file) and targets(name, package, file)."""
+    return f"""r AS ({refs}), t AS (SELECT DISTINCT name, package, file FROM ({targets})),
+a AS (SELECT ref, t.name, t.file, 1 AS rung FROM r JOIN t ON t.name = r.name AND t.package = r.package UNION ALL SELECT ref, t.name, t.file, 2 FROM r JOIN t ON t.name = r.name AND t.file = r.file
+  UNION ALL SELECT ref, t.name, t.file, 3 FROM r JOIN t ON t.name = r.name WHERE (SELECT count(*) FROM (SELECT DISTINCT u.name, u.file FROM t u) u WHERE u.name = r.name) = 1),
+found AS (SELECT DISTINCT ref, name, file FROM a WHERE rung = (SELECT min(rung) FROM a b WHERE b.ref = a.ref))"""
+
+
+_PACKAGE = "'com.app.' || substr(file, 5, 2)"
+_FACES = f"SELECT name, {_PACKAGE} AS package, file FROM g_interface"
+query("J5_implements_written", f"""WITH {ladder_sql(f"SELECT class_name || '@' || class_file || '@' || interface AS ref, interface AS name, 'com.app.' || substr(class_file, 5, 2) AS package, class_file AS file FROM g_implements", _FACES)}
+SELECT split_part(ref, '@', 1) AS class_name, split_part(ref, '@', 2) AS class_file, name AS interface, file AS interface_file FROM found""")(lambda g: writers.type_tables(parsed(g))["implements"])
+query("J3_extends_written", f"""WITH {ladder_sql("SELECT child || '@' || child_file || '@' || parent AS ref, parent AS name, 'com.app.' || substr(child_file, 5, 2) AS package, child_file AS file FROM g_extends", "SELECT name, package, file FROM g_type")}
+SELECT split_part(ref, '@', 1) AS child, split_part(ref, '@', 2) AS child_file, name AS parent, file AS parent_file FROM found""")(
+    lambda g: writers.type_tables(parsed(g))["extends"].select("child", "child_file", "parent", "parent_file")
+)
+query("J4_interface_ladder", f"""WITH {ladder_sql("SELECT iid AS ref, name, CASE WHEN iid % 3 = 0 THEN package ELSE 'none' END AS package, CASE WHEN iid % 2 = 0 THEN file ELSE 'none' END AS file FROM g_interface", "SELECT name, package, file FROM g_interface UNION ALL SELECT name, package || '2', file || '2' FROM g_interface WHERE iid % 5 = 1")} SELECT ref, name, file FROM found""")(
+    lambda g: ladders.type_references(
+        g.interface.select(F.col("iid").alias("ref"), "name", F.when(F.col("iid") % 3 == 0, F.col("package")).otherwise("none").alias("package"), F.when(F.col("iid") % 2 == 0, F.col("file")).otherwise("none").alias("file")),
+        g.interface.select("name", "package", "file").unionByName(g.interface.filter("iid % 5 = 1").select("name", F.concat("package", F.lit("2")).alias("package"), F.concat("file", F.lit("2")).alias("file"))),
+    ).select("ref", "target.name", "target.file")
+)
+
+_SIG = "'com.app.' || substr(m.file, 5, 2) || '.' || m.class_name || '#' || m.name || '_' || m.method_signature || '(' || coalesce(p.types, '') || '):void'"
+_WRITTEN = "g_method m LEFT JOIN (SELECT method_signature, string_agg(type, ',') AS types FROM g_parameter GROUP BY 1) p ON p.method_signature = m.method_signature"
+
+
+def written_methods(g: Graph) -> dict[str, DataFrame]:
+    files = parsed(g)
+    kinds = writers.type_tables(files)
+    return writers.method_tables(files, kinds["type"], kinds["interface"])
+
+
+query("W4_methods", f"SELECT {_SIG} AS method_signature, m.class_name, m.file, m.estimated_lines, m.is_public, m.is_static, m.cyclomatic_complexity, m.deprecated, CASE WHEN p.types IS NULL THEN 0 ELSE 1 END AS arity FROM {_WRITTEN}")(
+    lambda g: written_methods(g)["method"].select("method_signature", "class_name", "file", "estimated_lines", "is_public", "is_static", "cyclomatic_complexity", "deprecated", "arity")
+)
+query("J6_of_type_written", f"""WITH {ladder_sql("SELECT m.method_signature AS ref, p.type AS name, 'com.app.' || substr(m.file, 5, 2) AS package, m.file AS file FROM g_parameter p JOIN g_method m ON m.method_signature = p.method_signature", f"SELECT name, package, file FROM g_type UNION ALL {_FACES}")}
+SELECT {_SIG} AS method_signature, 0 AS idx, found.name AS type, found.file AS type_file FROM {_WRITTEN} JOIN g_parameter q ON q.method_signature = m.method_signature LEFT JOIN found ON found.ref = m.method_signature""")(
+    lambda g: written_methods(g)["parameter"].select("method_signature", "idx", "type", "type_file")
+)
+query("W11_method_annotations", f"SELECT {_SIG} AS method_signature, x.name FROM {_WRITTEN} JOIN g_annotated x ON x.method_signature = m.method_signature")(lambda g: written_methods(g)["annotated"])
+query("W12_throws", f"SELECT {_SIG} AS method_signature, x.exception FROM {_WRITTEN} JOIN g_throws x ON x.method_signature = m.method_signature")(lambda g: written_methods(g)["throws"])
+
+
+# -- calls ------------------------------------------------------------------------------------
+
+_CALLS = """k AS (SELECT c.src || '>' || c.dst AS id, c.src, m.name, CASE WHEN m.id % 3 = 0 THEN 'Unknown' ELSE m.class_name END AS target, CASE WHEN m.id % 4 = 0 THEN NULL ELSE m.arity END AS argc, s.class_name AS owner, CASE WHEN s.id % 2 = 0 THEN s.file ELSE m.file END AS file
+  FROM g_calls c JOIN g_method s ON s.method_signature = c.src JOIN g_method m ON m.method_signature = c.dst), f AS (SELECT k.*, m.method_signature AS dst, m.class_name AS m_owner, m.file AS m_file, m.is_static, k.argc IS NULL OR m.arity IS NULL OR k.argc = m.arity AS fits FROM k JOIN g_method m ON m.name = k.name)"""
+
+
+def call_rows(g: Graph, kind: str) -> DataFrame:
+    m = lambda p: g.method.select(*(F.col(c).alias(f"{p}_{c}") for c in ("method_signature", "name", "class_name", "file", "arity", "id")))
+    rows = g.calls.join(m("s"), F.col("src") == F.col("s_method_signature")).join(m("m"), F.col("dst") == F.col("m_method_signature"))
+    return rows.select(
+        F.concat("src", F.lit(">"), "dst").alias("id"), "src", F.lit(kind).alias("kind"), F.col("m_name").alias("name"), F.when(F.col("m_id") % 3 == 0, "Unknown").otherwise(F.col("m_class_name")).alias("target"),
+        F.when(F.col("m_id") % 4 > 0, F.col("m_arity")).alias("argc"), F.col("s_class_name").alias("owner"), F.when(F.col("s_id") % 2 == 0, F.col("s_file")).otherwise(F.col("m_file")).alias("file"),
+    )
+
+
+def callable_methods(g: Graph) -> DataFrame:
+    return g.method.select(F.col("method_signature").alias("sig"), "name", F.col("class_name").alias("owner"), "file", "arity", "is_static")
+
+
+def made_types(g: Graph) -> DataFrame:
+    """For each third callee its class is one that the caller makes objects of."""
+    return g.calls.join(g.method, F.col("dst") == F.col("method_signature")).filter("id % 3 = 0").select("src", F.col("class_name").alias("type"), "file").distinct()
+
+
+_PICK = " SELECT DISTINCT src, dst FROM r WHERE rung = (SELECT min(rung) FROM r q WHERE q.id = r.id)"
+query("J8_own_calls", f"WITH {_CALLS}, r AS (SELECT *, CASE WHEN m_owner = target THEN 1 ELSE 2 END AS rung FROM f WHERE fits AND file = m_file AND (m_owner = target OR m_owner = owner)){_PICK}")(
+    lambda g: ladders.call_edges(call_rows(g, "this"), callable_methods(g)).select("src", "dst")
+)
+query("J9_static_calls", f"WITH {_CALLS}, r AS (SELECT *, 1 AS rung FROM f WHERE is_static AND m_owner = target){_PICK}")(lambda g: ladders.call_edges(call_rows(g, "static"), callable_methods(g)).select("src", "dst"))
+query("J10_other_calls", f"""WITH {_CALLS}, made AS (SELECT DISTINCT c.src, m.class_name AS type, m.file FROM g_calls c JOIN g_method m ON m.method_signature = c.dst WHERE m.id % 3 = 0),
+r AS (SELECT id, src, dst, 1 AS rung FROM f WHERE fits AND m_owner = target UNION ALL SELECT id, src, dst, 2 FROM f WHERE fits AND m_owner = owner AND m_file = file
+  UNION ALL SELECT f.id, f.src, f.dst, 3 FROM f JOIN made ON made.src = f.src AND made.type = f.m_owner AND made.file = f.m_file WHERE fits
+  UNION ALL SELECT id, src, min(dst), 4 FROM f WHERE fits AND m_file = file GROUP BY 1, 2 HAVING count(DISTINCT dst) = 1){_PICK}""")(
+    lambda g: ladders.call_edges(call_rows(g, "instance"), callable_methods(g), made_types(g)).select("src", "dst")
+)
+
+
+def created(g: Graph) -> DataFrame:
+    """Every callee's class as created by the caller, by package where the callee is of an even number, else by name."""
+    rows = g.calls.join(g.method, F.col("dst") == F.col("method_signature"))
+    package = F.when(F.col("id") % 2 == 0, F.concat(F.lit("com.app."), F.substring("file", 5, 2))).otherwise("none")
+    calls = rows.select(F.concat("src", F.lit(">"), "dst").alias("id"), "src", F.lit("constructor").alias("kind"), F.col("class_name").alias("target"), package.alias("package"), F.lit("none").alias("file"))
+    return writers.created_types(calls, g.type)
+
+
+query("J7_creates", f"""WITH {ladder_sql("SELECT c.src || '>' || c.dst AS ref, m.class_name AS name, CASE WHEN m.id % 2 = 0 THEN 'com.app.' || substr(m.file, 5, 2) ELSE 'none' END AS package, 'none' AS file FROM g_calls c JOIN g_method m ON m.method_signature = c.dst", "SELECT name, package, file FROM g_type")}
+SELECT DISTINCT split_part(ref, '>', 1) AS src, name AS type, file FROM found""")(created)
+
+# -- upkeep -----------------------------------------------------------------------------------
+
+query("S19_one_scope", f"SELECT group_id, min(artifact_id) AS artifact_id, max_by(scope, w * 1000000 - n) AS scope FROM (SELECT group_id, 'a' AS artifact_id, {N} AS n, CASE {N} % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'compile' ELSE 'runtime' END AS scope, CASE {N} % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS w FROM g_dependency) GROUP BY 1")(
+    lambda g: matching.one_scope(g.dependency.select("group_id", F.lit("a").alias("artifact_id"), F.get(F.array(F.lit("test"), F.lit("compile"), F.lit("runtime")), (_N % 3).cast("int")).alias("scope"), _N.alias("position"))).select("group_id", "artifact_id", "scope")
+)
+query("C18_filled_versions", f"SELECT dep_id, CASE WHEN {N} % 3 = 0 OR {N} % 2 = 0 THEN version END AS version FROM g_dependency")(
+    lambda g: flow.with_versions(g.dependency.withColumn("version", F.when(_N % 3 == 0, F.col("version"))).withColumn("group_id", F.concat("group_id", "dep_id")), g.dependency.filter(_N % 2 == 0).withColumn("group_id", F.concat("group_id", "dep_id"))).select("dep_id", "version")
+)
+query("C17_census", "SELECT 'cve' AS kind, (SELECT count(*) FROM g_cve) AS count UNION ALL SELECT 'calls', (SELECT count(*) FROM g_calls) UNION ALL SELECT 'file', (SELECT count(*) FROM g_file) UNION ALL SELECT 'method', (SELECT count(*) FROM g_method)")(
+    lambda g: flow.census({n: g.table(f"g_{n}") for n in ("cve", "calls", "file", "method")})
+)
+query("C15_codebase_dependencies", "SELECT 'java:maven' AS ecosystem, list_aggregate(list_sort(list(DISTINCT name)), 'string_agg', ',') AS names FROM (SELECT package AS name FROM g_dependency UNION SELECT artifact_id FROM g_dependency)")(
+    lambda g: flow.codebase_dependencies(g.dependency).select("ecosystem", F.array_join("names", ",").alias("names"))
+)
+query("I1_changes", f"""WITH d AS (SELECT substr('AMDRCT', cast(({N} % 6) AS int) + 1, 1) AS c, 'old/F' || dep_id || '.java' AS old, CASE WHEN {N} % 6 > 2 THEN 'new/F' || dep_id || CASE WHEN {N} % 5 = 0 THEN '.kt' ELSE '.java' END END AS new FROM g_dependency)
+SELECT path, action FROM (SELECT old AS path, 'remove' AS action FROM d WHERE c IN ('D', 'R') UNION SELECT coalesce(new, old), 'extract' FROM d WHERE c IN ('A', 'C', 'M', 'T', 'R')) WHERE path LIKE '%.java'""")(
+    lambda g: incremental.changes(g.dependency.select(
+        F.substring(F.lit("AMDRCT"), (_N % 6).cast("int") + 1, F.lit(1)).alias("code"), F.concat(F.lit("old/F"), "dep_id", F.lit(".java")).alias("old"),
+        F.when(_N % 6 > 2, F.concat(F.lit("new/F"), "dep_id", F.when(_N % 5 == 0, ".kt").otherwise(".java"))).alias("new")))
+)
+query("W22_degrees_written", "SELECT method_signature, (SELECT count(*) FROM g_calls WHERE src = method_signature) AS out_degree, (SELECT count(*) FROM g_calls WHERE dst = method_signature) AS in_degree FROM g_method")(
+    lambda g: flow.scored_methods(g.method.withColumn("pagerank", F.lit(0.0)).withColumn("in_degree", F.lit(-1)), g.calls).select("method_signature", "out_degree", "in_degree")
+)
+query("G12_central_summary", "SELECT 'total_degree' AS measure, class_name, name, method_signature, d AS value FROM (SELECT m.*, ((SELECT count(*) FROM g_calls WHERE src = method_signature) + (SELECT count(*) FROM g_calls WHERE dst = method_signature))::DOUBLE AS d FROM g_method m) ORDER BY d DESC, method_signature LIMIT 1")(
+    lambda g: flow.central_summary(flow.scored_methods(g.method, g.calls)).filter("measure = 'total_degree'")
+)
+
+
+# -- the register with its tie-breaks ------------------------------------------------------------
+
+
+def risk_report(g: Graph) -> DataFrame:
+    """Vulnerabilities in order of evidence, score, partners of the headline's file, days since its last change, id.
+
+    The headline is the first route of a vulnerability: the surest, then the nearest, then
+    the least method.
+    """
+    reached = reach.hops_from(reach.entries(g), g.calls).withColumnRenamed("node", "method_signature")
+    front = reach.frontier(g).join(reached, "method_signature").groupBy("cve_id", "method_signature").agg(F.max("confidence_rank").alias("rank"), F.min("hops").alias("hops"))
+    head = front.groupBy("cve_id").agg(F.min(F.struct((-F.col("rank")).alias("rank"), "hops", "method_signature")).alias("h")).select("cve_id", (-F.col("h.rank")).alias("rank"), "h.hops", "h.method_signature")
+    head = head.join(g.method.select("method_signature", F.col("file").alias("path")), "method_signature", "left")
+    wanted = head.select("path").distinct()
+    # only commits of these files can pair them
+    changed = g.changed.join(g.changed.join(wanted, "path", "left_semi").select("sha").distinct(), "sha", "left_semi")
+    partners = history.partners(history.co_changes(changed, g.commit, 5)).join(wanted, "path", "left_semi").groupBy("path").agg(F.count("*").alias("co_changed"))
+    touched = changed.join(wanted, "path", "left_semi").join(g.commit, "sha").groupBy("path").agg(F.max("date").alias("last_touched"))
+    stale = F.greatest(F.floor((F.lit(AS_OF).cast("timestamp").cast("long") - F.col("last_touched").cast("timestamp").cast("long")) / 86400), F.lit(0)).alias("stale_days")
+    rows = reach.triage(g, 7.0).join(head, "cve_id", "left").join(partners, "path", "left").join(touched.select("path", stale), "path", "left").fillna(0, ["co_changed", "stale_days"])
+    rows = rows.withColumn("score", risk_score(F.col("cvss_score"), F.coalesce("rank", F.lit(0)), F.col("hops")))
+    return rows.select("cve_id", "cvss_score", "status", "rank", "hops", "method_signature", "co_changed", "stale_days", "score").orderBy(F.col("rank").isNull(), F.desc("score"), F.desc("co_changed"), F.desc("stale_days"), "cve_id").limit(20)
+
+
+query("C12_risk_report", TRIAGE.replace("t AS (SELECT c.id", "u AS (SELECT c.id").replace("AS status FROM t)", "AS status FROM u)").replace("WITH RECURSIVE ", f"WITH RECURSIVE {PAIRS}, ", 1) + """, x AS (SELECT a.cve_id, x.method_signature, max(x.confidence_rank) AS rank, min(l.hops) AS hops FROM g_affects a JOIN g_depends_on d ON d.dep_id = a.dep_id
+  JOIN g_calls_external x ON x.import_path = d.import_path JOIN least l ON l.node = x.method_signature GROUP BY 1, 2),
+h AS (SELECT *, row_number() OVER (PARTITION BY cve_id ORDER BY rank DESC, hops, method_signature) AS k FROM x), pp AS (SELECT path, count(*) AS co_changed FROM (SELECT path1 AS path FROM cc UNION ALL SELECT path2 FROM cc) GROUP BY 1),
+z AS (SELECT c.path, greatest(floor((epoch(TIMESTAMP 'AS_OF') - epoch(max(date_trunc('second', o.date)))) / 86400), 0)::BIGINT AS stale_days FROM g_changed c JOIN g_commit o ON o.sha = c.sha GROUP BY 1),
+w AS (SELECT s.cve_id, s.cvss_score, s.status, h.rank, h.hops, h.method_signature, coalesce(pp.co_changed, 0) AS co_changed, coalesce(z.stale_days, 0) AS stale_days,
+  s.cvss_score * CASE h.rank WHEN 3 THEN 1.0::DOUBLE WHEN 2 THEN 0.7::DOUBLE WHEN 1 THEN 0.4::DOUBLE ELSE 0.05::DOUBLE END * CASE WHEN h.rank IS NULL THEN 1.0::DOUBLE ELSE 1.0::DOUBLE / (1.0::DOUBLE + 0.15::DOUBLE * h.hops) END AS score
+  FROM s LEFT JOIN h ON h.cve_id = s.cve_id AND h.k = 1 LEFT JOIN g_method m ON m.method_signature = h.method_signature LEFT JOIN pp ON pp.path = m.file LEFT JOIN z ON z.path = m.file WHERE s.cvss_score >= 7.0)
+SELECT * FROM w ORDER BY rank IS NULL, score DESC, co_changed DESC, stale_days DESC, cve_id LIMIT 20""".replace("AS_OF", AS_OF))(risk_report)
