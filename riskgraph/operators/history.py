@@ -45,6 +45,16 @@ def partners(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("path1").alias("path"), F.col("path2").alias("partner"), "support", "confidence").unionByName(back)
 
 
+def partners_of(changed: DataFrame, commit: DataFrame, wanted: DataFrame, min_support: int = 5, days: int | None = None, as_of: str = AS_OF) -> DataFrame:
+    """Rows (path, partner, support, confidence) of the wanted files only: the same as of all pairs, but others are never paired."""
+    rows = changed.join(commit.filter(since(days, as_of)).select("sha"), "sha").select("sha", "path").distinct()
+    alone = rows.groupBy("path").agg(F.count("*").alias("n")).filter(F.col("n") >= min_support)
+    mine = rows.join(wanted.select("path").distinct(), "path", "left_semi")
+    pairs = mine.join(rows.withColumnRenamed("path", "partner"), "sha").filter("path <> partner").groupBy("path", "partner").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support)
+    pairs = pairs.join(alone.withColumnRenamed("n", "n1"), "path").join(alone.select(F.col("path").alias("partner"), F.col("n").alias("n2")), "partner")
+    return pairs.select("path", "partner", "support", ((F.col("support") / F.col("n1") + F.col("support") / F.col("n2")) / 2.0).alias("confidence"))
+
+
 def hotspot_score(changes, methods, lines):
     return changes * 1.0 + F.coalesce(methods, F.lit(0)) / 20.0 + F.coalesce(lines, F.lit(0)) / 1000.0
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskgraph.catalog import Graph
@@ -49,10 +50,11 @@ def entries(g: Graph, sets: tuple[str, ...] = ("annotated",), annotations: tuple
     return m.filter(either).select("method_signature")
 
 
-def frontier(g: Graph, least_rank: int = 1) -> DataFrame:
-    """Rows (cve_id, dep_id, import_path, method_signature, ...): methods that call into vulnerable imports."""
+def frontier(g: Graph, least_rank: int = 1, only: Column | None = None) -> DataFrame:
+    """Rows (cve_id, dep_id, import_path, method_signature, ...): methods that call into vulnerable imports, of the vulnerabilities that meet a condition."""
     calls = g.calls_external.filter(F.col("confidence_rank") >= least_rank)
-    return g.affects.select("cve_id", "dep_id").join(g.depends_on, "dep_id").join(calls, "import_path")
+    edges = g.affects.select("cve_id", "dep_id")
+    return (edges if only is None else edges.filter(only)).join(g.depends_on, "dep_id").join(calls, "import_path")
 
 
 def hops_from(entry: DataFrame, edges: DataFrame, hops: int = MAX_HOPS, stage: Stage | None = None) -> DataFrame:
@@ -95,26 +97,30 @@ def routes_to(frontiers: DataFrame, edges: DataFrame, hops: int = MAX_HOPS, stag
     return seen
 
 
-def reachability(g: Graph, hops: int = MAX_HOPS, sets: tuple[str, ...] = ("annotated",), least_rank: int = 1, examples: int = 3) -> DataFrame:
-    """For each vulnerability, dependency and frontier method that entries reach: least hops and example routes."""
-    front = frontier(g, least_rank)
+def reachability(g: Graph, hops: int = MAX_HOPS, sets: tuple[str, ...] = ("annotated",), least_rank: int = 1, examples: int = 3, only: Column | None = None) -> DataFrame:
+    """For each vulnerability, dependency and frontier method that entries reach: least hops and example routes.
+
+    ``only``: a condition on cve_id that holds before any route is looked for.
+    """
+    front = frontier(g, least_rank, only)
     best = front.groupBy("cve_id", "dep_id", "method_signature").agg(F.max("confidence_rank").alias("confidence_rank"))
     reached = routes_to(front, g.calls, hops).join(entries(g, sets).withColumnRenamed("method_signature", "node"), "node")
-    shown = reached.groupBy("frontier").agg(
-        F.min("hops").alias("min_hops"), F.slice(F.sort_array(F.collect_list(F.struct("hops", F.col("node").alias("entry"), "route"))), 1, examples).alias("routes")
-    )
+    # the nearest entries of a frontier method are picked before any are gathered
+    order = W.partitionBy("frontier").orderBy("hops", "node", "route")
+    nearest = reached.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= examples)
+    shown = nearest.groupBy("frontier").agg(F.min("hops").alias("min_hops"), F.sort_array(F.collect_list(F.struct("hops", F.col("node").alias("entry"), "route"))).alias("routes"))
     return best.join(shown.withColumnRenamed("frontier", "method_signature"), "method_signature")
 
 
-def triage(g: Graph, least_cvss: float = 0.0, hops: int = MAX_HOPS, sets: tuple[str, ...] = ("annotated",), least_rank: int = 1) -> DataFrame:
-    """Status of every vulnerability that affects a dependency, all in one pass.
+def triage(g: Graph, least_cvss: float = 0.0, hops: int = MAX_HOPS, sets: tuple[str, ...] = ("annotated",), least_rank: int = 1, reached: DataFrame | None = None) -> DataFrame:
+    """Status of every vulnerability that affects a dependency, all in one pass; ``reached`` are the hops from entries, if known.
 
     REACHABLE: entries reach a frontier method; FRONTIER_UNREACHABLE: there is one, but none
     is reached; NO_FRONTIER: imports, but no call into them; NOT_IMPORTED: no import.
     """
     cves = g.cve.filter(F.coalesce("cvss_score", F.lit(0.0)) >= least_cvss).withColumnRenamed("id", "cve_id")
     base = cves.join(g.affects, "cve_id").join(g.depends_on, "dep_id", "left")
-    reached = hops_from(entries(g, sets), g.calls, hops).withColumnRenamed("node", "method_signature")
+    reached = (hops_from(entries(g, sets), g.calls, hops) if reached is None else reached).withColumnRenamed("node", "method_signature")
     calls = g.calls_external.filter(F.col("confidence_rank") >= least_rank).select("import_path", "method_signature").distinct()
     calls = calls.join(reached, "method_signature", "left")
     out = base.join(calls, "import_path", "left").groupBy("cve_id", "cvss_score", "severity").agg(
@@ -126,6 +132,13 @@ def triage(g: Graph, least_cvss: float = 0.0, hops: int = MAX_HOPS, sets: tuple[
     return out.withColumn("status", status.when(F.col("import_count") > 0, "NO_FRONTIER").otherwise("NOT_IMPORTED"))
 
 
+def best_evidence(g: Graph, reached: DataFrame, least_rank: int = 1) -> DataFrame:
+    """Rows (cve_id, rank, hops, method_signature): of each vulnerability the surest frontier method that entries reach, then the nearest, then the least."""
+    front = frontier(g, least_rank).join(reached.withColumnRenamed("node", "method_signature"), "method_signature")
+    best = front.groupBy("cve_id").agg(F.min(F.struct((-F.col("confidence_rank")).alias("rank"), "hops", "method_signature")).alias("h"))
+    return best.select("cve_id", (-F.col("h.rank")).alias("rank"), "h.hops", "h.method_signature")
+
+
 def reduction(statuses: DataFrame) -> DataFrame:
     """One row: vulnerabilities, reachable ones, and by how many percent triage shortens the list."""
     out = statuses.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "REACHABLE").alias("reachable"))

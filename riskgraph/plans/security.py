@@ -128,8 +128,8 @@ query("Q71_impact_summary", """SELECT c.id AS cve_id, c.description, c.cvss_scor
 
 def risk_register(g: Graph) -> DataFrame:
     """Vulnerabilities by score: severity weighed by the best evidence and by distance."""
-    best = reach.reachability(g).groupBy("cve_id").agg(F.max(F.struct("confidence_rank", -F.col("min_hops"))).alias("b"))
-    rows = reach.triage(g, 7.0).join(best.select("cve_id", F.col("b.confidence_rank").alias("rank"), (-F.col("b.col2")).alias("hops")), "cve_id", "left")
+    reached = reach.hops_from(reach.entries(g), g.calls)
+    rows = reach.triage(g, 7.0, reached=reached).join(reach.best_evidence(g, reached).drop("method_signature"), "cve_id", "left")
     rows = rows.withColumn("score", risk_score(F.col("cvss_score"), F.coalesce("rank", F.lit(0)), F.col("hops")))
     order = W.orderBy(F.col("rank").isNull(), F.desc("score"), "cve_id")
     return rows.withColumn("position", F.row_number().over(order)).select("position", "cve_id", "cvss_score", "status", "rank", "hops", "score")

@@ -386,17 +386,14 @@ def risk_report(g: Graph) -> DataFrame:
     The headline is the first route of a vulnerability: the surest, then the nearest, then
     the least method.
     """
-    reached = reach.hops_from(reach.entries(g), g.calls).withColumnRenamed("node", "method_signature")
-    front = reach.frontier(g).join(reached, "method_signature").groupBy("cve_id", "method_signature").agg(F.max("confidence_rank").alias("rank"), F.min("hops").alias("hops"))
-    head = front.groupBy("cve_id").agg(F.min(F.struct((-F.col("rank")).alias("rank"), "hops", "method_signature")).alias("h")).select("cve_id", (-F.col("h.rank")).alias("rank"), "h.hops", "h.method_signature")
-    head = head.join(g.method.select("method_signature", F.col("file").alias("path")), "method_signature", "left")
+    reached = reach.hops_from(reach.entries(g), g.calls)
+    head = reach.best_evidence(g, reached).join(g.method.select("method_signature", F.col("file").alias("path")), "method_signature", "left")
     wanted = head.select("path").distinct()
-    # only commits of these files can pair them
-    changed = g.changed.join(g.changed.join(wanted, "path", "left_semi").select("sha").distinct(), "sha", "left_semi")
-    partners = history.partners(history.co_changes(changed, g.commit, 5)).join(wanted, "path", "left_semi").groupBy("path").agg(F.count("*").alias("co_changed"))
-    touched = changed.join(wanted, "path", "left_semi").join(g.commit, "sha").groupBy("path").agg(F.max("date").alias("last_touched"))
+    changed = g.changed.join(wanted, "path", "left_semi")
+    partners = history.partners_of(g.changed, g.commit, wanted).groupBy("path").agg(F.count("*").alias("co_changed"))
+    touched = changed.join(g.commit, "sha").groupBy("path").agg(F.max("date").alias("last_touched"))
     stale = F.greatest(F.floor((F.lit(AS_OF).cast("timestamp").cast("long") - F.col("last_touched").cast("timestamp").cast("long")) / 86400), F.lit(0)).alias("stale_days")
-    rows = reach.triage(g, 7.0).join(head, "cve_id", "left").join(partners, "path", "left").join(touched.select("path", stale), "path", "left").fillna(0, ["co_changed", "stale_days"])
+    rows = reach.triage(g, 7.0, reached=reached).join(head, "cve_id", "left").join(partners, "path", "left").join(touched.select("path", stale), "path", "left").fillna(0, ["co_changed", "stale_days"])
     rows = rows.withColumn("score", risk_score(F.col("cvss_score"), F.coalesce("rank", F.lit(0)), F.col("hops")))
     return rows.select("cve_id", "cvss_score", "status", "rank", "hops", "method_signature", "co_changed", "stale_days", "score").orderBy(F.col("rank").isNull(), F.desc("score"), F.desc("co_changed"), F.desc("stale_days"), "cve_id").limit(20)
 

@@ -31,7 +31,7 @@ query("Q13_co_change_pairs", f"WITH {PAIRS} SELECT path1 AS f1, path2 AS f2, sup
 )
 query("Q37_top_coupling", f"WITH {PAIRS} SELECT path1, path2, support, confidence FROM cc ORDER BY support DESC, path1, path2 LIMIT 20")(lambda g: top(pairs(g), 20, F.desc("support"), "path1", "path2"))
 query("Q25_file_blast_radius", f"WITH {PAIRS} SELECT CASE WHEN path1 = '{FILE}' THEN path2 ELSE path1 END AS co_changed_file, support AS times_changed_together FROM cc WHERE path1 = '{FILE}' OR path2 = '{FILE}' ORDER BY 2 DESC, 1 LIMIT 20")(
-    lambda g: top(history.partners(pairs(g)).filter(F.col("path") == FILE).select(F.col("partner").alias("co_changed_file"), F.col("support").alias("times_changed_together")), 20, F.desc("times_changed_together"), "co_changed_file")
+    lambda g: top(history.partners_of(g.changed, g.commit, g.file.filter(F.col("path") == FILE)).select(F.col("partner").alias("co_changed_file"), F.col("support").alias("times_changed_together")), 20, F.desc("times_changed_together"), "co_changed_file")
 )
 query("C5_partners", f"WITH {PAIRS} SELECT path1 AS path, path2 AS partner, support FROM cc UNION ALL SELECT path2, path1, support FROM cc")(lambda g: history.partners(pairs(g)).drop("confidence"))
 
@@ -89,7 +89,7 @@ SELECT x.cve, x.dep_id, x.path AS exposed_file, w.email AS top_owner, coalesce(b
 def exposed_owner_radius(g: Graph) -> DataFrame:
     exposed = g.exposure.filter("cvss_score >= 9.0").select(F.col("cve_id").alias("cve"), "dep_id", "path").distinct()
     owner = per_author(g).groupBy("path").agg(F.min(F.struct(-F.col("commits"), "email")).alias("o")).select("path", F.col("o.email").alias("top_owner"))
-    radius = history.partners(pairs(g)).groupBy("path").agg(F.count("*").alias("blast_radius"))
+    radius = history.partners_of(g.changed, g.commit, exposed.select("path")).groupBy("path").agg(F.count("*").alias("blast_radius"))
     rows = exposed.join(owner, "path").join(radius, "path", "left").fillna(0, ["blast_radius"])
     return top(rows.select("cve", "dep_id", F.col("path").alias("exposed_file"), "top_owner", "blast_radius"), 25, F.desc("blast_radius"), "cve", "dep_id", "exposed_file")
 

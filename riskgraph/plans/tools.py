@@ -22,12 +22,12 @@ def _answer(tool: str, make: Callable[[], DataFrame], limit: int = 100, **asked)
 
 
 def cve_reachability(g: Graph, cve_id: str, max_hops: int = reach.MAX_HOPS) -> dict:
-    make = lambda: reach.reachability(g, checked_hops(max_hops)).filter(F.col("cve_id") == cve_id).orderBy(F.desc("confidence_rank"), "min_hops", "method_signature")
+    make = lambda: reach.reachability(g, checked_hops(max_hops), only=F.col("cve_id") == cve_id).orderBy(F.desc("confidence_rank"), "min_hops", "method_signature")
     return _answer("cve_reachability", make, cve_id=cve_id, max_hops=max_hops)
 
 
 def blast_radius(g: Graph, file_path: str, min_support: int = 5) -> dict:
-    pairs = lambda: history.partners(history.co_changes(g.changed, g.commit, min_support)).filter(F.col("path") == file_path).orderBy(F.desc("support"), F.desc("confidence"), "partner")
+    pairs = lambda: history.partners_of(g.changed, g.commit, g.file.filter(F.col("path") == file_path), min_support).orderBy(F.desc("support"), F.desc("confidence"), "partner")
     return _answer("blast_radius", pairs, file_path=file_path, min_support=min_support)
 
 
