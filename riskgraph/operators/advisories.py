@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.functions import versions as V
@@ -236,3 +236,36 @@ def text_confidence(name: Column, description: Column) -> Column:
     share = hits / F.size(parts)
     confidence = F.when(full, 0.95).when(F.size(parts) == 0, 0.0).when(share >= 0.8, 0.8).when(share >= 0.6, 0.6).otherwise(0.0)
     return F.struct((full | (hits >= 2)).alias("affected"), confidence.alias("confidence"))
+
+
+# -- reading what was saved, and finding in it ------------------------------------------------
+
+
+def saved_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (cve, position) of saved answers of the vulnerability list, as ``normalised_cves`` takes them: files in order of their names, entries in order."""
+    schema = (
+        "vulnerabilities array<struct<cve:struct<id:string,published:string,descriptions:array<struct<lang:string,value:string>>,"
+        "metrics:struct<cvssMetricV31:array<struct<cvssData:struct<baseScore:double,baseSeverity:string>>>,cvssMetricV30:array<struct<cvssData:struct<baseScore:double,baseSeverity:string>>>>,"
+        "configurations:array<struct<nodes:array<struct<cpeMatch:array<struct<criteria:string,versionStartIncluding:string,versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>>>>>>>>>"
+    )
+    files = spark.read.schema(schema).option("multiLine", True).json(path).withColumn("file", F.col("_metadata.file_path"))
+    return files.select("file", F.posexplode("vulnerabilities").alias("at", "v")).select("v.cve", F.struct("file", "at").alias("position"))
+
+
+def saved_advisories(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of ``ADVISORY`` of saved answers of the advisory list: files that hold one advisory or an array of them."""
+    return spark.read.schema(ADVISORY).option("multiLine", True).json(path)
+
+
+def enriched(links: DataFrame, cves: DataFrame) -> DataFrame:
+    """Links with what is known of their vulnerability; unknown ones have an empty description, score 0 and severity UNKNOWN."""
+    told = cves.select(F.col("id").alias("cve_id"), "description", "cvss_score", "severity")
+    rows = links.join(told, "cve_id", "left")
+    return rows.fillna("", ["description"]).fillna(0.0, ["cvss_score"]).fillna("UNKNOWN", ["severity"])
+
+
+def found_by_words(cves: DataFrame, words: str) -> DataFrame:
+    """Vulnerabilities whose description has a word of the search, with how many of them, most first."""
+    asked = F.array(*(F.lit(w) for w in dict.fromkeys(words.lower().split())))
+    hits = F.size(F.array_intersect(asked, F.split(F.lower(F.coalesce("description", F.lit(""))), "[^a-z0-9]+")))
+    return cves.withColumn("hits", hits).filter("hits > 0").orderBy(F.desc("hits"), "id")

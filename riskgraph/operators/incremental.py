@@ -80,3 +80,50 @@ def repeated_keys(df: DataFrame, *key: str) -> DataFrame:
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two tables hold the same multiset of rows."""
     return a.exceptAll(b.select(*a.columns)).isEmpty() and b.select(*a.columns).exceptAll(a).isEmpty()
+
+
+#: Columns of a file that say nothing once it is gone.
+COUNTERS = ("total_lines", "code_lines", "method_count", "class_count", "interface_count")
+
+
+def marked_deleted(files: DataFrame, touched: DataFrame, head: str) -> DataFrame:
+    """Files with ``deleted_at_head``: removed ones keep their node, say since when, and lose their counters; those read again are there once more."""
+    action = touched.groupBy("path").agg(F.max(F.col("action") == "extract").alias("__read"))
+    rows = files.join(action, "path", "left")
+    gone = F.coalesce(~F.col("__read"), F.lit(False))
+    before = F.col("deleted_at_head") if "deleted_at_head" in files.columns else F.lit(None).cast("string")
+    out = rows.withColumn("deleted_at_head", F.when(gone, F.lit(head)).when(F.col("__read").isNull(), before))
+    for c in COUNTERS:
+        if c in files.columns:
+            out = out.withColumn(c, F.when(~gone, F.col(c)))
+    return out.drop("__read")
+
+
+def detached(nodes: DataFrame, key: str, edges: Mapping[str, tuple[DataFrame, tuple[str, ...]]], gone: DataFrame) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Nodes without those whose key is in ``gone``, and edge tables (with the columns that hold the key) without their edges."""
+    keys = gone.select(F.col(key).alias("__gone")).distinct()
+    rest = {}
+    for name, (df, columns) in edges.items():
+        for c in columns:
+            df = df.join(keys, F.col(c) == F.col("__gone"), "left_anti")
+        rest[name] = df
+    return nodes.join(keys, F.col(key) == F.col("__gone"), "left_anti"), rest
+
+
+def schema_faults(tables: Mapping[str, DataFrame], keys: Mapping[str, tuple[str, ...]]) -> DataFrame:
+    """Rows (table, fault, count): key columns that a table lacks, keys that are null in part, keys that repeat."""
+    out = None
+    for name, key in keys.items():
+        df = tables[name]
+        lacking = [k for k in key if k not in df.columns]
+        if lacking:
+            rows = df.sparkSession.createDataFrame([(name, f"no column {c}", 1) for c in lacking], "table string, fault string, count long")
+        else:
+            grouped = df.groupBy(*key).agg(F.count("*").alias("n"))
+            null = F.lit(False)
+            for k in key:
+                null = null | F.col(k).isNull()
+            fault = F.when(null, "null key").when(F.col("n") > 1, "repeated key")
+            rows = grouped.select(fault.alias("fault")).filter("fault is not null").groupBy("fault").agg(F.count("*").alias("count")).select(F.lit(name).alias("table"), "fault", "count")
+        out = rows if out is None else out.unionByName(rows)
+    return out

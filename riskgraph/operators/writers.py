@@ -128,6 +128,21 @@ def created_types(calls: DataFrame, types: DataFrame) -> DataFrame:
     return ladders.type_references(refs, types).select("src", F.col("target.name").alias("type"), F.col("target.file").alias("file")).distinct()
 
 
+def in_directories(files: DataFrame) -> DataFrame:
+    """Edges (path, directory) of files that lie in a folder."""
+    return files.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory")).filter("directory <> ''")
+
+
+def field_tables(files: DataFrame) -> dict[str, DataFrame]:
+    """field and field_annotated."""
+    rows = _parts(files, "fields")
+    flags = [_has("public").alias("is_public"), _has("final").alias("is_final"), F.array_contains("annotations", "Autowired").alias("autowired")]
+    return {
+        "field": rows.select(F.col("owner").alias("owner_name"), "file", "name", "type", *flags),
+        "field_annotated": rows.select(F.col("owner").alias("owner_name"), "file", "name", F.explode("annotations").alias("annotation")),
+    }
+
+
 def documents(files: DataFrame, methods: DataFrame, types: DataFrame) -> DataFrame:
     """Comments, those that end just above a method or type (annotations between) with its name."""
     docs = _parts(files, "docs").select("file", "kind", "text", "start_line", "end_line")
@@ -148,7 +163,7 @@ def code_tables(files: DataFrame) -> dict[str, DataFrame]:
     count = lambda part: F.size(part)
     types = F.filter("types", lambda t: ~t["kind"].isin(*INTERFACES))
     out["file"] = rows.select("path", "package", "total_lines", "code_lines", count("methods").alias("method_count"), F.size(types).alias("class_count"), (count("types") - F.size(types)).alias("interface_count"), "error")
-    out["in_directory"] = rows.select("path", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory")).filter("directory <> ''")
+    out["in_directory"] = in_directories(rows.select("path"))
     out |= type_tables(rows)
     for name in ("type", "interface"):
         out[name] = stage.keep(out[name])
@@ -163,9 +178,7 @@ def code_tables(files: DataFrame) -> dict[str, DataFrame]:
     targets = out["method"].select(F.col("method_signature").alias("sig"), "name", F.col("class_name").alias("owner"), "file", "package", "arity", "is_static")
     out["calls"] = ladders.call_edges(calls.filter("kind <> 'constructor'"), targets, out["creates"])
     out["calls_external"] = ladders.external_frontier(calls, imports.withColumnRenamed("path", "file")).withColumnRenamed("src", "method_signature")
-    fields = _parts(rows, "fields")
-    out["field"] = fields.select(F.col("owner").alias("owner_name"), "file", "name", "type", _has("public").alias("is_public"), _has("final").alias("is_final"), F.array_contains("annotations", "Autowired").alias("autowired"))
-    out["field_annotated"] = fields.select(F.col("owner").alias("owner_name"), "file", "name", F.explode("annotations").alias("annotation"))
+    out |= field_tables(rows)
     both = out["type"].select("name", "file", "line").unionByName(out["interface"].select("name", "file", "line"))
     out["doc"] = documents(rows, out["method"], both)
     return {name: df if hasattr(df, "_stage_path") else stage.keep(df) for name, df in out.items()}

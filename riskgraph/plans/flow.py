@@ -161,3 +161,26 @@ def codebase_dependencies(dependencies: DataFrame, ecosystem: str = "java:maven"
     """Rows (ecosystem, names): packages and artifacts to search advisories for, without versions."""
     name = dependencies.select(F.explode(F.array("package", "artifact_id")).alias("name")).filter("name <> ''").distinct()
     return name.groupBy(F.lit(ecosystem).alias("ecosystem")).agg(F.sort_array(F.collect_set("name")).alias("names"))
+
+
+def cleaned(spark: SparkSession, path: str, names: list[str] | None = None) -> list[str]:
+    """Deletes saved tables, the named ones or all, and says which were there."""
+    jvm = spark._jvm
+    base = jvm.org.apache.hadoop.fs.Path(path)
+    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = sorted(s.getPath().getName() for s in fs.listStatus(base)) if fs.exists(base) else []
+    gone = [n for n in there if names is None or n in names]
+    for n in gone:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(base, n), True)
+    return gone
+
+
+def explained(frames: Mapping[str, DataFrame]) -> dict[str, str]:
+    """Physical plans by name; an error says so in the place of its plan."""
+    out = {}
+    for name, df in frames.items():
+        try:
+            out[name] = df._jdf.queryExecution().executedPlan().toString()
+        except Exception as e:
+            out[name] = f"{type(e).__name__}: {e}"
+    return out

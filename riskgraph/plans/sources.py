@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from riskgraph.catalog import AS_OF, Graph
@@ -14,9 +15,14 @@ from riskgraph.plans.registry import query
 from riskgraph.plans.security import TRIAGE
 from riskgraph.plans.team import PAIRS
 
-_N = F.col("dep_id").cast("long")
 N = "cast(dep_id AS bigint)"
 
+
+
+def _n() -> Column:
+    return F.col("dep_id").cast("long")
+
+
 # -- names and versions ----------------------------------------------------------------------
 
 query("U1_method_signature", "SELECT method_signature AS method, 'com.app.' || substr(file, 5, 2) || '.' || class_name || '#' || name || '(' || CASE arity WHEN 0 THEN '' WHEN 1 THEN 'int' WHEN 2 THEN 'int,?' ELSE 'int,?,?' END || '):' || CASE WHEN is_static THEN 'void' ELSE 'String' END AS signature FROM g_method")(
@@ -33,10 +39,10 @@ _TYPED = "CASE dep_id_n % 5 WHEN 0 THEN 'a.b.C<D>' WHEN 1 THEN 'List<X>' WHEN 2
 
 
 def strict_packages(g: Graph) -> DataFrame:
-    kind = _N % 5
+    kind = _n() % 5
     text = F.when(kind == 0, "a.b.C<D>").when(kind == 1, "List<X>").when(kind == 2, "Other").when(kind == 3, "").otherwise("Set")
     explicit = F.create_map(F.lit("List"), F.lit("java.util"))
-    wild = F.when(_N % 2 == 0, F.array(F.lit("org.wild"))).otherwise(F.array(F.lit("org.wild"), F.lit("org.more")))
+    wild = F.when(_n() % 2 == 0, F.array(F.lit("org.wild"))).otherwise(F.array(F.lit("org.wild"), F.lit("org.more")))
     found = names.strict_package(text, explicit, wild)
     return g.dependency.select("dep_id", found["package"].alias("package"), found["resolution"].alias("resolution"))
 
@@ -44,20 +50,20 @@ def strict_packages(g: Graph) -> DataFrame:
 query("U3_strict_package", f"""SELECT dep_id, CASE k WHEN 0 THEN 'a.b' WHEN 1 THEN 'java.util' WHEN 3 THEN NULL ELSE CASE WHEN n % 2 = 0 THEN 'org.wild' END END AS package,
   CASE k WHEN 0 THEN 'fqn' WHEN 1 THEN 'explicit_import' WHEN 3 THEN 'unresolved' ELSE CASE WHEN n % 2 = 0 THEN 'wildcard_import' ELSE 'unresolved' END END AS resolution FROM (SELECT dep_id, {N} AS n, {N} % 5 AS k FROM g_dependency)""")(strict_packages)
 query("U6_import_kind", f"SELECT dep_id, CASE {N} % 4 WHEN 0 THEN 'standard' WHEN 1 THEN 'internal' WHEN 2 THEN 'internal' ELSE 'external' END AS kind FROM g_dependency")(
-    lambda g: g.dependency.select("dep_id", names.import_kind(F.when(_N % 4 == 0, F.concat(F.lit("java.util."), "artifact_id")).when(_N % 4 == 1, F.concat("group_id", F.lit(".Inner"))).when(_N % 4 == 2, F.col("group_id")).otherwise(F.concat("group_id", F.lit("x.Other"))), F.col("group_id")).alias("kind"))
+    lambda g: g.dependency.select("dep_id", names.import_kind(F.when(_n() % 4 == 0, F.concat(F.lit("java.util."), "artifact_id")).when(_n() % 4 == 1, F.concat("group_id", F.lit(".Inner"))).when(_n() % 4 == 2, F.col("group_id")).otherwise(F.concat("group_id", F.lit("x.Other"))), F.col("group_id")).alias("kind"))
 )
 query("S8_call_kind", f"SELECT dep_id, CASE {N} % 5 WHEN 0 THEN 'same_class' WHEN 1 THEN 'this' WHEN 2 THEN 'super' WHEN 3 THEN 'static' ELSE 'instance' END AS kind FROM g_dependency")(
-    lambda g: g.dependency.select("dep_id", names.call_kind(F.get(F.array(F.lit(None).cast("string"), F.lit("this"), F.lit("super"), F.col("artifact_id"), F.lower("artifact_id")), (_N % 5).cast("int"))).alias("kind"))
+    lambda g: g.dependency.select("dep_id", names.call_kind(F.get(F.array(F.lit(None).cast("string"), F.lit("this"), F.lit("super"), F.col("artifact_id"), F.lower("artifact_id")), (_n() % 5).cast("int"))).alias("kind"))
 )
 query("S7_calls_in_code", """SELECT method_signature, 'helper' AS qualifier, 'run' || arity AS name, 'instance' AS kind FROM g_method UNION ALL SELECT method_signature, 'Util', 'go', 'static' FROM g_method UNION ALL SELECT method_signature, NULL, 'plain', 'same_class' FROM g_method""")(
     lambda g: g.method.select("method_signature", F.explode(names.calls_in(F.concat(F.lit("if (x) { for (;;) helper.run"), F.col("arity").cast("string"), F.lit("(1); new Thing(2); Util.go (3); while (plain()) return (4); }")))).alias("c")).select("method_signature", "c.*").filter("name <> 'if'")
 )
 query("U23_repository_url", f"SELECT dep_id, 'https://host/' || artifact_id AS url FROM g_dependency")(
-    lambda g: g.dependency.select("dep_id", names.repository_url(F.concat(F.lit(" https://host/"), "artifact_id", F.when(_N % 3 == 0, ".git").when(_N % 3 == 1, "//").otherwise(""), F.lit(" "))).alias("url"))
+    lambda g: g.dependency.select("dep_id", names.repository_url(F.concat(F.lit(" https://host/"), "artifact_id", F.when(_n() % 3 == 0, ".git").when(_n() % 3 == 1, "//").otherwise(""), F.lit(" "))).alias("url"))
 )
 query("S21_coordinate_line", f"SELECT dep_id, CASE WHEN {N} % 4 < 3 THEN group_id END AS group_id, CASE WHEN {N} % 4 < 3 THEN artifact_id END AS artifact_id, CASE WHEN {N} % 4 < 3 THEN version END AS version FROM g_dependency")(
-    lambda g: g.dependency.withColumn("c", names.coordinate(F.when(_N % 4 == 0, F.concat(F.lit("[INFO] +- "), "group_id", F.lit(":"), "artifact_id", F.lit(":jar:"), "version", F.lit(":compile"))).when(_N % 4 == 1, F.concat(F.lit("|  \\- "), "group_id", F.lit(":"), "artifact_id", F.lit(":jar:sources:"), "version", F.lit(":test")))
-    .when(_N % 4 == 2, F.concat_ws(":", "group_id", "artifact_id", "version")).otherwise(F.concat_ws(":", "group_id", "artifact_id", F.lit("jar"))))).select("dep_id", "c.group_id", "c.artifact_id", "c.version")
+    lambda g: g.dependency.withColumn("c", names.coordinate(F.when(_n() % 4 == 0, F.concat(F.lit("[INFO] +- "), "group_id", F.lit(":"), "artifact_id", F.lit(":jar:"), "version", F.lit(":compile"))).when(_n() % 4 == 1, F.concat(F.lit("|  \\- "), "group_id", F.lit(":"), "artifact_id", F.lit(":jar:sources:"), "version", F.lit(":test")))
+    .when(_n() % 4 == 2, F.concat_ws(":", "group_id", "artifact_id", "version")).otherwise(F.concat_ws(":", "group_id", "artifact_id", F.lit("jar"))))).select("dep_id", "c.group_id", "c.artifact_id", "c.version")
 )
 
 _KEY = "list_transform(string_split(version, '.'), lambda x: x::INT)"
@@ -71,29 +77,29 @@ query("U10_between_swapped", f"SELECT dep_id, {_KEY} >= [1, 2, 0] AND {_KEY} < [
 
 
 def range_text() -> Column:
-    return F.get(F.array("version", F.concat(F.lit("["), "version", F.lit(",2.0)")), F.concat(F.lit("[ "), "version", F.lit(" ,)")), F.concat(F.lit("(,"), "version", F.lit("]")), F.concat(F.lit("["), "version", F.lit("]"))), (_N % 5).cast("int"))
+    return F.get(F.array("version", F.concat(F.lit("["), "version", F.lit(",2.0)")), F.concat(F.lit("[ "), "version", F.lit(" ,)")), F.concat(F.lit("(,"), "version", F.lit("]")), F.concat(F.lit("["), "version", F.lit("]"))), (_n() % 5).cast("int"))
 
 
 query("U9_range_representatives", f"SELECT dep_id, CASE WHEN {N} % 5 = 1 THEN version || '|2.0' ELSE version END AS bounds FROM g_dependency")(lambda g: g.dependency.select("dep_id", F.array_join(versions.representatives(range_text()), "|").alias("bounds")))
 query("U14_advisory_range", f"SELECT dep_id, CASE {N} % 3 WHEN 0 THEN '1.0' WHEN 1 THEN version END AS start_including, CASE {N} % 3 WHEN 2 THEN '0.5' END AS start_excluding, CASE {N} % 3 WHEN 1 THEN version WHEN 2 THEN version END AS end_including, CASE {N} % 3 WHEN 0 THEN version END AS end_excluding FROM g_dependency")(
-    lambda g: g.dependency.withColumn("r", versions.advisory_range(F.get(F.array(F.concat(F.lit(">= 1.0, < "), "version"), F.concat(F.lit("= "), "version"), F.concat(F.lit("> 0.5 ,<= "), "version")), (_N % 3).cast("int")))).select("dep_id", "r.*")
+    lambda g: g.dependency.withColumn("r", versions.advisory_range(F.get(F.array(F.concat(F.lit(">= 1.0, < "), "version"), F.concat(F.lit("= "), "version"), F.concat(F.lit("> 0.5 ,<= "), "version")), (_n() % 3).cast("int")))).select("dep_id", "r.*")
 )
 query("U15_product_of", f"SELECT dep_id, CASE WHEN {N} % 4 = 0 THEN 'apache:log4j' ELSE regexp_extract(group_id, '[^.]*$') || ':' || lower(artifact_id) END AS product FROM g_dependency")(
-    lambda g: g.dependency.select("dep_id", versions.product_of(F.when(_N % 4 == 0, "org.apache.logging.log4j").otherwise(F.col("group_id")), F.when(_N % 4 == 0, "log4j-core").otherwise(F.col("artifact_id"))).alias("product"))
+    lambda g: g.dependency.select("dep_id", versions.product_of(F.when(_n() % 4 == 0, "org.apache.logging.log4j").otherwise(F.col("group_id")), F.when(_n() % 4 == 0, "log4j-core").otherwise(F.col("artifact_id"))).alias("product"))
 )
 query("U16_relevant", f"SELECT dep_id, {N} % 3 <> 2 AS hit FROM g_dependency")(
-    lambda g: g.dependency.select("dep_id", versions.relevant(F.concat(F.lit("flaw in "), F.when(_N % 3 == 2, "nothing of this").otherwise(F.col("artifact_id")), F.lit(" of vendor")), F.when(_N % 3 == 0, F.col("artifact_id")).otherwise(F.concat(F.lit("vendor-"), "artifact_id"))).alias("hit"))
+    lambda g: g.dependency.select("dep_id", versions.relevant(F.concat(F.lit("flaw in "), F.when(_n() % 3 == 2, "nothing of this").otherwise(F.col("artifact_id")), F.lit(" of vendor")), F.when(_n() % 3 == 0, F.col("artifact_id")).otherwise(F.concat(F.lit("vendor-"), "artifact_id"))).alias("hit"))
 )
 
 # -- advisories ------------------------------------------------------------------------------
 
 
 def raw_advisories(g: Graph) -> DataFrame:
-    package = F.struct(F.concat_ws(":", "group_id", "artifact_id").alias("name"), F.when(_N % 5 == 0, "npm").otherwise("Maven").alias("ecosystem"))
+    package = F.struct(F.concat_ws(":", "group_id", "artifact_id").alias("name"), F.when(_n() % 5 == 0, "npm").otherwise("Maven").alias("ecosystem"))
     range_ = F.concat(F.lit(">= 1.0, < "), "version")
     return g.dependency.select(
-        F.when(_N % 3 == 0, "").otherwise(F.concat(F.lit("CVE-D"), "dep_id")).alias("cve_id"), F.concat(F.lit("GHSA-"), "dep_id").alias("ghsa_id"), F.when(_N % 2 == 1, F.col("artifact_id")).alias("summary"),
-        F.col("package").alias("description"), F.lit("high").alias("severity"), F.struct(F.when(_N % 4 > 0, 7.5).alias("score")).alias("cvss"), F.lit("2024").alias("published_at"), F.lit(None).cast("string").alias("updated_at"),
+        F.when(_n() % 3 == 0, "").otherwise(F.concat(F.lit("CVE-D"), "dep_id")).alias("cve_id"), F.concat(F.lit("GHSA-"), "dep_id").alias("ghsa_id"), F.when(_n() % 2 == 1, F.col("artifact_id")).alias("summary"),
+        F.col("package").alias("description"), F.lit("high").alias("severity"), F.struct(F.when(_n() % 4 > 0, 7.5).alias("score")).alias("cvss"), F.lit("2024").alias("published_at"), F.lit(None).cast("string").alias("updated_at"),
         F.array(F.struct(package.alias("package"), range_.alias("vulnerable_version_range"))).alias("vulnerabilities"),
     )
 
@@ -125,14 +131,14 @@ SELECT id, description, cvss_score, 'S' || n AS severity, '2024' AS published FR
 
 def corporate(g: Graph) -> DataFrame:
     """Dependencies with names long enough to match by: one in ten is a known product."""
-    known = _N % 10 == 0
-    return g.dependency.select("dep_id", F.when(known, "org.apache.logging.log4j").otherwise(F.concat(F.lit("com.group"), (_N % 5).cast("string"))).alias("group_id"), F.when(known, "log4j-core").otherwise(F.lower("artifact_id")).alias("artifact_id"), "version")
+    known = _n() % 10 == 0
+    return g.dependency.select("dep_id", F.when(known, "org.apache.logging.log4j").otherwise(F.concat(F.lit("com.group"), (_n() % 5).cast("string"))).alias("group_id"), F.when(known, "log4j-core").otherwise(F.lower("artifact_id")).alias("artifact_id"), "version")
 
 
 def listed_cves(g: Graph) -> DataFrame:
-    criteria = F.when(_N % 7 == 0, "cpe:2.3:a:apache:log_4j2:*").otherwise(F.concat(F.lit("cpe:2.3:a:group"), (_N % 3).cast("string"), F.lit(":x"), F.lower("artifact_id"), F.lit("_core:*")))
+    criteria = F.when(_n() % 7 == 0, "cpe:2.3:a:apache:log_4j2:*").otherwise(F.concat(F.lit("cpe:2.3:a:group"), (_n() % 3).cast("string"), F.lit(":x"), F.lower("artifact_id"), F.lit("_core:*")))
     none = F.lit(None).cast("string")
-    match = F.struct(criteria.alias("criteria"), F.lit("1.2").alias("versionStartIncluding"), none.alias("versionStartExcluding"), none.alias("versionEndIncluding"), F.when(_N % 11 > 0, "1.8").alias("versionEndExcluding"))
+    match = F.struct(criteria.alias("criteria"), F.lit("1.2").alias("versionStartIncluding"), none.alias("versionStartExcluding"), none.alias("versionEndIncluding"), F.when(_n() % 11 > 0, "1.8").alias("versionEndExcluding"))
     return g.dependency.select(F.concat(F.lit("CVE-D"), "dep_id").alias("id"), F.array(F.struct(F.array(F.struct(F.array(match).alias("cpeMatch"))).alias("nodes"))).alias("configurations"))
 
 
@@ -146,20 +152,20 @@ WHERE v >= [1, 2, 0] AND (NOT bounded OR v < [1, 8, 0]) AND CASE WHEN known THEN
 
 def links(g: Graph) -> DataFrame:
     rows = g.affects.join(g.dependency, "dep_id")
-    return rows.select("cve_id", F.when(_N % 3 > 0, F.col("group_id")).otherwise("none").alias("dep_group_id"), F.col("artifact_id").alias("dep_artifact_id"), F.col("package").alias("dep_package"), "confidence", "match_type")
+    return rows.select("cve_id", F.when(_n() % 3 > 0, F.col("group_id")).otherwise("none").alias("dep_group_id"), F.col("artifact_id").alias("dep_artifact_id"), F.col("package").alias("dep_package"), "confidence", "match_type")
 
 
 query("J12_affects", f"""WITH l AS (SELECT cve_id, CASE WHEN {N} % 3 > 0 THEN group_id ELSE 'none' END AS gid, artifact_id, package, confidence, match_type FROM g_affects JOIN g_dependency USING (dep_id)),
 k AS (SELECT * FROM g_dependency WHERE {N} % 4 > 0)
 SELECT DISTINCT cve_id, coalesce(a.dep_id, b.dep_id) AS dep_id, confidence, match_type FROM l LEFT JOIN k a ON a.group_id = l.gid AND a.artifact_id = l.artifact_id LEFT JOIN k b ON b.package = l.package WHERE coalesce(a.dep_id, b.dep_id) IS NOT NULL""")(
-    lambda g: advisories.affects(links(g), g.dependency.withColumn("version", F.when(_N % 4 > 0, F.col("version")).when(_N % 8 > 0, "unknown")))
+    lambda g: advisories.affects(links(g), g.dependency.withColumn("version", F.when(_n() % 4 > 0, F.col("version")).when(_n() % 8 > 0, "unknown")))
 )
 
 # -- imports, terms, matches by text -----------------------------------------------------------
 
 
 def imported(g: Graph) -> DataFrame:
-    path = F.get(F.array(F.concat("group_id", F.lit(".client.Core.Deep")), F.concat(F.lit("org.slf4j."), "artifact_id"), F.concat(F.lit("net.other.thing.Deep"), "dep_id"), F.concat("group_id", F.lit("9.api.Type"))), (_N % 4).cast("int"))
+    path = F.get(F.array(F.concat("group_id", F.lit(".client.Core.Deep")), F.concat(F.lit("org.slf4j."), "artifact_id"), F.concat(F.lit("net.other.thing.Deep"), "dep_id"), F.concat("group_id", F.lit("9.api.Type"))), (_n() % 4).cast("int"))
     return g.dependency.select(path.alias("import_path"))
 
 
@@ -180,8 +186,8 @@ query("W8_missing_dependencies", f"""WITH {_BASES} SELECT base, count(*) AS impo
 
 
 def named(g: Graph) -> DataFrame:
-    prefix = F.get(F.array(F.lit("com.fasterxml.jackson."), F.lit("org.springframework.data."), F.lit("org.acme.tools."), F.lit("")), (_N % 4).cast("int"))
-    return g.dependency.select(F.concat(prefix, F.lit("Part"), (_N % 50).cast("string")).alias("name"))
+    prefix = F.get(F.array(F.lit("com.fasterxml.jackson."), F.lit("org.springframework.data."), F.lit("org.acme.tools."), F.lit("")), (_n() % 4).cast("int"))
+    return g.dependency.select(F.concat(prefix, F.lit("Part"), (_n() % 50).cast("string")).alias("name"))
 
 
 _TERMS = f"""p AS (SELECT DISTINCT lower(CASE {N} % 4 WHEN 0 THEN 'com.fasterxml.jackson.' WHEN 1 THEN 'org.springframework.data.' WHEN 2 THEN 'org.acme.tools.' ELSE '' END || 'Part' || ({N} % 50)) AS name FROM g_dependency),
@@ -195,7 +201,7 @@ SELECT 'term' AS kind, query, list_aggregate(list_sort(list(DISTINCT term)), 'st
 
 
 def described(g: Graph) -> DataFrame:
-    return g.dependency.select(F.concat(F.lit("CVE-D"), "dep_id").alias("id"), F.concat(F.lit("Flaw of "), F.when(_N % 2 == 0, F.upper("package")).otherwise(F.col("artifact_id")), F.lit(" before 2")).alias("description"))
+    return g.dependency.select(F.concat(F.lit("CVE-D"), "dep_id").alias("id"), F.concat(F.lit("Flaw of "), F.when(_n() % 2 == 0, F.upper("package")).otherwise(F.col("artifact_id")), F.lit(" before 2")).alias("description"))
 
 
 query("U18_text_matches", f"""WITH c AS (SELECT 'CVE-D' || dep_id AS cve_id, lower('Flaw of ' || CASE WHEN {N} % 2 = 0 THEN upper(package) ELSE artifact_id END || ' before 2') AS text FROM g_dependency)
@@ -203,8 +209,8 @@ SELECT cve_id, dep_id, 0.5::DOUBLE AS confidence, 'text_versioned' AS match_type
 
 
 def told(g: Graph) -> DataFrame:
-    name = F.concat(F.lit("org.vendor"), (_N % 3).cast("string"), F.lit(".module-alpha"))
-    text = F.get(F.array(F.concat(F.lit("in "), name), F.lit("vendor1 and module-alpha and alpha"), F.lit("some vendor0"), F.lit("nothing")), (_N % 4).cast("int"))
+    name = F.concat(F.lit("org.vendor"), (_n() % 3).cast("string"), F.lit(".module-alpha"))
+    text = F.get(F.array(F.concat(F.lit("in "), name), F.lit("vendor1 and module-alpha and alpha"), F.lit("some vendor0"), F.lit("nothing")), (_n() % 4).cast("int"))
     return g.dependency.select("dep_id", advisories.text_confidence(name, text).alias("c")).select("dep_id", "c.affected", "c.confidence")
 
 
@@ -352,10 +358,10 @@ SELECT DISTINCT split_part(ref, '>', 1) AS src, name AS type, file FROM found"""
 # -- upkeep -----------------------------------------------------------------------------------
 
 query("S19_one_scope", f"SELECT group_id, min(artifact_id) AS artifact_id, max_by(scope, w * 1000000 - n) AS scope FROM (SELECT group_id, 'a' AS artifact_id, {N} AS n, CASE {N} % 3 WHEN 0 THEN 'test' WHEN 1 THEN 'compile' ELSE 'runtime' END AS scope, CASE {N} % 3 WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 2 END AS w FROM g_dependency) GROUP BY 1")(
-    lambda g: matching.one_scope(g.dependency.select("group_id", F.lit("a").alias("artifact_id"), F.get(F.array(F.lit("test"), F.lit("compile"), F.lit("runtime")), (_N % 3).cast("int")).alias("scope"), _N.alias("position"))).select("group_id", "artifact_id", "scope")
+    lambda g: matching.one_scope(g.dependency.select("group_id", F.lit("a").alias("artifact_id"), F.get(F.array(F.lit("test"), F.lit("compile"), F.lit("runtime")), (_n() % 3).cast("int")).alias("scope"), _n().alias("position"))).select("group_id", "artifact_id", "scope")
 )
 query("C18_filled_versions", f"SELECT dep_id, CASE WHEN {N} % 3 = 0 OR {N} % 2 = 0 THEN version END AS version FROM g_dependency")(
-    lambda g: flow.with_versions(g.dependency.withColumn("version", F.when(_N % 3 == 0, F.col("version"))).withColumn("group_id", F.concat("group_id", "dep_id")), g.dependency.filter(_N % 2 == 0).withColumn("group_id", F.concat("group_id", "dep_id"))).select("dep_id", "version")
+    lambda g: flow.with_versions(g.dependency.withColumn("version", F.when(_n() % 3 == 0, F.col("version"))).withColumn("group_id", F.concat("group_id", "dep_id")), g.dependency.filter(_n() % 2 == 0).withColumn("group_id", F.concat("group_id", "dep_id"))).select("dep_id", "version")
 )
 query("C17_census", "SELECT 'cve' AS kind, (SELECT count(*) FROM g_cve) AS count UNION ALL SELECT 'calls', (SELECT count(*) FROM g_calls) UNION ALL SELECT 'file', (SELECT count(*) FROM g_file) UNION ALL SELECT 'method', (SELECT count(*) FROM g_method)")(
     lambda g: flow.census({n: g.table(f"g_{n}") for n in ("cve", "calls", "file", "method")})
@@ -366,8 +372,8 @@ query("C15_codebase_dependencies", "SELECT 'java:maven' AS ecosystem, list_aggre
 query("I1_changes", f"""WITH d AS (SELECT substr('AMDRCT', cast(({N} % 6) AS int) + 1, 1) AS c, 'old/F' || dep_id || '.java' AS old, CASE WHEN {N} % 6 > 2 THEN 'new/F' || dep_id || CASE WHEN {N} % 5 = 0 THEN '.kt' ELSE '.java' END END AS new FROM g_dependency)
 SELECT path, action FROM (SELECT old AS path, 'remove' AS action FROM d WHERE c IN ('D', 'R') UNION SELECT coalesce(new, old), 'extract' FROM d WHERE c IN ('A', 'C', 'M', 'T', 'R')) WHERE path LIKE '%.java'""")(
     lambda g: incremental.changes(g.dependency.select(
-        F.substring(F.lit("AMDRCT"), (_N % 6).cast("int") + 1, F.lit(1)).alias("code"), F.concat(F.lit("old/F"), "dep_id", F.lit(".java")).alias("old"),
-        F.when(_N % 6 > 2, F.concat(F.lit("new/F"), "dep_id", F.when(_N % 5 == 0, ".kt").otherwise(".java"))).alias("new")))
+        F.substring(F.lit("AMDRCT"), (_n() % 6).cast("int") + 1, F.lit(1)).alias("code"), F.concat(F.lit("old/F"), "dep_id", F.lit(".java")).alias("old"),
+        F.when(_n() % 6 > 2, F.concat(F.lit("new/F"), "dep_id", F.when(_n() % 5 == 0, ".kt").otherwise(".java"))).alias("new")))
 )
 query("W22_degrees_written", "SELECT method_signature, (SELECT count(*) FROM g_calls WHERE src = method_signature) AS out_degree, (SELECT count(*) FROM g_calls WHERE dst = method_signature) AS in_degree FROM g_method")(
     lambda g: flow.scored_methods(g.method.withColumn("pagerank", F.lit(0.0)).withColumn("in_degree", F.lit(-1)), g.calls).select("method_signature", "out_degree", "in_degree")
@@ -377,10 +383,64 @@ query("G12_central_summary", "SELECT 'total_degree' AS measure, class_name, name
 )
 
 
+
+query("F21_deleted_files", "SELECT path, CASE WHEN path LIKE 'src/m3/%' THEN 'h1' END AS deleted_at_head, CASE WHEN path NOT LIKE 'src/m3/%' THEN total_lines END AS total_lines FROM g_file")(
+    lambda g: incremental.marked_deleted(g.file, g.file.filter(F.startswith(F.col("path"), F.lit("src/m3/"))).select("path", F.lit("remove").alias("action")).unionByName(g.file.filter(F.startswith(F.col("path"), F.lit("src/m4/"))).select("path", F.lit("extract").alias("action"))), "h1").select("path", "deleted_at_head", "total_lines")
+)
+query("F22_detached_calls", "SELECT c.src, c.dst FROM g_calls c JOIN g_method a ON a.method_signature = c.src JOIN g_method b ON b.method_signature = c.dst WHERE a.file NOT LIKE 'src/m3/%' AND b.file NOT LIKE 'src/m3/%'")(
+    lambda g: incremental.detached(g.method, "method_signature", {"calls": (g.calls, ("src", "dst"))}, g.method.filter(F.startswith(F.col("file"), F.lit("src/m3/"))))[1]["calls"]
+)
+query("D3_schema_faults", "SELECT 'lineitem' AS \"table\", 'repeated key' AS fault, count(*) AS count FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) UNION ALL SELECT 'cve', 'no column label', 1")(
+    lambda g: incremental.schema_faults({"lineitem": g.source("lineitem"), "cve": g.cve, "file": g.file}, {"lineitem": ("l_orderkey", "l_linenumber"), "cve": ("id", "label"), "file": ("path",)})
+)
+query("J19_enriched_links", f"SELECT a.cve_id, a.dep_id, coalesce(c.description, '') AS description, coalesce(c.cvss_score, 0) AS cvss_score, coalesce(c.severity, 'UNKNOWN') AS severity FROM g_affects a LEFT JOIN g_cve c ON c.id = a.cve_id AND c.cvss_score >= 7")(
+    lambda g: advisories.enriched(g.affects.select("cve_id", "dep_id"), g.cve.filter("cvss_score >= 7"))
+)
+query("D4_described_cves", "SELECT id, CASE WHEN description IN ('NATION_3', 'NATION_7') THEN 2 ELSE 1 END AS hits FROM g_cve")(
+    lambda g: advisories.found_by_words(g.cve, "Nation 7 nation 3 other").select("id", "hits")
+)
+query("S22_resolved_versions", f"SELECT group_id, artifact_id, CASE WHEN {N} % 3 = 0 THEN '9' ELSE version END AS version FROM g_dependency WHERE {N} % 3 = 0 OR {N} % 2 = 0")(
+    lambda g: matching.filled_versions(g.dependency.filter(_n() % 2 == 0).select("group_id", "artifact_id", "version"), g.dependency.filter(_n() % 3 == 0).select("group_id", "artifact_id", F.lit("9").alias("version")))
+)
+query("W2_file_directories", "SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory FROM g_file")(lambda g: writers.in_directories(g.file.select("path")))
+query("W10_fields", "SELECT owner_name, file, name, type, is_public, is_final, autowired FROM g_field")(lambda g: writers.field_tables(parsed(g))["field"])
+query("W9_documents", "SELECT method_signature, class_name, file, text FROM (SELECT m.method_signature, CAST(NULL AS string) AS class_name, m.file, 'of ' || m.method_signature AS text FROM g_method m WHERE m.id % 2 = 0) UNION ALL SELECT NULL, NULL, path, 'lost' FROM g_file")(
+    lambda g: writers.documents(commented(g), g.method.select("file", (F.col("id") * 10).cast("int").alias("line"), "method_signature"), g.type.limit(0).select("file", F.lit(0).alias("line"), "name")).select("method_signature", "class_name", "file", "text")
+)
+
+
+def commented(g: Graph) -> DataFrame:
+    """Each second method with a comment a line above, and each file with one that stands above nothing."""
+    line = (F.col("id") * 10).cast("int")
+    above = g.method.filter("id % 2 = 0").select("file", F.struct(F.lit("javadoc").alias("kind"), (line - 2).alias("start_line"), (line - 1).alias("end_line"), F.concat(F.lit("of "), "method_signature").alias("text")).alias("x"))
+    lost = g.file.select(F.col("path").alias("file"), F.struct(F.lit("line").alias("kind"), F.lit(3).alias("start_line"), F.lit(3).alias("end_line"), F.lit("lost").alias("text")).alias("x"))
+    rows = above.unionByName(lost).groupBy("file").agg(F.collect_list("x").alias("docs"))
+    return rows.select(F.col("file").alias("path"), F.lit("").alias("package"), F.lit(1).alias("explicit"), F.lit(1).alias("wildcards"), "docs")
+
+
+query("W6_external_frontier", """WITH k AS (SELECT method_signature, 'f' || (length(method_signature) % 3) AS file, import_path, method_name, confidence_rank, call_count FROM g_calls_external), n AS (SELECT method_signature AS src, 'org.' || import_path AS import_path, method_name, max(CASE confidence_rank WHEN 3 THEN 3 WHEN 2 THEN 2 ELSE 1 END) AS confidence_rank, count(*) AS call_count FROM k WHERE confidence_rank > 1 GROUP BY 1, 2, 3
+  UNION ALL SELECT method_signature, 'org.wild', method_name, 1, count(*) FROM k WHERE confidence_rank = 1 GROUP BY 1, 2, 3) SELECT * FROM n""")(
+    lambda g: ladders.external_frontier(*outside_calls(g)).select("src", "import_path", "method_name", "confidence_rank", "call_count")
+)
+
+
+def outside_calls(g: Graph) -> tuple[DataFrame, DataFrame]:
+    """The graph's external calls as calls of sources, with one explicit import each, or the only wildcard."""
+    file = F.concat(F.lit("f"), (F.length("method_signature") % 3).cast("string"))
+    rows = g.calls_external.withColumn("file", file)
+    low = F.col("confidence_rank") == 1
+    calls = rows.select(
+        F.col("method_signature").alias("src"), "file", F.when(F.col("confidence_rank") == 3, "static").otherwise("instance").alias("kind"), F.col("method_name").alias("name"),
+        F.when(low, "Any").otherwise(F.substring_index("import_path", ".", -1)).alias("target"), F.when(low, "org.wild").otherwise("org.lib").alias("package"), F.when(low, "wildcard_import").otherwise("explicit_import").alias("resolution"),
+    )
+    imports = rows.select("file", F.concat(F.lit("org."), "import_path").alias("import_path"), F.lit(False).alias("is_wildcard"), F.lit("external").alias("kind")).distinct()
+    return calls, imports.unionByName(rows.select("file", F.lit("org.wild").alias("import_path"), F.lit(True).alias("is_wildcard"), F.lit("external").alias("kind")).distinct())
+
+
 # -- the register with its tie-breaks ------------------------------------------------------------
 
 
-def risk_report(g: Graph) -> DataFrame:
+def risk_report(g: Graph, most: int = 20) -> DataFrame:
     """Vulnerabilities in order of evidence, score, partners of the headline's file, days since its last change, id.
 
     The headline is the first route of a vulnerability: the surest, then the nearest, then
@@ -395,7 +455,13 @@ def risk_report(g: Graph) -> DataFrame:
     stale = F.greatest(F.floor((F.lit(AS_OF).cast("timestamp").cast("long") - F.col("last_touched").cast("timestamp").cast("long")) / 86400), F.lit(0)).alias("stale_days")
     rows = reach.triage(g, 7.0, reached=reached).join(head, "cve_id", "left").join(partners, "path", "left").join(touched.select("path", stale), "path", "left").fillna(0, ["co_changed", "stale_days"])
     rows = rows.withColumn("score", risk_score(F.col("cvss_score"), F.coalesce("rank", F.lit(0)), F.col("hops")))
-    return rows.select("cve_id", "cvss_score", "status", "rank", "hops", "method_signature", "co_changed", "stale_days", "score").orderBy(F.col("rank").isNull(), F.desc("score"), F.desc("co_changed"), F.desc("stale_days"), "cve_id").limit(20)
+    return rows.select("cve_id", "cvss_score", "status", "rank", "hops", "method_signature", "co_changed", "stale_days", "score").orderBy(F.col("rank").isNull(), F.desc("score"), F.desc("co_changed"), F.desc("stale_days"), "cve_id").limit(most)
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """A report's rows, few and in order, with their position."""
+    order = W.orderBy(F.col("rank").isNull(), F.desc("score"), F.desc("co_changed"), F.desc("stale_days"), "cve_id")
+    return rows.withColumn("position", F.row_number().over(order))
 
 
 query("C12_risk_report", TRIAGE.replace("t AS (SELECT c.id", "u AS (SELECT c.id").replace("AS status FROM t)", "AS status FROM u)").replace("WITH RECURSIVE ", f"WITH RECURSIVE {PAIRS}, ", 1) + """, x AS (SELECT a.cve_id, x.method_signature, max(x.confidence_rank) AS rank, min(l.hops) AS hops FROM g_affects a JOIN g_depends_on d ON d.dep_id = a.dep_id
