@@ -61,6 +61,11 @@ query("I5_used_imports", "SELECT DISTINCT d.import_path FROM g_depends_on d WHER
 query("I7_new_commits", "SELECT sha FROM g_commit WHERE cast(sha AS bigint) % 3 = 0")(lambda g: incremental.new_commits(g.commit.select("sha"), g.commit.filter(F.col("sha").cast("long") % 3 != 0)))
 query("D1_repeated_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")(lambda g: incremental.repeated_keys(g.source("lineitem"), "l_orderkey", "l_linenumber"))
 query("U2_test_paths", "SELECT path, path LIKE '%/m9/%' AS is_test FROM g_file")(lambda g: g.file.select("path", names.in_test_path(F.replace("path", F.lit("m9"), F.lit("test"))).alias("is_test")))
+# all the ways in which a path can be one of tests, and near misses
+_PLACES = ("/src/test/A.java", "src/test/A.java", "x/tests/A.java", "tests/A.java", "x\\test\\A.java", "Test/A.java", "src/testing/A.java", "attest/A.java", "contests/A.java")
+query("U2_test_places", "SELECT concat(cast(n_nationkey AS string), ':', k) AS place, k < 6 AS is_test FROM nation, (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8]) AS k)")(
+    lambda g: g.source("nation").select("n_nationkey", F.posexplode(F.array(*map(F.lit, _PLACES))).alias("k", "path")).select(F.concat_ws(":", F.col("n_nationkey").cast("string"), F.col("k").cast("string")).alias("place"), names.in_test_path(F.col("path")).alias("is_test"))
+)
 query("U13_severity", "SELECT id, CASE WHEN cvss_score >= 9 THEN 'CRITICAL' WHEN cvss_score >= 7 THEN 'HIGH' WHEN cvss_score >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM g_cve")(lambda g: g.cve.select("id", severity(F.col("cvss_score")).alias("severity")))
 query("J17_class_edges", "SELECT m.class_name || '@' || m.file AS src, n.class_name || '@' || n.file AS dst, count(*) AS weight FROM g_calls c JOIN g_method m ON m.method_signature = c.src JOIN g_method n ON n.method_signature = c.dst GROUP BY 1, 2")(
     lambda g: community.class_edges(g.calls, g.method)

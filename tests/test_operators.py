@@ -174,6 +174,10 @@ def test_git_log(spark, tmp_path):
     tables = git_log.history_tables(spark, str(tmp_path))
     assert tables["commit"].count() == 2 and tables["parent"].count() == 1
     assert values(tables["changed"], "path", "change_type", "renamed_from", "additions") == [("a.java", "A", None, 2), ("b.java", "R", "a.java", 0)]
+    one = spark.read.format("gitlog").option("commitsPerPartition", 1).load(str(tmp_path))
+    assert one.rdd.getNumPartitions() == 2 and sorted(r["message"] for r in one.collect()) == ["one", "two"]
+    first = spark.read.format("gitlog").load(str(tmp_path)).filter("message = 'one'").first()["sha"]
+    assert git_log.history_tables(spark, str(tmp_path), since=first)["commit"].count() == 1
 
 
 def test_report(spark):
