@@ -23,3 +23,9 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(SCHEMA).parquet(path)
     last = rows.groupBy("id").agg(F.max_by(F.struct(*rows.columns), F.struct("at", F.col("status") != "running")).alias("r")).select("r.*")
     return last.withColumnRenamed("at", "finished_at")
+
+
+def known(spark: SparkSession, path: str) -> bool:
+    """Whether any run has been recorded there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)

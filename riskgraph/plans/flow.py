@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from riskgraph.catalog import Graph
 from riskgraph.durable import Stage
-from riskgraph.operators import advisories, community, history, matching, rank, writers
+from riskgraph.operators import advisories, community, history, incremental, matching, provenance, rank, writers
 from riskgraph.sources import build_files, git_log, java_source
 
 CODE_ORDER = (
@@ -85,6 +85,36 @@ def reread(files: DataFrame, fresh: DataFrame, touched: DataFrame) -> DataFrame:
     return rest.select(*fresh.columns).unionByName(fresh.join(touched.filter("action = 'extract'").select("path").distinct(), "path", "left_semi"))
 
 
+def run(spark: SparkSession, root: str, path: str, url: str, branch: str = "main", cves: DataFrame | None = None, forced: bool = False) -> tuple[str, str, dict[str, DataFrame]]:
+    """Ingests a clone's head below ``path``, in full or what changed since the last successful run: (mode, folder, tables).
+
+    Every run is recorded; each head has a folder of its own, so a run that fails leaves the
+    last graph as it was. The parsed rows are kept beside the tables for the next run.
+    """
+    head = git_log.git(root, "rev-parse", "HEAD").strip()
+    runs, folder = f"{path}/runs", f"{path}/{head}"
+    known = provenance.known(spark, runs)
+    last = incremental.last_success(provenance.runs(spark, runs), url, branch).collect() if known else []
+    before = last[0]["head_sha"] if last else None
+    ancestor = before is not None and git_log.is_ancestor(root, before, head)
+    shallow = git_log.git(root, "rev-parse", "--is-shallow-repository").strip() == "true"
+    mode, _ = incremental.ingest_mode(forced, bool(last), False, False, shallow, ancestor)
+    begun = provenance.record(spark, runs, url, branch, head, mode)
+    declared = build_files.declared_dependencies(spark, root)
+    if mode == "full":
+        rows = parsed(spark, root)
+    else:
+        diff = spark.createDataFrame(git_log.changed_names(root, before, head), "code string, old string, new string")
+        touched = incremental.changes(diff)
+        rows = reread(spark.read.parquet(f"{path}/{before}/parsed"), parsed(spark, root, touched), touched)
+    if before != head or mode == "full":
+        rows.write.mode("overwrite").parquet(f"{folder}/parsed")
+        saved(graph_tables(spark, spark.read.parquet(f"{folder}/parsed"), declared, root, cves), folder)
+    provenance.record(spark, runs, url, branch, head, mode, "success", begun)
+    names = [*CODE_ORDER, "commit", "developer", "parent", "file_version", "changed", "dependency", "depends_on", "missing", *(("affects", "cve") if cves is not None else ())]
+    return mode, folder, {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
 def require_calls(edges: DataFrame) -> None:
     """Central measures need calls."""
     if edges.isEmpty():

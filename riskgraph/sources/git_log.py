@@ -19,11 +19,25 @@ SCHEMA = "sha string, author_name string, author_email string, date string, pare
 MARK, BODY = "\x1e", "\x1d"
 
 
-def _git(repo: str, *args: str, asked: str | None = None) -> str:
+def git(repo: str, *args: str, asked: str | None = None) -> str:
     done = subprocess.run(["git", "-C", repo, *args], capture_output=True, check=True, input=asked.encode() if asked is not None else None)
     return done.stdout.decode("utf-8", "replace")
 
 
+def is_ancestor(repo: str, old: str, new: str) -> bool:
+    return subprocess.run(["git", "-C", repo, "merge-base", "--is-ancestor", old, new], capture_output=True).returncode == 0
+
+
+def changed_names(repo: str, old: str, new: str) -> list[tuple[str, str, str | None]]:
+    """Rows (code, old path, new path) of what differs between two commits."""
+    fields, out = iter(git(repo, "diff", "--name-status", "-z", "-M", old, new).split("\0")), []
+    for code in fields:
+        if code:
+            first = next(fields)
+            out.append((code[0], first, next(fields) if code[0] in "RC" else None))
+    return out
+
+
 def parse_names(log: str) -> Iterator[tuple[list[str], list[tuple[str, str, str | None]]]]:
     """Header fields and (code, path, old path) of each commit of a -z --name-status log."""
     for block in log.split(MARK)[1:]:
@@ -65,7 +79,7 @@ class _Reader(DataSourceReader):
         since, branch, most = self.options.get("since"), self.options.get("branch", "HEAD"), int(self.options.get("commitsperpartition", 5000))
         out = []
         for repo in self.options["path"].split(","):
-            commits = _git(repo, "rev-list", f"{since}..{branch}" if since else branch).split()
+            commits = git(repo, "rev-list", f"{since}..{branch}" if since else branch).split()
             out += [InputPartition((repo, commits[i : i + most])) for i in range(0, len(commits), most)]
         return out or [InputPartition((None, []))]
 
@@ -75,8 +89,8 @@ class _Reader(DataSourceReader):
             return
         asked = "\n".join(commits) + "\n"
         shown = ("log", "--no-walk=unsorted", "--stdin", "-z", "-M")
-        counts = parse_counts(_git(repo, *shown, "--numstat", "--format=%x1e%H%x1d", asked=asked))
-        for head, changes in parse_names(_git(repo, *shown, "--name-status", "--format=%x1e%H%x1f%an%x1f%ae%x1f%cI%x1f%P%x1f%s%x1d", asked=asked)):
+        counts = parse_counts(git(repo, *shown, "--numstat", "--format=%x1e%H%x1d", asked=asked))
+        for head, changes in parse_names(git(repo, *shown, "--name-status", "--format=%x1e%H%x1f%an%x1f%ae%x1f%cI%x1f%P%x1f%s%x1d", asked=asked)):
             for code, path, old in changes or [(None, None, None)]:
                 yield (*head[:6], path, code, old, *counts.get((head[0], path), (None, None)))
 

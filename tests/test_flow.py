@@ -155,3 +155,22 @@ def test_unreadable_java_is_scanned():
         java_source._Parser.run = before
     assert row["error"] == "KeyError" and row["package"] == "com.example" and [t["name"] for t in row["types"]] == ["A", "Inner"]
     assert [(m["name"], m["owner"]) for m in row["methods"]] == [("a", "A"), ("own", "A"), ("main", "A")] and len(row["imports"]) == 2 and row["docs"]
+
+
+def test_runs_full_then_incremental(spark, tmp_path):
+    root = tmp_path / "c"
+    root.mkdir()
+    git = lambda *a: subprocess.run(["git", "-C", str(root), "-c", "user.name=N", "-c", "user.email=n@x", *a], check=True, capture_output=True)
+    for name in ("B.java", "Util.java"):
+        (root / name).write_text(JAVA[name])
+    git("init", "-q"), git("add", "-A"), git("commit", "-qm", "one")
+    assert flow.run(spark, str(root), str(tmp_path / "g"), "u")[0] == "full"
+    (root / "B.java").write_text(JAVA["B.java"].replace("lonely();", "Util.stat();"))
+    git("mv", "Util.java", "Tool.java")
+    git("add", "-A"), git("commit", "-qm", "two")
+    mode, folder, step = flow.run(spark, str(root), str(tmp_path / "g"), "u")
+    assert mode == "incremental" and folder.endswith(str(step["commit"].filter("message = 'two'").first()["sha"]))
+    want = writers.code_tables(flow.parsed(spark, str(root)))
+    for name in ("file", "method", "calls", "type"):
+        assert sorted(str(r) for r in step[name].collect()) == sorted(str(r) for r in want[name].collect()), name
+    assert [d.split("#")[1] for _, d in got(step["calls"], "src", "dst")] == ["stat():void"]
