@@ -180,7 +180,9 @@ class Mix:
         runs = self._pieces().withColumn("turn", F.explode(F.expr("sequence(1, times)")))
         runs = runs.groupBy("sid", "at", "mark", "size", "turn").agg(F.sort_array(F.collect_list(F.struct("begin", "words"))).alias("runs"), F.sum("words").alias("got"))
         # rows alike in id, source and text lie side by side on the line, which numbers them
+        # (written, so that its size is known: texts are not shuffled to tell a few such rows from the rest)
         twins = self.rows.groupBy("mark").agg(F.count("*").alias("alike"), F.min("at").alias("begin_at")).filter("alike > 1").select("mark", "begin_at")
+        twins = self.stage.keep(twins)
         runs = runs.join(twins, "mark", "left")
         runs = runs.withColumn("nth", F.when(F.col("begin_at").isNotNull(), ((F.col("at") - F.col("begin_at")) / F.col("size") + 1).cast("int")).otherwise(1))
         names = {n: free_name(self.docs.columns, f"__{n}") for n in ("mark", "nth", "runs", "got", "size")}
