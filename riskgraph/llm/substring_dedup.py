@@ -12,7 +12,8 @@ of up to ``PIECE`` window starts, of some text. What the windows of a piece cove
 passage, and passages are what is located:
 
 3. Texts that have a recurring half window, and no others can hold a passage, are dealt into
-   blocks; each block gets the distinct pieces that its texts' windows name, once each.
+   blocks, texts alike side by side as far as one block holds them; each block gets the
+   distinct pieces that its texts' windows name, once each.
 4. A block compiles its passages into an Aho-Corasick automaton over word numbers and
    streams its texts through it. The automaton's keys are a passage's consecutive runs of
    half a window, so it has a node for each word of a passage and not for each word of each
@@ -155,6 +156,20 @@ def _candidates(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(trimmed(run), "w long, start int, piece long, mark long, times long")
 
 
+def _blocks(texts: DataFrame, named: DataFrame) -> DataFrame:
+    """Rows (mark, block) of texts that name pieces.
+
+    Texts alike mostly name the same least piece; these come into one block, where a piece is
+    wanted once for all of them. What would be too large is dealt out by the texts' hashes.
+    """
+    first = named.groupBy("mark").agg(F.min("home").alias("home"))
+    rows = texts.select("mark", F.length("text").alias("size")).join(first, "mark")
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("home"), F.lit(total // BLOCK + 1)))
+    parts = rows.groupBy("bucket").agg(F.ceil(F.sum("size") / (2 * BLOCK)).alias("parts"))
+    return rows.join(parts, "bucket").select("mark", F.xxhash64("bucket", F.pmod(F.xxhash64("mark"), F.greatest("parts", F.lit(1)))).alias("block"))
+
+
 def _passages(texts: DataFrame, width: int) -> DataFrame:
     """Rows (home, passages) of rows (text, pieces): the runs of words that the windows of a piece cover."""
 
@@ -178,9 +193,10 @@ class Passages:
     def __init__(self, passages: list[bytes], width: int):
         self.width, self.half = width, (width + 1) // 2
         self.beside = width - self.half  # words of a window on either side of its run, at most
-        self.numbers: dict[bytes, int] = {}
+        self.numbers: dict[bytes, int] = {}  # from 1; 0 is a word that no passage has
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        coded = [self._coded(p.split()) for p in passages]
+        number = self.numbers.setdefault
+        coded = [tuple([number(w, len(self.numbers) + 1) for w in p.split()]) for p in passages]
         self.flat, begin = self._line(coded, -1)
         keys: dict[tuple[int, ...], int] = {}
         key, at = [], []
@@ -196,26 +212,25 @@ class Passages:
         self.at = np.array(at, np.int64)[order]
         self.first = np.searchsorted(np.array(key, np.int64)[order], np.arange(len(keys) + 1))
 
-    def _coded(self, words: list[bytes]) -> tuple[int, ...]:
-        return tuple([self.numbers.setdefault(w, len(self.numbers)) for w in words])
-
     def _line(self, coded: list[tuple[int, ...]], gap: int) -> tuple[np.ndarray, list[int]]:
         """All words on one line with gaps that nothing agrees with, and where each row begins."""
         pad = np.full(self.beside + 1, gap, np.int32)
         parts, begin, at = [pad], [], len(pad)
         for codes in coded:
             begin.append(at)
-            parts += [np.array(codes, np.int32), pad]
+            parts += [np.fromiter(codes, np.int32, len(codes)), pad]
             at += len(codes) + len(pad)
         return np.concatenate(parts), begin
 
     def covered(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Which words of each text lie in a window of a passage."""
-        coded = [self._coded(t) for t in texts]
+        number = self.numbers.get
+        coded = [tuple([number(w, 0) for w in t]) for t in texts]
         line, begin = self._line(coded, -2)
         step = np.zeros(len(line) + 1, np.int64)
         for codes, b in zip(coded, begin):
-            found = np.array([(end, key) for end, key in self.automaton.iter(codes)] if len(self.first) > 1 else [], np.int64).reshape(-1, 2)
+            found = [x for pair in self.automaton.iter(codes) for x in pair] if len(self.first) > 1 else []
+            found = np.fromiter(found, np.int64, len(found)).reshape(-1, 2)
             at, key = found[:, 0] + (b - self.half + 1), found[:, 1]
             times = self.first[key + 1] - self.first[key]
             upto = np.cumsum(times)
@@ -245,7 +260,7 @@ class Passages:
 
 
 def _locate(texts: DataFrame, passages: DataFrame, width: int, text_out: bool) -> DataFrame:
-    """Per text of rows (block, mark, text) what the automaton of its block's passages leaves of it."""
+    """Per text of rows (block, mark, text) what the automaton of its block's passages, rows (into, passages), leaves of it."""
 
     def block(docs: pa.Table, mine: pa.Table) -> pa.Table:
         found = Passages([p for row in mine["passages"].to_pylist() for p in row], width)
@@ -255,12 +270,12 @@ def _locate(texts: DataFrame, passages: DataFrame, width: int, text_out: bool) -
         for s in blocks(rows, BLOCK):
             words = [r.split() for r in rows[s]]
             for ws, gone in zip(words, found.covered(words)):
-                kept = b" ".join([w for w, g in zip(ws, gone.tolist()) if not g])
+                kept = b" ".join([w for w, g in zip(ws, gone.tolist()) if not g]) if not gone.all() else b""
                 removed.append(int(gone.sum())), sha.append(hashlib.sha256(kept).hexdigest()), left.append(kept.decode("utf-8", "replace") if text_out else None)
         release()
         return pa.table({"mark": docs["mark"], "n_removed": pa.array(removed, pa.int64()), "kept_sha": pa.array(sha, pa.string()), "kept": pa.array(left, pa.string())})
 
-    return texts.groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(block, "mark long, n_removed long, kept_sha string, kept string")
+    return texts.groupBy("block").cogroup(passages.groupBy("into")).applyInArrow(block, "mark long, n_removed long, kept_sha string, kept string")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 35, text_out: bool = False) -> DataFrame:
@@ -289,12 +304,11 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     stage.drop(seen, again)
     pieces = named.filter(F.size("starts") > 0).groupBy("mark").agg(F.collect_list(F.struct("home", "starts")).alias("pieces"))
     passages = stage.keep(_passages(some.join(pieces, "mark").select("text", "pieces"), width))
-    size = some.agg(F.sum(F.length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("mark"), F.lit(size // BLOCK + 1)).alias("block")
-    wanted = named.select(block, "home").distinct().join(passages, "home").select("block", "passages")
-    texts = some.join(named.select("mark").distinct(), "mark", "left_semi").select(block, "mark", "text")
+    block = stage.keep(_blocks(some, named))
+    wanted = named.select("mark", "home").join(block, "mark").select(F.col("block").alias("into"), "home").distinct().join(passages, "home").select("into", "passages")
+    texts = some.join(block, "mark").select("block", "mark", "text")
     left = stage.keep(_locate(texts, wanted, width, text_out))
-    stage.drop(some, named, passages)
+    stage.drop(some, named, passages, block)
     out = rows.drop("halves").join(left, "mark", "left")
     return out.select(
         "doc_id", "mark", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
