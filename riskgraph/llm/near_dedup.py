@@ -17,10 +17,11 @@ meets under a key and is not in one component in the end has been tested on its
 in the rounds with pivots, is known to differ in more symbols than the index guarantees to
 find: of pairs at a similarity of 0.85 about two in ten million do, at 0.80 two in 100,000.
 
-Ids are whole numbers; others stop the job. Nulls, and texts without words, have an empty set and are linked with nothing. Rows that
-repeat an id share its component if their texts do; a null id never names a component
-unless all its ids are null. Sets are told apart by 64-bit hashes of their shingles and
-nodes by 64 bits of two sums over these; a false meeting has odds of about n**2 / 2**65.
+Ids are whole numbers; others stop the job. Nulls, and texts without words, have an empty
+set and are linked with nothing. Rows that repeat an id share its component if their texts
+do; a null id never names a component unless all its ids are null. Sets are told apart by
+64-bit hashes of their shingles and nodes by 64 bits of two sums over these; a false meeting
+has odds of about n**2 / 2**65.
 """
 
 from __future__ import annotations

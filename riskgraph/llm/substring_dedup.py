@@ -26,10 +26,11 @@ is bounded; no automaton or passage list reaches the driver, and a passage that
 goes once to each block.
 
 Counts are pre-aggregated and equal texts are one row with a multiplicity, so neither a
-common passage nor a group of copies meets in one task. Null texts have no words. Texts
-shorter than a window lose nothing. Rows that repeat an id are rows like others.
-Texts are told apart, and windows counted, by 64-bit hashes; among n windows one is taken
-for a recurring one by mistake with odds of about n / 2**64.
+common passage nor a group of copies meets in one task. Null texts have no words. Ids are
+whole numbers; others stop the job. Texts shorter than a window lose nothing. Rows that
+repeat an id are rows like others. Texts are told apart, and windows counted, by 64-bit
+hashes; among n windows one is taken for a recurring one by mistake with odds of about n /
+2**64.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ import sys
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 import corpus_pipeline  # noqa: E402
@@ -60,3 +61,17 @@ def test_stages(spark, tables, tmp_path):
 
 def test_run_is_all_stages(spark, tables):
     assert corpus_pipeline.run(spark, tables).count() > 0
+
+
+def test_stages_take_nothing_and_clashing_columns(spark, tables, tmp_path):
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    clash = {n: F.lit("x") for n in ("mark", "node", "keep", "runs", "__mark", "__size", "block", "into", "home", "sid", "__seen", "component_id")}
+    for start in (docs.limit(0), docs.filter("doc_id < 40 or doc_id > 290")):
+        rows = start.withColumns(clash)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = f"{tmp_path}/{start.count()}-{k}"
+            stage(spark, rows, tables).write.parquet(path)
+            rows = spark.read.parquet(path)
+            if k < 4:
+                assert set(docs.columns) <= set(rows.columns)
+        assert (rows.count() > 0) == (start.count() > 0)
