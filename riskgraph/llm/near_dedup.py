@@ -45,6 +45,10 @@ STARS = 2
 #: Characters of text, and texts, in a block of a cell.
 CELL_BYTES = 4 << 20
 CELL_ROWS = 2048
+#: Rows of a key that are compared with as many others at a time.
+KEY_ROWS = 1024
+#: Symbols in which signatures may differ beyond what the index guarantees, for nodes that meet to be tested in cells.
+SLACK = 4
 
 
 def shingle_sets(texts: list[bytes], hashes: WordHashes, width: int) -> list[np.ndarray]:
@@ -163,17 +167,126 @@ def _may_reach(n: str, m: str, percent: int):
     return F.least(F.col(n), F.col(m)) * 100 >= F.greatest(F.col(n), F.col(m)) * percent
 
 
-def _settled(mixed: DataFrame, texts: DataFrame, width: int, percent: int, stage: Stage) -> DataFrame:
+def _alike(mixed: DataFrame, nodes: DataFrame, percent: int, limit: int) -> DataFrame:
+    """Rows (u, v, open) of which the rows with u = v say whether u is to be tested, the others that u and v are near.
+
+    Near are two nodes of a key in different components whose sizes allow the similarity and
+    whose signatures differ in at most ``limit + SLACK`` symbols, in more than ``limit`` if
+    one was a pivot of the key. A key's rows are compared in blocks of ``KEY_ROWS`` by their
+    signatures alone; of the near pairs of two blocks a tree for each connected set is emitted.
+    """
+    blocks_of = mixed.groupBy("key").agg(F.ceil(F.count("*") / KEY_ROWS).cast("int").alias("nb"))
+    rows = mixed.hint("merge").join(blocks_of, "key").hint("merge").join(nodes.select("node", "sig"), "node")
+    b = F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")
+    rows = rows.withColumn("b", b).withColumn("other", F.explode(F.expr("sequence(0, nb - 1)")))
+    rows = rows.withColumn("lb", F.least("b", "other")).withColumn("rb", F.greatest("b", "other"))
+    rows = rows.select("key", "lb", "rb", "b", "node", "comp", (F.col("comp") != F.col("main")).alias("off"), "done", "n", "sig")
+    rows = rows.repartition("key", "lb", "rb").sortWithinPartitions("key", "lb", "rb", "b", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            left.append(batch)
+            held += batch.num_rows
+            if held < 4 * KEY_ROWS:
+                continue
+            table = pa.Table.from_batches(left).combine_chunks()
+            cut = _cells(table)[-2]  # the last cell may go on in the next batch
+            yield near(table.slice(0, cut))
+            left, held = table.slice(cut).to_batches(), table.num_rows - cut
+        if held:
+            yield near(pa.Table.from_batches(left).combine_chunks())
+
+    def near(table: pa.Table) -> pa.RecordBatch:
+        us, vs, opens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        if table.num_rows:
+            node, comp, n, rb, block = (table[c].to_numpy() for c in ("node", "comp", "n", "rb", "b"))
+            off, done = (table[c].to_numpy(zero_copy_only=False) for c in ("off", "done"))
+            sig = np.frombuffer(b"".join(table["sig"].to_pylist()), "<u2").reshape(table.num_rows, -1)
+            ends = _cells(table)
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                mid = lo + int(np.searchsorted(block[lo:hi], rb[lo]))
+                i, j = _near_rows(sig, n, comp, done, (lo, mid if mid > lo else hi), (mid, hi), percent, limit)
+                if len(i):
+                    root = _trees(i - lo, j - lo, hi - lo)
+                    hit = np.unique(np.r_[i, j])
+                    us += [node[hit], node[hit]]
+                    vs += [node[hit], node[root[hit - lo] + lo]]
+                    opens += [off[hit], np.zeros(len(hit), bool)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, opens)], ["u", "v", "open"])
+
+    return rows.mapInArrow(trimmed(run), "u long, v long, open boolean")
+
+
+def _cells(table: pa.Table) -> np.ndarray:
+    """Where each run of equal (key, lb, rb) begins, and the end."""
+    new = np.zeros(max(table.num_rows - 1, 0), bool)
+    for c in ("key", "lb", "rb"):
+        x = table[c].to_numpy()
+        new |= x[1:] != x[:-1]
+    return np.r_[0, np.flatnonzero(new) + 1, table.num_rows]
+
+
+def _near_rows(
+    sig: np.ndarray, n: np.ndarray, comp: np.ndarray, done: np.ndarray, one: tuple[int, int], two: tuple[int, int], percent: int, limit: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of near pairs between two ranges, each in ascending order of n; see _alike()."""
+    out_i, out_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    sizes = n[two[0] : two[1]]
+    for a in range(*one, 64):
+        z = min(a + 64, one[1])
+        lo = two[0] + int(np.searchsorted(100 * sizes, percent * n[a]))
+        hi = two[0] + int(np.searchsorted(percent * sizes, 100 * n[z - 1], "right"))
+        if lo >= hi:
+            continue
+        differ = comp[a:z, None] != comp[None, lo:hi]
+        if one == two:
+            differ &= np.arange(a, z)[:, None] < np.arange(lo, hi)
+        if differ.size < 4096 or differ.mean() < 0.25:  # a few pairs, or few of many, one by one
+            i, j = np.nonzero(differ)
+            far = (sig[a + i] != sig[lo + j]).sum(1)
+        else:
+            count = np.zeros(differ.shape, np.uint8)
+            theirs = np.ascontiguousarray(sig[lo:hi].T)
+            for k in range(sig.shape[1]):
+                count += sig[a:z, k, None] != theirs[k]
+            i, j = np.nonzero((count <= limit + SLACK) & differ)
+            far = count[i, j]
+        i, j = i + a, j + lo
+        fits = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+        hit = fits & (far <= limit + SLACK) & ((far > limit) | ~(done[i] | done[j]))
+        out_i.append(i[hit]), out_j.append(j[hit])
+    return np.concatenate(out_i), np.concatenate(out_j)
+
+
+def _trees(i: np.ndarray, j: np.ndarray, size: int) -> np.ndarray:
+    """For each of ``size`` rows the least row that it is connected with by pairs (i, j)."""
+    root = np.arange(size)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def _settled(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, percent: int, limit: int, stage: Stage) -> DataFrame:
     """Links (u, v) between components among nodes that meet under keys still mixed; one per node and component.
 
-    Nodes that are connected by such keys form a cluster. A cell holds two blocks of a
+    Nodes that are connected by near signatures under such keys form a cluster; a key alone,
+    which any passage that many texts share can make, connects none. A cell holds two blocks of a
     cluster, of ``CELL_BYTES`` of text and ``CELL_ROWS`` texts each, and counts what the sets of one block have in
     common with those of the other over an inverted list; only links leave it.
     """
-    nodes = stage.keep(mixed.groupBy("node", "comp").agg(F.bool_or((F.col("comp") != F.col("main")) & ~F.col("done")).alias("open")))
-    meet = mixed.join(mixed.groupBy("key").agg(F.min("node").alias("v")), "key").select(F.col("node").alias("u"), "v").filter("u <> v").distinct()
-    clusters = components(meet, stage).withColumnRenamed("root", "cluster")
-    rows = nodes.join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    near = stage.keep(_alike(mixed, nodes, percent, limit))
+    comps = mixed.select("node", "comp").distinct()
+    open_ = near.filter("u = v").groupBy(F.col("u").alias("node")).agg(F.bool_or("open").alias("open"))
+    clusters = components(near.filter("u <> v").select("u", "v"), stage).withColumnRenamed("root", "cluster")
+    rows = open_.join(comps, "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     rows = stage.keep(rows.join(texts, "node").select("cluster", "node", "comp", "open", "text"))
     size = rows.groupBy("cluster").agg(F.ceil(F.greatest(F.sum(F.length("text")) / CELL_BYTES, F.count("*") / CELL_ROWS)).cast("int").alias("nb"))
     rows = rows.join(size, "cluster").withColumn("b", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).withColumn("every", F.expr("sequence(0, nb - 1)"))
@@ -254,7 +367,7 @@ def near_duplicates(
             pairs = mixed.join(chosen, "key").filter((F.col("comp") != F.col("p_comp")) & _may_reach("n", "p_n", percent))
             pairs = pairs.select(F.least("p_node", "node").alias("a"), F.greatest("p_node", "node").alias("b")).distinct()
         else:
-            new = stage.keep(_settled(mixed, texts, width, percent, stage))
+            new = stage.keep(_settled(mixed, nodes, texts, width, percent, limit, stage))
             labels = components(new if links is None else links.unionByName(new), stage)
             break
         if tested is not None:
