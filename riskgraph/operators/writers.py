@@ -77,10 +77,10 @@ def method_tables(files: DataFrame, types: DataFrame, interfaces: DataFrame) ->
     """method, parameter, annotated, throws, with OF_TYPE as a parameter's type and file."""
     rows = _parts(files, "methods")
     signature = names.method_signature(F.col("package"), F.col("owner"), F.col("name"), F.transform("params", lambda p: p["type"]), F.col("returns"))
-    # two methods of one signature are one node: that of the first file and line
-    rows = rows.withColumn("method_signature", signature)
-    first = rows.groupBy("method_signature").agg(F.min(F.struct("file", "line", "at")).alias("f")).select("method_signature", "f.*")
-    rows = rows.join(first, ["method_signature", "file", "line", "at"], "left_semi")
+    # two methods of one signature are one node: that of the first file and line, taken whole, since
+    # a place in a file's list may be another when the list is made again
+    whole = F.struct(*rows.columns)
+    rows = rows.groupBy(signature.alias("method_signature")).agg(F.min_by(whole, F.struct("file", "line", "at")).alias("f")).select("method_signature", "f.*")
     methods = rows.select(
         "method_signature", "name", F.col("owner").alias("class_name"), "file", "package", "line", "last_line", (F.col("last_line") - F.col("line") + 1).alias("estimated_lines"),
         _has("public").alias("is_public"), _has("static").alias("is_static"), names.in_test_path(F.col("file")).alias("is_test_method"), F.size("params").alias("arity"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskgraph import durable
 from riskgraph.functions import names, versions
-from riskgraph.operators import community, hierarchy, incremental, ladders, matching, rank
+from riskgraph.operators import community, hierarchy, incremental, ladders, matching, rank, writers
 from riskgraph.operators.history import bus_factor, co_changes
 from riskgraph.operators.reach import hops_from, routes_to
 from riskgraph.plans import report
@@ -205,3 +205,21 @@ def test_tables_need_a_shared_folder():
 
     with pytest.raises(ValueError):
         durable.shared_dir(Session())
+
+
+def test_methods_of_lists_in_any_order(spark):
+    import random
+
+    method = "struct<name:string,owner:string,line:int,last_line:int,modifiers:array<string>,returns:string,params:array<struct<type:string,name:string>>,throws:array<string>,annotations:array<string>,complexity:int,deprecated:boolean>"
+    one = lambda i: (f"m{i}", "A", i % 3, 9, ["public"], "void", [("A", "p")], [], ["Override"], 1, False)
+    files = spark.createDataFrame([("A.java", "p", {}, [], [one(i) for i in range(40)] + [one(0)])], f"path string, package string, explicit map<string,string>, wildcards array<string>, methods array<{method}>")
+
+    def again(rows):
+        for row in rows:
+            row["methods"] = [random.SystemRandom().sample(list(x), len(x)) for x in row["methods"]]
+            yield row
+
+    types = spark.createDataFrame([("A", "p", "A.java")], "name string, package string, file string")
+    got = writers.method_tables(files.mapInPandas(again, files.schema), types, types.limit(0))
+    assert all(got[t].count() == 40 for t in ("method", "parameter", "annotated"))
+    assert got["parameter"].filter("type = 'A' and type_file = 'A.java'").count() == 40
