@@ -42,6 +42,12 @@ def per_author(g: Graph) -> DataFrame:
     return g.authored_changes.groupBy("email", "path").agg(F.count_distinct("sha").alias("commits"), F.max("date").alias("last_touched"))
 
 
+def commits_of_authors(g: Graph) -> DataFrame:
+    """Commits by file and author as commits name them, so that developers listed more than once do not multiply the rows."""
+    rows = g.changed.select("sha", "path").distinct().join(g.commit.select("sha", F.col("author_email").alias("email")).distinct(), "sha")
+    return rows.groupBy("path", "email").agg(F.count("*").alias("commits"))
+
+
 query("Q26_file_owners", f"WITH o AS ({_OWN}) SELECT email AS developer, email, commits, last_touched FROM o WHERE path = '{FILE}' ORDER BY commits DESC, email LIMIT 5")(
     lambda g: top(per_author(g).filter(F.col("path") == FILE).select(F.col("email").alias("developer"), "email", "commits", "last_touched"), 5, F.desc("commits"), "email")
 )
@@ -132,16 +138,23 @@ query("Q57_file_provenance", f"SELECT c.author_email AS author, c.sha, c.date FR
 
 
 @query("Q60_vulnerable_file_committers", f"""
-WITH c50 AS (SELECT * FROM g_cve WHERE cvss_score >= 7.0 ORDER BY cvss_score DESC, id LIMIT 50), o AS ({_OWN}),
-x AS (SELECT DISTINCT c.id, a.dep_id, i.path FROM g_imports i JOIN g_depends_on d ON d.import_path = i.import_path JOIN g_affects a ON a.dep_id = d.dep_id JOIN c50 c ON c.id = a.cve_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY id, dep_id ORDER BY path) AS k FROM x)
-SELECT k.id AS vulnerability, k.dep_id, k.path AS file_path, o.email, o.commits AS expertise_level FROM k JOIN o ON o.path = k.path WHERE k.k <= 10 ORDER BY 5 DESC, 1, 2, 3, 4 LIMIT 100""")
-def vulnerable_file_committers(g: Graph) -> DataFrame:
-    worst = top(g.cve.filter("cvss_score >= 7.0"), 50, F.desc("cvss_score"), "id").select(F.col("id").alias("cve_id"))
-    files = worst.join(g.affects, "cve_id").join(g.file_dependency, "dep_id").select("cve_id", "dep_id", "path")
-    files = files.withColumn("k", F.row_number().over(W.partitionBy("cve_id", "dep_id").orderBy("path"))).filter("k <= 10")
-    rows = files.join(per_author(g), "path").select(F.col("cve_id").alias("vulnerability"), "dep_id", F.col("path").alias("file_path"), "email", F.col("commits").alias("expertise_level"))
-    return top(rows, 100, F.desc("expertise_level"), "vulnerability", "dep_id", "file_path", "email")
+WITH o AS ({_OWN}),
+x AS (SELECT DISTINCT c.id, a.dep_id, i.path FROM g_imports i JOIN g_depends_on d ON d.import_path = i.import_path JOIN g_affects a ON a.dep_id = d.dep_id JOIN g_cve c ON c.id = a.cve_id WHERE c.cvss_score >= 7.0)
+SELECT x.id AS vulnerability, x.dep_id, x.path AS file_path, o.email, o.commits AS expertise_level FROM x JOIN o ON o.path = x.path ORDER BY 5 DESC, 1, 2, 3, 4 LIMIT 100""")
+def vulnerable_file_committers(g: Graph, most: int = 100) -> DataFrame:
+    """The first ``most`` rows of all vulnerabilities, dependencies, files and committers, in order of commits.
+
+    The rows of a file are all its exposures times all its committers. A committer, or an
+    exposure, that stands behind ``most`` others of its file has as many rows before each of
+    its own, so none of them is among the first; without these the product is small.
+    """
+    severe = g.cve.filter("cvss_score >= 7.0").select(F.col("id").alias("cve_id"))
+    files = severe.join(g.affects, "cve_id").join(g.file_dependency, "dep_id").select("path", F.col("cve_id").alias("vulnerability"), "dep_id").distinct()
+    people = commits_of_authors(g).select("path", "email", F.col("commits").alias("expertise_level"))
+    first = lambda df, *order: df.withColumn("k", F.row_number().over(W.partitionBy("path").orderBy(*order))).filter(F.col("k") <= most).drop("k")
+    rows = first(files, "vulnerability", "dep_id").join(first(people, F.desc("expertise_level"), "email"), "path")
+    rows = rows.select("vulnerability", "dep_id", F.col("path").alias("file_path"), "email", "expertise_level")
+    return top(rows, most, F.desc("expertise_level"), "vulnerability", "dep_id", "file_path", "email")
 
 
 _DEEP = f"""x AS (SELECT DISTINCT i.path, a.dep_id FROM {EXPOSED} WHERE c.id = 'CVE-2024-0007'), o AS ({_OWN}),

@@ -223,3 +223,28 @@ def test_methods_of_lists_in_any_order(spark):
     got = writers.method_tables(files.mapInPandas(again, files.schema), types, types.limit(0))
     assert all(got[t].count() == 40 for t in ("method", "parameter", "annotated"))
     assert got["parameter"].filter("type = 'A' and type_file = 'A.java'").count() == 40
+
+
+def test_committers_of_all_vulnerable_files(spark):
+    from itertools import product
+
+    from riskgraph.plans import team
+
+    # 60 vulnerabilities, files 0 to 13 of two dependencies; the later a file, the more commits
+    paths = [f"F{i:02}" for i in range(14)]
+    cves, deps = [(f"C{i:02}", 7.0 + i % 3) for i in range(60)], ["d1", "d2"]
+    changes = [(f"{p}-{d}-{k}", p, f"dev{d}") for i, p in enumerate(paths) for d in range(4) for k in range(1 + (i + d) % 15)]
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    g = writers.TableGraph(
+        spark,
+        {
+            "cve": table([*cves, ("low", 6.9)], "id string, cvss_score double"), "affects": table([(c, d) for c, _ in [*cves, ("low", 0)] for d in deps], "cve_id string, dep_id string"),
+            "depends_on": table([(f"i{d}", d) for d in deps], "import_path string, dep_id string"), "imports": table([(p, f"i{d}") for p in paths for d in deps], "path string, import_path string"),
+            "changed": table([(s, p, 1, 1) for s, p, _ in changes], "sha string, path string, additions long, deletions long"), "commit": table([(s, e) for s, _, e in changes], "sha string, author_email string").withColumn("date", F.lit("2001-01-01").cast("timestamp")),
+            "developer": table([("dev0", "a"), ("dev0", "b"), ("dev1", "c"), ("dev2", "d"), ("dev3", "e")], "email string, name string"),
+        },
+    )
+    commits = {(p, e): len({s for s, q, f in changes if (q, f) == (p, e)}) for _, p, e in changes}
+    want = sorted(((c, d, p, e, n) for (c, _), d, ((p, e), n) in product(cves, deps, commits.items())), key=lambda r: (-r[4], *r[:4]))[:100]
+    assert [tuple(r) for r in team.vulnerable_file_committers(g).collect()] == want
+    assert [tuple(r) for r in team.vulnerable_file_committers(g, 3).collect()] == want[:3]
