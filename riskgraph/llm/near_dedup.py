@@ -34,9 +34,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.llm.components import components
 from riskgraph.durable import Stage
 from riskgraph.llm.words import WordHashes, blocks, free_name, mix, release, text_bytes, trimmed, windows
+from riskgraph.operators.components import components
 
 SYMBOLS = 4
 SYMBOL_BYTES = 2

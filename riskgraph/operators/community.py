@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections import deque
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.durable import Stage
+from riskgraph.operators.components import components
 
 
 def class_edges(calls: DataFrame, methods: DataFrame) -> DataFrame:
@@ -81,47 +81,76 @@ def modularity(edges: DataFrame, communities: DataFrame) -> float:
     return _modularity(graph, place, graph.count())
 
 
-def betweenness(edges: DataFrame, most_edges: int = 500_000, parts: int = 64) -> DataFrame:
-    """Rows (node, betweenness) of directed unweighted edges, exact (Brandes): for graphs that fit a task.
+#: Edges of small components that one group takes; nodes times edges of a component for which a group of sources is made; most groups of one.
+PACK_EDGES, PART_WORK, MOST_PARTS = 20_000, 10**8, 256
+#: Pairs of a source and a node or edge that are held at once.
+PAIRS_HELD = 2_000_000
+
+
+def betweenness(edges: DataFrame, most_edges: int | None = None, parts: int = 64) -> DataFrame:
+    """Rows (node, betweenness) of directed unweighted edges, exact (Brandes).
 
-    Sources are dealt out to tasks; each holds the adjacency, whose size is checked, and adds
-    up its sources' dependencies. Larger graphs are refused rather than sampled unasked.
+    No path leaves its connected component, so a task holds the edges of components only: of
+    many small ones, or of one large one with a share of its sources. Nodes are numbers
+    meanwhile. Nothing is gathered on the driver, and nothing is sampled; a graph of more than
+    ``most_edges`` edges is refused if the caller says so.
     """
-    spark = edges.sparkSession
-    distinct = edges.select("src", "dst").distinct()
-    n = distinct.count()
-    if n > most_edges:
-        raise ValueError(f"{n} edges are more than the {most_edges} that a task may hold")
-    after: dict[str, list[str]] = {}
-    for r in distinct.orderBy("src", "dst").toLocalIterator():
-        after.setdefault(r["src"], []).append(r["dst"])
-    shared = spark.sparkContext.broadcast(after)
-
-    def dependencies(rows: pa.Table) -> pa.Table:
-        adjacent = shared.value
-        total: dict[str, float] = {}
-        for s in rows["node"].to_pylist():
-            order, paths, dist, before = [], {s: 1.0}, {s: 0}, {}
-            queue = deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for t in adjacent.get(v, ()):
-                    if t not in dist:
-                        dist[t] = dist[v] + 1
-                        queue.append(t)
-                    if dist[t] == dist[v] + 1:
-                        paths[t] = paths.get(t, 0.0) + paths[v]
-                        before.setdefault(t, []).append(v)
-            share = dict.fromkeys(order, 0.0)
-            for t in reversed(order):
-                for v in before.get(t, ()):
-                    share[v] += paths[v] / paths[t] * (1 + share[t])
-                if t != s:
-                    total[t] = total.get(t, 0.0) + share[t]
-        return pa.table({"node": pa.array(list(total), pa.string()), "betweenness": pa.array(list(total.values()), pa.float64())})
-
-    nodes = distinct.select(F.col("src").alias("node")).unionByName(distinct.select(F.col("dst").alias("node"))).distinct()
-    parted = nodes.withColumn("part", F.pmod(F.xxhash64("node"), F.lit(parts)))
-    sums = parted.groupBy("part").applyInArrow(dependencies, "node string, betweenness double").groupBy("node").agg(F.sum("betweenness").alias("betweenness"))
-    return nodes.join(sums, "node", "left").fillna(0.0, ["betweenness"])
+    stage = Stage(edges.sparkSession, "between")
+    plain = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    nodes = stage.keep(plain.select(F.col("src").alias("node")).unionByName(plain.select(F.col("dst").alias("node"))).distinct())
+    nodes = stage.keep(nodes.withColumn("id", F.monotonically_increasing_id()))
+    number = lambda end, name: nodes.select(F.col("node").alias(end), F.col("id").alias(name)).hint("merge")
+    pairs = stage.keep(plain.join(number("src", "u"), "src").join(number("dst", "v"), "dst").select("u", "v"))
+    n = pairs.count()
+    if most_edges is not None and n > most_edges:
+        raise ValueError(f"{n} edges are more than the {most_edges} that are allowed")
+    roots = stage.keep(components(pairs, stage))
+    rows = pairs.hint("merge").join(roots.withColumnRenamed("node", "u"), "u", "left").select("u", "v", F.coalesce("root", "u").alias("root"))
+    # a component is at most a node larger than its edges
+    size = rows.groupBy("root").agg(F.count("*").alias("m"))
+    m = F.col("m").cast("double")
+    size = size.withColumn("shares", F.least(F.ceil(m * (m + 1) / PART_WORK), F.lit(MOST_PARTS)).cast("int"))
+    size = size.withColumn("pack", F.when(F.col("shares") == 1, -1 - F.pmod(F.xxhash64("root"), F.lit(-(-n // PACK_EDGES) or 1))).otherwise(F.col("root")))
+    share = lambda end: F.pmod(F.xxhash64(end), F.col("shares")).cast("int")
+    rows = rows.hint("merge").join(size, "root").select("pack", "u", "v", share("u").alias("of_u"), share("v").alias("of_v"), F.explode(F.expr("sequence(0, shares - 1)")).alias("share"))
+    sums = rows.repartition(parts, "pack", "share").groupBy("pack", "share").applyInArrow(_dependencies, "id long, betweenness double")
+    sums = sums.groupBy("id").agg(F.sum("betweenness").alias("betweenness"))
+    return nodes.hint("merge").join(sums, "id", "left").select("node", F.coalesce("betweenness", F.lit(0.0)).alias("betweenness"))
+
+
+def _dependencies(rows: pa.Table) -> pa.Table:
+    """Sums of dependencies over the sources of a share, by Brandes' two passes over many sources side by side."""
+    u, v, of_u, of_v, share = (rows[c].to_numpy() for c in ("u", "v", "of_u", "of_v", "share"))
+    names, at = np.unique(np.r_[u, v], return_inverse=True)
+    n, a, b = len(names), at[: len(u)], at[len(u) :]
+    sources = np.unique(np.r_[a[of_u == share], b[of_v == share]])
+    after, degree = b[np.argsort(a, kind="stable")], np.bincount(a, minlength=n)
+    begin = np.cumsum(degree) - degree
+    total = np.zeros(n)
+    side = max(1, PAIRS_HELD // (n + len(a)))
+    # a cell is a source of the turn and a node
+    dist, paths, sums = np.full(side * n, -1, np.int32), np.zeros(side * n), np.zeros(side * n)
+    for some in (sources[i : i + side] for i in range(0, len(sources), side)):
+        first = front = np.arange(len(some)) * n + some
+        dist[first], paths[first] = 0, 1
+        steps, seen = [], [first]
+        while len(front):
+            node = front % n
+            count = degree[node]
+            to = np.repeat(front - node, count) + after[np.arange(count.sum()) + np.repeat(begin[node] - np.cumsum(count) + count, count)]
+            by = np.repeat(front, count)
+            front = np.unique(to[dist[to] < 0])
+            dist[front] = len(seen)
+            on = dist[to] == len(seen)
+            by, to = by[on], to[on]
+            np.add.at(paths, to, paths[by])
+            steps.append((by, to))
+            seen.append(front)
+        for by, to in reversed(steps):
+            np.add.at(sums, by, paths[by] / paths[to] * (1 + sums[to]))
+        sums[first] = 0
+        cells = np.concatenate(seen)
+        np.add.at(total, cells % n, sums[cells])
+        dist[cells], paths[cells], sums[cells] = -1, 0, 0
+    some = np.flatnonzero(total)
+    return pa.table({"id": pa.array(names[some], pa.int64()), "betweenness": pa.array(total[some], pa.float64())})

@@ -248,3 +248,45 @@ def test_committers_of_all_vulnerable_files(spark):
     want = sorted(((c, d, p, e, n) for (c, _), d, ((p, e), n) in product(cves, deps, commits.items())), key=lambda r: (-r[4], *r[:4]))[:100]
     assert [tuple(r) for r in team.vulnerable_file_committers(g).collect()] == want
     assert [tuple(r) for r in team.vulnerable_file_committers(g, 3).collect()] == want[:3]
+
+
+def brandes(edges):
+    """Betweenness of every node, one source after another."""
+    after = {}
+    for s, t in set(edges):
+        after.setdefault(s, set()).add(t)
+    nodes = {x for e in edges for x in e}
+    total = dict.fromkeys(nodes, 0.0)
+    for s in nodes:
+        order, paths, dist = [s], {s: 1.0}, {s: 0}
+        for v in order:
+            for t in after.get(v, ()):
+                if t not in dist:
+                    dist[t], paths[t] = dist[v] + 1, 0.0
+                    order.append(t)
+                if dist[t] == dist[v] + 1:
+                    paths[t] += paths[v]
+        share = dict.fromkeys(order, 0.0)
+        for v in reversed(order):
+            share[v] = sum(paths[v] / paths[t] * (1 + share[t]) for t in after.get(v, ()) if dist[t] == dist[v] + 1)
+            total[v] += share[v] if v != s else 0.0
+    return total
+
+
+def test_betweenness_of_any_size(spark, monkeypatch):
+    import random
+
+    deal = random.Random(5)
+    edges = [(f"a{deal.randrange(60)}", f"a{deal.randrange(60)}") for _ in range(150)] + [(f"{c}{deal.randrange(6)}", f"{c}{deal.randrange(6)}") for c in "bcdefg" for _ in range(9)]
+    df = spark.createDataFrame([*edges, ("x", None)], "src string, dst string")
+    want = {k: pytest.approx(v) for k, v in brandes(edges).items()}
+    as_dict = lambda df: {r["node"]: r["betweenness"] for r in df.collect()}
+    assert as_dict(community.betweenness(df)) == want
+    # components cut into shares of sources, few sources side by side
+    monkeypatch.setattr(community, "PART_WORK", 3000)
+    monkeypatch.setattr(community, "PACK_EDGES", 10)
+    assert as_dict(community.betweenness(df, parts=3)) == want
+    # more edges than a task was once allowed
+    many = spark.range(250_001).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("m"), "id").alias("dst"))
+    many = many.unionByName(many.select(F.col("dst").alias("src"), F.concat("src", F.lit("z")).alias("dst")))
+    assert community.betweenness(many).groupBy("betweenness").count().orderBy("betweenness").collect() == [(0.0, 500_002), (1.0, 250_001)]
