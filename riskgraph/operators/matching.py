@@ -12,19 +12,27 @@ from riskgraph.operators.contain import containing
 def import_dependencies(imports: DataFrame, dependencies: DataFrame) -> DataFrame:
     """Rows (import_path, dep_id): an external import's first 2, 3 or 4 segments equal a dependency's group or package, or one begins with the other.
 
-    Prefixes in either direction become equal keys: every leading part of either side's name
-    at a segment border is a key, and of the import those of 2 to 4 segments stand for it.
+    Names meet at segment borders. So a name of two segments and more matches an import if the
+    first two are equal, and one of a single segment if that is the import's first: either is a
+    key. A dependency whose two names both match is found by the key of two segments only, so
+    that the matches, which can be very many, need not be told apart again.
     """
-    def leading(c: F.Column) -> F.Column:
-        parts = F.split(c, r"\.")
-        return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-
-    heads = imports.select("import_path").distinct().withColumn("parts", F.split("import_path", r"\.")).filter(F.size("parts") >= 2)
-    heads = heads.withColumn("head", F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(4), F.size("parts"))), lambda n: F.array_join(F.slice("parts", 1, n), ".")))).select("import_path", "head")
-    names = dependencies.select("dep_id", F.explode(F.array("group_id", "package")).alias("name")).filter("name is not null and name <> ''").distinct()
-    inside = names.select("dep_id", F.explode(leading(F.col("name"))).alias("head"))  # the head begins the name, or is it
-    around = heads.select("import_path", F.explode(leading(F.col("head"))).alias("name"))  # the name begins the head
-    return heads.join(inside, "head").select("import_path", "dep_id").unionByName(around.join(names, "name").select("import_path", "dep_id")).distinct()
+    def first(c: str, n: int) -> F.Column:
+        return F.array_join(F.slice(F.split(c, r"\."), 1, n), ".")
+
+    wanted = imports.select("import_path").distinct().filter(F.size(F.split("import_path", r"\.")) >= 2)
+    # by number, so that the few rows of imports are dealt to all tasks
+    wanted = wanted.repartition(int(imports.sparkSession.conf.get("spark.sql.shuffle.partitions")), "import_path")
+    wanted = wanted.withColumn("two", first("import_path", 2)).withColumn("one", first("import_path", 1))
+    names = dependencies.select("dep_id", F.explode(F.array("group_id", "package")).alias("name")).filter("name is not null and name <> ''")
+    names = names.withColumn("long", F.size(F.split("name", r"\.")) > 1)
+    long = names.filter("long").select("dep_id", first("name", 2).alias("two")).distinct()
+    short = names.filter("not long").select("dep_id", F.col("name").alias("one")).distinct()
+    known = long.groupBy("dep_id").agg(F.collect_set("two").alias("known"))
+    short = short.join(known, short["dep_id"].eqNullSafe(known["dep_id"]), "left").select(short["dep_id"], "one", F.coalesce("known", F.array().cast("array<string>")).alias("known"))
+    by_two = wanted.join(long, "two").select("import_path", "dep_id")
+    by_one = wanted.join(short, "one").filter(~F.array_contains("known", F.col("two"))).select("import_path", "dep_id")
+    return by_two.unionByName(by_one)
 
 
 def constraints(cves: DataFrame) -> DataFrame:

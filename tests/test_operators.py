@@ -290,3 +290,20 @@ def test_betweenness_of_any_size(spark, monkeypatch):
     many = spark.range(250_001).select(F.concat(F.lit("n"), "id").alias("src"), F.concat(F.lit("m"), "id").alias("dst"))
     many = many.unionByName(many.select(F.col("dst").alias("src"), F.concat("src", F.lit("z")).alias("dst")))
     assert community.betweenness(many).groupBy("betweenness").count().orderBy("betweenness").collect() == [(0.0, 500_002), (1.0, 250_001)]
+
+
+def test_import_prefixes_of_many_dependencies(spark):
+    from itertools import product
+
+    words = ["a", "b", "a.b", "b.a", "a.b.c", "a.b.", "a..b", "ab.c", "a.b.c.d.e", "b.c.d", "", None]
+    deps = [(f"d{i}", g, p) for i, (g, p) in enumerate(product(words, words))] + [(None, "a.b", "a"), ("d1", "c", "b.x")]
+    paths = [w for w in words if w] + ["a.b.c.d.e.f", "c.x", "a.x"]
+    imports = spark.createDataFrame([(p,) for p in [*paths, *paths, None]], "import_path string")
+    heads = {p: [".".join(p.split(".")[:n]) for n in (2, 3, 4) if n <= len(p.split("."))] for p in paths}
+    match = lambda h, n: h == n or n.startswith(h + ".") or h.startswith(n + ".")
+    want = {(p, d) for p, (d, *names) in product(paths, deps) if any(match(h, n) for h in heads[p] for n in names if n)}
+    got = matching.import_dependencies(imports, spark.createDataFrame(deps, "dep_id string, group_id string, package string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    # the matches are neither shuffled nor told apart after they are joined
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.lstrip().startswith("Aggregate")
