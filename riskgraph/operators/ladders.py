@@ -7,9 +7,12 @@ partial sum, never by gathering them.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskgraph.durable import Stage
 from riskgraph.functions.names import PLATFORM_PREFIXES
 
 
@@ -57,44 +60,62 @@ def call_edges(calls: DataFrame, methods: DataFrame, creates: DataFrame | None =
     then by name. Others go to the target's methods, then the caller's class, then classes
     that the caller creates, then the only method of that name in the file. Arity counts but
     for static calls. Each rung is an equi-join on the owner or file as well as the name, so
-    calls never meet all namesakes.
+    calls never meet all namesakes. Which rung decides is told by the arities that there are of
+    a rung's keys, a row of these for each call; only its methods are then joined. Calls are
+    written once, and no table goes to the driver to be broadcast.
     """
     m = methods.select(F.col("sig").alias("dst"), "name", F.col("owner").alias("m_owner"), F.col("file").alias("m_file"), "arity", "is_static", *(["package"] if "package" in methods.columns else []))
-    fits = arity_fits(F.col("argc"), F.col("arity"))
-    some = ["id", "src", "kind", "name", "target", "argc", "owner", "file", *(["package"] if "package" in calls.columns else [])]
-    calls = calls.select(*some)
+    some = ["src", "kind", "name", "target", "argc", "owner", "file", *(["package"] if "package" in calls.columns else [])]
+    stage = Stage(calls.sparkSession, "calls")
+    calls = stage.keep(calls.select(*some).distinct().withColumn("call", F.monotonically_increasing_id()))
     own = F.col("kind").isin("same_class", "this")
-    plain = m.drop("package")
-
-    def meets(rows: DataFrame, **on: str) -> DataFrame:
-        """Calls with the methods of their name, on further columns of both."""
-        return rows.drop("package").join(plain.withColumnsRenamed({theirs: mine for mine, theirs in on.items()}), ["name", *on])
-
-    def rungs(rows: DataFrame, steps: list[DataFrame], arity: bool = True) -> DataFrame:
-        """The first step (id, src, kind, dst, argc, arity) that finds something for a call."""
-        left, out = rows.select("id"), None
-        for step in steps:
-            hit = step.join(left, "id", "left_semi")
-            hit = (hit.filter(fits) if arity else hit).select("id", "src", "dst", "kind")
-            out = hit if out is None else out.unionByName(hit)
-            left = left.join(hit.select("id"), "id", "left_anti")
-        return out
-
-    near, static = calls.filter(own), calls.filter("kind = 'static'")
-    near = rungs(near, [meets(near, file="m_file", target="m_owner"), meets(near, file="m_file", owner="m_owner")])
-    named = [meets(static, target="m_owner")]
+
+    def met(on: dict[str, str], among: DataFrame, *more: str) -> DataFrame:
+        """Methods with the columns that calls are joined on, by the calls' names of them."""
+        return among.select("name", "arity", *(F.col(theirs).alias(mine) for mine, theirs in on.items()), *more)
+
+    def told(rows: DataFrame, flag: str, on: dict[str, str], among: DataFrame = m, arity: bool = True) -> DataFrame:
+        """Rows with whether a method of their name and further columns fits."""
+        keys = met(on, among).groupBy("name", *on).agg(F.collect_set("arity").alias("arities"), F.bool_or(F.col("arity").isNull()).alias("loose"))
+        fits = F.col("argc").isNull() | F.col("loose") | F.array_contains("arities", F.col("argc")) if arity else F.lit(True)
+        return rows.join(keys.hint("merge"), ["name", *on], "left").withColumn(flag, F.col("loose").isNotNull() & F.coalesce(fits, F.lit(False))).drop("arities", "loose")
+
+    def edges(rows: DataFrame, on: dict[str, str], among: DataFrame = m, arity: bool = True) -> DataFrame:
+        rows = rows.hint("merge").join(met(on, among, "dst"), ["name", *on])
+        return (rows.filter(arity_fits(F.col("argc"), F.col("arity"))) if arity else rows).select("src", "dst", "kind")
+
+    def rungs(rows: DataFrame, steps: list[dict[str, str]], among: DataFrame = m, arity: bool = True) -> tuple[list[DataFrame], DataFrame]:
+        """The edges of each step, of calls for which none before it finds something, and the calls that are left."""
+        for k, on in enumerate(steps):
+            rows = told(rows, f"at{k}", on, among, arity)
+        rows = rows.withColumn("rung", F.coalesce(*(F.when(F.col(f"at{k}"), k) for k in range(len(steps)))))
+        if len(steps) > 1:
+            rows = stage.keep(rows.drop(*(f"at{k}" for k in range(len(steps)))))
+        return [edges(rows.filter(F.col("rung") == k), on, among, arity) for k, on in enumerate(steps)], rows.filter("rung is null")
+
+    near, _ = rungs(calls.filter(own), [{"file": "m_file", "target": "m_owner"}, {"file": "m_file", "owner": "m_owner"}])
+    named = [{"target": "m_owner"}]
     if "package" in m.columns and "package" in calls.columns:
-        named.insert(0, static.join(m.withColumnRenamed("m_owner", "target"), ["name", "target", "package"]))
-    static = rungs(static, [step.filter("is_static") for step in named], arity=False)
-    other = calls.filter(~own & (F.col("kind") != "static"))
-    steps = [meets(other, target="m_owner"), meets(other, owner="m_owner", file="m_file")]
+        named.insert(0, {"target": "m_owner", "package": "package"})
+    static, _ = rungs(calls.filter("kind = 'static'"), named, m.filter("is_static"), arity=False)
+    far, left = rungs(calls.filter(~own & (F.col("kind") != "static")), [{"target": "m_owner"}, {"owner": "m_owner", "file": "m_file"}])
     if creates is not None:
-        made = other.drop("package").join(creates.select("src", F.col("type").alias("m_owner"), F.col("file").alias("m_file")).distinct(), "src")
-        steps.append(made.join(plain, ["name", "m_owner", "m_file"]))
-    by_file = meets(other, file="m_file").filter(fits)
-    lone = by_file.groupBy("id").agg(F.count_distinct("dst").alias("n")).filter("n = 1").select("id")
-    far = rungs(other, [*steps, by_file.join(lone, "id", "left_semi")])
-    return near.unionByName(static).unionByName(far).select("src", "dst", "kind").distinct()
+        made = creates.select("src", F.col("type").alias("c_type"), F.col("file").alias("c_file")).distinct()
+        made = told(left.select("call", "src", "kind", "name", "argc").hint("merge").join(made, "src"), "at", {"c_type": "m_owner", "c_file": "m_file"}).filter("at")
+        made = stage.keep(made)
+        far.append(edges(made, {"c_type": "m_owner", "c_file": "m_file"}))
+        left = left.hint("merge").join(made.select("call").distinct(), "call", "left_anti")
+    # the only one is the least and the greatest
+    ends = lambda of, low, high: (F.min(of).alias(low), F.max(of).alias(high))
+    loose = F.when(F.col("arity").isNull(), F.col("dst"))
+    by_file = met({"file": "m_file"}, m, "dst")
+    all_ = by_file.groupBy("name", "file").agg(*ends("dst", "low", "high"), *ends(loose, "loose_low", "loose_high"))
+    same = by_file.filter("arity is not null").groupBy("name", "file", F.col("arity").alias("argc")).agg(*ends("dst", "same_low", "same_high"))
+    lone = left.join(all_.hint("merge"), ["name", "file"]).join(same.hint("merge"), ["name", "file", "argc"], "left")
+    low = F.when(F.col("argc").isNull(), F.col("low")).otherwise(F.least("loose_low", "same_low"))
+    high = F.when(F.col("argc").isNull(), F.col("high")).otherwise(F.greatest("loose_high", "same_high"))
+    far.append(lone.filter(low == high).select("src", low.alias("dst"), "kind"))
+    return reduce(DataFrame.unionByName, [*near, *static, *far]).distinct()
 
 
 def external_frontier(calls: DataFrame, imports: DataFrame) -> DataFrame:

@@ -314,7 +314,7 @@ _CALLS = """k AS (SELECT c.src || '>' || c.dst AS id, c.src, m.name, CASE WHEN m
 
 
 def call_rows(g: Graph, kind: str) -> DataFrame:
-    m = lambda p: g.method.select(*(F.col(c).alias(f"{p}_{c}") for c in ("method_signature", "name", "class_name", "file", "arity", "id")))
+    m = lambda p: g.method.select(*(F.col(c).alias(f"{p}_{c}") for c in ("method_signature", "name", "class_name", "file", "arity", "id"))).hint("merge")
     rows = g.calls.join(m("s"), F.col("src") == F.col("s_method_signature")).join(m("m"), F.col("dst") == F.col("m_method_signature"))
     return rows.select(
         F.concat("src", F.lit(">"), "dst").alias("id"), "src", F.lit(kind).alias("kind"), F.col("m_name").alias("name"), F.when(F.col("m_id") % 3 == 0, "Unknown").otherwise(F.col("m_class_name")).alias("target"),
@@ -328,7 +328,7 @@ def callable_methods(g: Graph) -> DataFrame:
 
 def made_types(g: Graph) -> DataFrame:
     """For each third callee its class is one that the caller makes objects of."""
-    return g.calls.join(g.method, F.col("dst") == F.col("method_signature")).filter("id % 3 = 0").select("src", F.col("class_name").alias("type"), "file").distinct()
+    return g.calls.join(g.method.hint("merge"), F.col("dst") == F.col("method_signature")).filter("id % 3 = 0").select("src", F.col("class_name").alias("type"), "file").distinct()
 
 
 _PICK = " SELECT DISTINCT src, dst FROM r WHERE rung = (SELECT min(rung) FROM r q WHERE q.id = r.id)"

@@ -307,3 +307,33 @@ def test_import_prefixes_of_many_dependencies(spark):
     # the matches are neither shuffled nor told apart after they are joined
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not plan.lstrip().startswith("Aggregate")
+
+
+def test_call_ladder_by_brute_force(spark):
+    import random
+
+    deal = random.Random(3)
+    pick = lambda *x: deal.choice(x)
+    methods = [(f"s{i}", pick("f", "g"), pick("A", "B", "C"), pick("1", "2", "3"), pick(0, 1, None), pick(True, False)) for i in range(25)]
+    calls = [(i, f"s{i % 25}", pick("this", "same_class", "static", "instance", "super"), pick("f", "g", "h"), pick("A", "B", "Z", None), pick(0, 1, 2, None), pick("A", "C"), pick("1", "2", "9")) for i in range(300)]
+    creates = [(f"s{i}", pick("A", "B"), pick("1", "2", "3")) for i in range(20)]
+    want = set()
+    for _, src, kind, name, target, argc, owner, file in calls:
+        named = [m for m in methods if m[1] == name]
+        fit = [m for m in named if argc is None or m[4] is None or m[4] == argc]
+        if kind in ("this", "same_class"):
+            steps = [[m for m in fit if m[3] == file and m[2] == o] for o in (target, owner)]
+        elif kind == "static":
+            steps = [[m for m in named if m[5] and m[2] == target]]
+        else:
+            alone = [m for m in fit if m[3] == file]
+            steps = [[m for m in fit if m[2] == target], [m for m in fit if m[2] == owner and m[3] == file], [m for m in fit if (src, m[2], m[3]) in creates], alone if len(alone) == 1 else []]
+        want |= {(src, m[0], kind) for m in next(filter(None, steps), [])}
+    got = ladders.call_edges(
+        spark.createDataFrame(calls, "id int, src string, kind string, name string, target string, argc int, owner string, file string"),
+        spark.createDataFrame(methods, "sig string, name string, owner string, file string, arity int, is_static boolean").limit(1000),
+        spark.createDataFrame(creates, "src string, type string, file string"),
+    )
+    assert values(got) == sorted(want)
+    # no table of methods goes to the driver, whatever its size seems to be
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
