@@ -168,12 +168,13 @@ def _may_reach(n: str, m: str, percent: int):
 
 
 def _alike(mixed: DataFrame, nodes: DataFrame, percent: int, limit: int) -> DataFrame:
-    """Rows (u, v, open) of which the rows with u = v say whether u is to be tested, the others that u and v are near.
+    """Rows (u, v, open): u and v are near, or connected by near ones, or the same, and ``open`` says whether u is to be tested.
 
     Near are two nodes of a key in different components whose sizes allow the similarity and
     whose signatures differ in at most ``limit + SLACK`` symbols, in more than ``limit`` if
     one was a pivot of the key. A key's rows are compared in blocks of ``KEY_ROWS`` by their
-    signatures alone; of the near pairs of two blocks a tree for each connected set is emitted.
+    signatures alone; of the near pairs of all a task's blocks a tree for each connected set is
+    emitted, so that a node has one row for a task, however many keys and blocks it is in there.
     """
     blocks_of = mixed.groupBy("key").agg(F.ceil(F.count("*") / KEY_ROWS).cast("int").alias("nb"))
     rows = mixed.hint("merge").join(blocks_of, "key").hint("merge").join(nodes.select("node", "sig"), "node")
@@ -186,6 +187,8 @@ def _alike(mixed: DataFrame, nodes: DataFrame, percent: int, limit: int) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[pa.RecordBatch] = []
         held = 0
+        # what was found, first the trees of all before, each node once with its root
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
         for batch in batches:
             left.append(batch)
             held += batch.num_rows
@@ -193,13 +196,15 @@ def _alike(mixed: DataFrame, nodes: DataFrame, percent: int, limit: int) -> Data
                 continue
             table = pa.Table.from_batches(left).combine_chunks()
             cut = _cells(table)[-2]  # the last cell may go on in the next batch
-            yield near(table.slice(0, cut))
+            found += near(table.slice(0, cut))
             left, held = table.slice(cut).to_batches(), table.num_rows - cut
+            if sum(len(x[0]) for x in found[1:]) > max(16 * KEY_ROWS, len(found[0][0])):
+                found = [grown(found)]
         if held:
-            yield near(pa.Table.from_batches(left).combine_chunks())
+            found += near(pa.Table.from_batches(left).combine_chunks())
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in grown(found)], ["u", "v", "open"])
 
-    def near(table: pa.Table) -> pa.RecordBatch:
-        us, vs, opens = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    def near(table: pa.Table) -> Iterator[tuple[np.ndarray, ...]]:
         if table.num_rows:
             node, comp, n, rb, block = (table[c].to_numpy() for c in ("node", "comp", "n", "rb", "b"))
             off, done = (table[c].to_numpy(zero_copy_only=False) for c in ("off", "done"))
@@ -211,10 +216,15 @@ def _alike(mixed: DataFrame, nodes: DataFrame, percent: int, limit: int) -> Data
                 if len(i):
                     root = _trees(i - lo, j - lo, hi - lo)
                     hit = np.unique(np.r_[i, j])
-                    us += [node[hit], node[hit]]
-                    vs += [node[hit], node[root[hit - lo] + lo]]
-                    opens += [off[hit], np.zeros(len(hit), bool)]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, opens)], ["u", "v", "open"])
+                    yield node[hit], node[root[hit - lo] + lo], off[hit]
+
+    def grown(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        u, v, open_ = (np.concatenate(x) for x in zip(*found))
+        names, at = np.unique(np.r_[u, v], return_inverse=True)
+        root = _trees(at[: len(u)], at[len(u) :], len(names))
+        tested = np.zeros(len(names), bool)
+        np.logical_or.at(tested, at[: len(u)], open_)
+        return names, names[root], tested
 
     return rows.mapInArrow(trimmed(run), "u long, v long, open boolean")
 
@@ -284,7 +294,7 @@ def _settled(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, width: int, p
     """
     near = stage.keep(_alike(mixed, nodes, percent, limit))
     comps = mixed.select("node", "comp").distinct()
-    open_ = near.filter("u = v").groupBy(F.col("u").alias("node")).agg(F.bool_or("open").alias("open"))
+    open_ = near.groupBy(F.col("u").alias("node")).agg(F.bool_or("open").alias("open"))
     clusters = components(near.filter("u <> v").select("u", "v"), stage).withColumnRenamed("root", "cluster")
     rows = open_.join(comps, "node").join(clusters, "node", "left").withColumn("cluster", F.coalesce("cluster", "node"))
     rows = stage.keep(rows.join(texts, "node").select("cluster", "node", "comp", "open", "text"))

@@ -365,3 +365,15 @@ def test_repeated_passages(spark, docs):
     got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_passages(df, width=5).collect()}
     assert got == {i: len(words(t)) - len(k) for (i, t), k in zip(rows, kept_words(rows, 5))}
     assert substring_dedup.repeated_passages(empty(spark)).count() == 0
+
+
+def test_near_rows_are_one_for_a_node_and_task(spark):
+    # two sets of 25 nodes, each node under 30 keys with its whole set
+    signs = [bytes(80 - 2) + i.to_bytes(2, "little") if i < 25 else bytes([1]) * 78 + i.to_bytes(2, "little") for i in range(50)]
+    nodes = spark.createDataFrame([(i, signs[i], 100) for i in range(50)], "node long, sig binary, n long")
+    mixed = spark.createDataFrame([(k, i, i, 0, False, 100) for k in range(30) for i in range(50)], "key long, node long, comp long, main long, done boolean, n long")
+    rows = near_dedup._alike(mixed, nodes, 85, 19).collect()
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(rows) <= 50 * tasks
+    assert {r["u"] for r in rows if r["open"]} == set(range(50)) - {0}
+    assert {(r["u"], r["v"]) for r in rows} == {(i, i // 25 * 25) for i in range(50)}
